@@ -1,2 +1,169 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Concordance queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fumikura.operators import concordance as kw
+from fumikura.queries.base import ATT, PUNCT, ST, attributes, tok, with_
+from fumikura.sources.corpus import table
+
+NODE = "見る"
+
+
+def _t(s, d):
+    return tok(s, d, "surface", "lemma_key", "orthbase", "pos1", "pos2", sentences=True)
+
+
+def _hits(query, **options):
+    return lambda s, d: kw.search(_t(s, d), query, **options)
+
+
+def kwic_totals(s, d):
+    h = kw.search(_t(s, d), NODE)
+    return h.agg(F.count("*").alias("hits"), F.count_distinct("work_stem").alias("works"))
+
+
+def kwic_by_work(s, d):
+    t = _t(s, d)
+    sizes = t.groupBy("work_stem").agg(F.count("*").alias("tokens"))
+    return kw.by_group(kw.search(t, NODE), sizes, "work_stem")
+
+
+def _bands(s, d):
+    return attributes(s, d).select("work_stem", F.col("period").alias("band"))
+
+
+def kwic_by_band(s, d):
+    t = _t(s, d)
+    b = _bands(s, d)
+    sizes = t.groupBy("work_stem").agg(F.count("*").alias("n")).join(b, "work_stem", "left").groupBy("band").agg(F.sum("n").alias("tokens"))
+    return kw.by_group(kw.search(t, NODE).join(b, "work_stem", "left"), sizes, "band")
+
+
+def kwic_facets(s, d):
+    h = kw.search(_t(s, d), "*/動詞 *", exclude_punct=True)
+    wanted = attributes(s, d).where("genre_main = 'fiction' and author_sex = 'f'").select("work_stem")
+    return h.join(wanted, "work_stem", "left_semi").groupBy("work_stem").agg(F.count("*").alias("hits"))
+
+
+def kwic_types(s, d):
+    return kw.tally(kw.search(_t(s, d), "*/名詞 の"))
+
+
+def kwic_sorted_left1(s, d):
+    t = _t(s, d)
+    h = kw.neighbours(t, kw.search(t, NODE), {"left1": -1})
+    return h.orderBy(F.asc_nulls_first("left1"), "work_stem", "vol_no", "i").select("work_stem", "vol_no", "i", "left1")
+
+
+def kwic_page(s, d):
+    t = _t(s, d)
+    h = kw.neighbours(t, kw.search(t, NODE), {"right1": 1})
+    return h.orderBy(F.asc_nulls_first("right1"), "work_stem", "vol_no", "i").offset(10).limit(20).select("work_stem", "vol_no", "i", "right1")  # a page
+
+
+def kwic_sorted_year(s, d):
+    h = kw.search(_t(s, d), NODE).join(attributes(s, d).select("work_stem", "year", "author"), "work_stem", "left")
+    return h.select("work_stem", "vol_no", "i", F.coalesce("year", F.lit(9999)).alias("year"), "author").orderBy("year", "author", "work_stem", "vol_no", "i")
+
+
+def kwic_sample(s, d):
+    return kw.sample(kw.search(_t(s, d), "*/動詞"), 50)
+
+
+def kwic_rows(s, d):
+    t = _t(s, d)
+    return kw.context(t, kw.search(t, NODE), 1, 5)
+
+
+def kwic_passage(s, d):
+    t = _t(s, d)
+    return kw.passage(t, "099001_040404", 1, 100, 30, 30)
+
+
+def kwic_text(s, d):
+    return kw.kwic_text(table(s, d, "documents"), "灯台坂", 28)
+
+
+def colloc_measures(s, d):
+    t = _t(s, d)
+    return kw.collocates(t, kw.search(t, NODE), min_co=2)
+
+
+def colloc_pos(s, d):
+    t = _t(s, d)
+    return kw.collocates(t, kw.search(t, "*/動詞"), min_co=5, pos=["名詞"])
+
+
+def colloc_focus(s, d):
+    t = _t(s, d)
+    return kw.focus(t, kw.search(t, "*/動詞"), "の")
+
+
+def variants_by_band(s, d):
+    t = _t(s, d)
+    return kw.variants(t, kw.search(t, "*/名詞"), _bands(s, d))
+
+
+def variant_table(s, d):
+    return kw.variant_table(_t(s, d), min_types=2, min_var=1, min_freq=3)
+
+
+def pos_tree(s, d):
+    return kw.pos_tree(_t(s, d))
+
+
+def facet_counts(s, d):
+    w = _t(s, d).select("work_stem").distinct().join(attributes(s, d), "work_stem", "left")
+    e = w.select(F.explode(F.array(*(F.struct(F.lit(c).alias("facet"), F.col(c).alias("value")) for c in ("author", "period", "genre_main", "author_sex")))).alias("x"))
+    return e.groupBy("x.facet", "x.value").agg(F.count("*").alias("works"))
+
+
+_HITS = {"kwic_word": NODE, "kwic_phrase": "男 の", "kwic_glob": "帆*|*坂", "kwic_regex": "re:[雪雨].", "kwic_pos": "*/動詞 た/助動詞", "kwic_mixed": "S:の */名詞 L:を|が"}
+QUERIES = {n: _hits(q) for n, q in _HITS.items()} | {f.__name__: f for f in (kwic_totals, kwic_by_work, kwic_by_band, kwic_facets, kwic_types, kwic_sorted_left1, kwic_page, kwic_sorted_year, kwic_sample, kwic_rows, kwic_passage, kwic_text, colloc_measures, colloc_pos, colloc_focus, variants_by_band, variant_table, pos_tree, facet_counts)}
+
+_S = with_(ST)
+_J = "USING (work_stem, vol_no, sent)"
+_SEQ = lambda conds, forms: _S + "SELECT a.work_stem, a.vol_no, a.sent, a.i, concat_ws(' ', " + ", ".join(forms) + ") AS form FROM st a " + " ".join(f"JOIN st {x} ON {x}.work_stem = a.work_stem AND {x}.vol_no = a.vol_no AND {x}.sent = a.sent AND {x}.i = a.i + {k}" for k, x in enumerate("bc"[: len(conds) - 1], 1)) + " WHERE " + " AND ".join(conds)
+_NODE = f"nd AS (SELECT * FROM st WHERE lemma_key = '{NODE}')"
+_TN = f"tn AS (SELECT work_stem, vol_no, sent, i, lemma_key AS form, pos1 FROM st WHERE NOT {PUNCT})"
+_OFF = "of AS (SELECT unnest([-4, -3, -2, -1, 1, 2, 3, 4]) AS o)"
+_CELL = lambda o, x: f"(CASE WHEN {o} > 0 AND {x} > 0 THEN ({o}) * ln(({o}) / ({x})) ELSE 0.0e0 END)"
+
+
+def _colloc(node: str, least: int, pos: str) -> str:
+    return with_(ST, _TN, _OFF, f"hh AS (SELECT work_stem, vol_no, sent, i FROM st WHERE {node})") + f""", wn AS (SELECT tn.form, tn.pos1 FROM hh CROSS JOIN of JOIN tn ON tn.work_stem = hh.work_stem AND tn.vol_no = hh.vol_no AND tn.sent = hh.sent AND tn.i = hh.i + o),
+ww AS (SELECT count(*) AS co_all FROM wn), nn AS (SELECT count(*) AS total FROM tn), nh AS (SELECT count(*) AS node FROM hh),
+co AS (SELECT form, count(*) AS co FROM wn {pos} GROUP BY form HAVING count(*) >= {least}), fr AS (SELECT form, count(*) AS freq FROM tn {pos} GROUP BY form HAVING count(*) >= 3),
+x AS (SELECT form, co, freq, CAST(co AS DOUBLE) AS a, CAST(freq AS DOUBLE) AS f, CAST(co_all AS DOUBLE) AS w, CAST(total AS DOUBLE) AS n, CAST(node AS DOUBLE) AS nd FROM co JOIN fr USING (form), ww, nn, nh),
+y AS (SELECT *, w * f / n AS e, 2.0e0 * ({_CELL('a', 'w * f / n')} + {_CELL('w - a', 'w * (n - f) / n')} + {_CELL('f - a', '(n - w) * f / n')} + {_CELL('n - w - f + a', '(n - w) * (n - f) / n')}) AS ll FROM x)
+SELECT form, co, freq, round(14 + log2(2 * a / (nd + f)), 2) AS logdice, round(log2(a / e), 2) AS mi, round(log2(a * a * a / e), 2) AS mi3, round((a - e) / sqrt(a), 2) AS t, round(CASE WHEN a >= e THEN ll ELSE -ll END, 2) AS g2, round(a / w - (f - a) / (n - w), 4) AS delta_p_fwd, round(a / f - (w - a) / (n - f), 4) AS delta_p_bwd FROM y"""
+
+
+SQL = {
+    "kwic_word": _SEQ([f"a.lemma_key = '{NODE}'"], ["a.lemma_key"]),
+    "kwic_phrase": _SEQ(["a.lemma_key = '男'", "b.lemma_key = 'の'"], ["a.lemma_key", "b.lemma_key"]),
+    "kwic_glob": _SEQ(["(a.lemma_key LIKE '帆%' OR a.lemma_key LIKE '%坂')"], ["a.lemma_key"]),
+    "kwic_regex": _SEQ(["regexp_matches(a.lemma_key, '[雪雨].')"], ["a.lemma_key"]),
+    "kwic_pos": _SEQ(["a.pos1 LIKE '動詞%'", "b.lemma_key = 'た'", "b.pos1 LIKE '助動詞%'"], ["a.lemma_key", "b.lemma_key"]).replace("JOIN st c ON c.work_stem = a.work_stem AND c.vol_no = a.vol_no AND c.sent = a.sent AND c.i = a.i + 2", ""),
+    "kwic_mixed": _SEQ(["a.surface = 'の'", "b.pos1 LIKE '名詞%'", "c.lemma_key IN ('を', 'が')"], ["a.surface", "b.lemma_key", "c.lemma_key"]),
+    "kwic_totals": _S + f"SELECT count(*) AS hits, count(DISTINCT work_stem) AS works FROM st WHERE lemma_key = '{NODE}'",
+    "kwic_by_work": with_(ST, _NODE) + "SELECT z.work_stem, coalesce(h, 0) AS hits, z.tokens, round(coalesce(h, 0) / z.tokens * 1e4, 4) AS per_10k FROM (SELECT work_stem, count(*) AS tokens FROM st GROUP BY ALL) z LEFT JOIN (SELECT work_stem, count(*) AS h FROM nd GROUP BY ALL) USING (work_stem)",
+    "kwic_by_band": with_(ST, _NODE, ATT) + ", z AS (SELECT period AS band, count(*) AS tokens FROM st LEFT JOIN att USING (work_stem) GROUP BY period), h AS (SELECT period AS band, count(*) AS h FROM nd LEFT JOIN att USING (work_stem) GROUP BY period) SELECT z.band, coalesce(h, 0) AS hits, z.tokens, round(coalesce(h, 0) / z.tokens * 1e4, 4) AS per_10k FROM z LEFT JOIN h ON z.band IS NOT DISTINCT FROM h.band",
+    "kwic_facets": with_(ST, ATT) + f"SELECT a.work_stem, count(*) AS hits FROM st a JOIN st b ON b.work_stem = a.work_stem AND b.vol_no = a.vol_no AND b.sent = a.sent AND b.i = a.i + 1 WHERE a.pos1 LIKE '動詞%' AND a.work_stem IN (SELECT work_stem FROM att WHERE genre_main = 'fiction' AND author_sex = 'f') GROUP BY ALL",
+    "kwic_types": _S + f"SELECT a.lemma_key || ' ' || b.lemma_key AS form, count(*) AS n FROM st a JOIN st b ON b.work_stem = a.work_stem AND b.vol_no = a.vol_no AND b.sent = a.sent AND b.i = a.i + 1 WHERE a.pos1 LIKE '名詞%' AND b.lemma_key = 'の' GROUP BY 1 ORDER BY n DESC, form LIMIT 50",
+    "kwic_sorted_left1": with_(ST, _NODE) + "SELECT nd.work_stem, nd.vol_no, nd.i, p.surface AS left1 FROM nd LEFT JOIN st p ON p.work_stem = nd.work_stem AND p.vol_no = nd.vol_no AND p.sent = nd.sent AND p.i = nd.i - 1",
+    "kwic_page": with_(ST, _NODE) + "SELECT nd.work_stem, nd.vol_no, nd.i, p.surface AS right1 FROM nd LEFT JOIN st p ON p.work_stem = nd.work_stem AND p.vol_no = nd.vol_no AND p.sent = nd.sent AND p.i = nd.i + 1 ORDER BY right1 NULLS FIRST, nd.work_stem, nd.vol_no, nd.i LIMIT 20 OFFSET 10",
+    "kwic_sorted_year": with_(ST, _NODE, ATT) + "SELECT work_stem, vol_no, i, coalesce(year, 9999) AS year, author FROM nd LEFT JOIN att USING (work_stem)",
+    "kwic_rows": with_(ST, _NODE) + "SELECT nd.work_stem, nd.vol_no, nd.i, coalesce(string_agg(CASE WHEN x.i < nd.i THEN x.surface END, ' ' ORDER BY x.i), '') AS left, string_agg(CASE WHEN x.i = nd.i THEN x.surface END, ' ' ORDER BY x.i) AS key, coalesce(string_agg(CASE WHEN x.i > nd.i THEN x.surface END, ' ' ORDER BY x.i), '') AS right, count(*) FILTER (WHERE x.sent = nd.sent) AS same_sent FROM nd JOIN st x ON x.work_stem = nd.work_stem AND x.vol_no = nd.vol_no AND x.i BETWEEN nd.i - 5 AND nd.i + 5 GROUP BY nd.work_stem, nd.vol_no, nd.i",
+    "kwic_passage": _S + ", v AS (SELECT * FROM st WHERE work_stem = '099001_040404' AND vol_no = 1), e AS (SELECT min(sent) AS a, max(sent) AS b FROM v WHERE i BETWEEN 70 AND 130) SELECT work_stem, vol_no, sent, string_agg(surface, '' ORDER BY i) AS text FROM v, e WHERE sent BETWEEN a AND b GROUP BY ALL",
+    "kwic_text": "WITH p AS (SELECT doc_id, text AS t, string_split(text, '灯台坂') AS ps FROM documents WHERE contains(text, '灯台坂')), e AS (SELECT doc_id, t, unnest(range(1, len(ps))) AS k, ps FROM p), q AS (SELECT doc_id, t, CAST(list_sum(list_transform(ps[1:k], x -> length(x))) AS BIGINT) + (k - 1) * 3 + 1 AS pos FROM e) SELECT doc_id, CAST(pos AS BIGINT) AS "at", substring(t, greatest(1, pos - 28), pos - greatest(1, pos - 28)) AS "left", substring(t, pos + 3, 28) AS "right" FROM q",
+    "colloc_measures": _colloc(f"lemma_key = '{NODE}'", 2, ""),
+    "colloc_pos": _colloc("pos1 LIKE '動詞%'", 5, "WHERE pos1 IN ('名詞')"),
+    "colloc_focus": with_(ST, _TN, _OFF) + "SELECT h.work_stem, h.vol_no, h.sent, h.i, any_value(h.lemma_key) AS form, count(*) AS marks FROM st h CROSS JOIN of JOIN tn ON tn.work_stem = h.work_stem AND tn.vol_no = h.vol_no AND tn.sent = h.sent AND tn.i = h.i + o WHERE h.pos1 LIKE '動詞%' AND tn.form = 'の' GROUP BY h.work_stem, h.vol_no, h.sent, h.i",
+    "variants_by_band": with_(ST, ATT) + ", h AS (SELECT work_stem, coalesce(orthbase, '') AS sp FROM st WHERE pos1 LIKE '名詞%'), b AS (SELECT sp FROM h GROUP BY sp ORDER BY count(*) DESC, sp LIMIT 12) SELECT period AS band, CASE WHEN sp IN (SELECT sp FROM b) THEN sp ELSE '(other)' END AS spelling, count(*) AS n FROM h LEFT JOIN att USING (work_stem) GROUP BY 1, 2",
+    "variant_table": _S + ", c AS (SELECT lemma_key AS lemma, orthbase, count(*) AS n FROM st WHERE lemma_key <> '' AND orthbase <> '' GROUP BY ALL) SELECT lemma, count(*) AS types, CAST(sum(n) AS BIGINT) AS total, first(orthbase ORDER BY n DESC, orthbase) AS main, round(1 - max(n) / sum(n), 6) AS minor_share, string_agg(orthbase, '|' ORDER BY n DESC, orthbase) AS spellings FROM c GROUP BY lemma HAVING count(*) >= 2 AND sum(n) >= 3",
+    "pos_tree": _S + f"SELECT pos1, pos2, count(*) AS n FROM (SELECT pos1, coalesce(pos2, '') AS pos2 FROM st WHERE NOT {PUNCT}) GROUP BY ROLLUP (pos1, pos2) HAVING grouping(pos1) = 0",
+    "facet_counts": with_(ST, ATT) + ", w AS (SELECT * FROM (SELECT DISTINCT work_stem FROM st) LEFT JOIN att USING (work_stem)) SELECT 'author' AS facet, author AS value, count(*) AS works FROM w GROUP BY author UNION ALL SELECT 'period', period, count(*) FROM w GROUP BY period UNION ALL SELECT 'genre_main', genre_main, count(*) FROM w GROUP BY genre_main UNION ALL SELECT 'author_sex', author_sex, count(*) FROM w GROUP BY author_sex",
+}
