@@ -1,2 +1,128 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Delta, attribution, containment and agreement queries.  Works with fewer than 300 tokens carry no profile."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fumikura.operators import stylometry as st
+from fumikura.operators import tokens as tk
+from fumikura.queries.base import ATT, TOK, attributes, tok, with_
+from fumikura.sources.corpus import table
+
+N = 50
+QUESTIONED = "099001_040404"
+
+
+def _sources(s, d):
+    """Documents by source as long texts: words of letters per source."""
+    docs = table(s, d, "documents").where("source is not null and text <> ''")
+    w = docs.select(F.col("source").alias("work_stem"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}]+"), 0)).alias("lemma_key"))
+    return w
+
+
+def _rel(s, d, n=N):
+    return tk.relative_frequencies(_sources(s, d), n)
+
+
+def z_table(s, d):
+    return st.z_scores(_rel(s, d)).withColumn("z", F.round("z", 6))
+
+
+def delta_pairs(s, d):
+    return st.delta(_rel(s, d)).withColumn("delta", F.round("delta", 5))
+
+
+def cosine_delta(s, d):
+    return st.cosine_delta(_rel(s, d)).withColumn("delta", F.round("delta", 5))
+
+
+def closest_pairs(s, d):
+    return delta_pairs(s, d).orderBy("delta", "a", "b").limit(10)
+
+
+def delta_nn(s, d):
+    return st.nearest(delta_pairs(s, d), "delta")
+
+
+def delta_nn_accuracy(s, d):
+    labels = _rel(s, d).select("work_stem").distinct().withColumn("kind", F.substring_index("work_stem", "_", 1))
+    return st.same_label_rate(delta_nn(s, d), labels, "work_stem", "kind")
+
+
+def delta_attribution(s, d):
+    c = tk.counts(tok(s, d, "lemma_key"), "work_stem")
+    return st.attribution(c, attributes(s, d).select("work_stem", "author"), QUESTIONED, 50)
+
+
+def pca_scores(s, d):
+    return st.pca_scores(st.z_scores(_rel(s, d), zero="drop"))
+
+
+def ward_dendrogram(s, d):
+    return st.ward_clusters(delta_pairs(s, d), "delta")
+
+
+def shingle_containment(s, d):
+    t = table(s, d, "documents").where("doc_id is not null and text <> ''")
+    return st.shingle_containment(t, "doc_id", F.transform(st.char_shingles(F.col("text")), lambda x: F.xxhash64(x)))
+
+
+def near_dups(s, d):
+    t = table(s, d, "documents").where("doc_id is not null and text <> ''").withColumn("w", F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}]+"), 0))
+    return st.shingle_containment(t, "doc_id", F.transform(st.word_shingles(F.col("w"), 5, 1), lambda x: F.xxhash64(x)), 0.8)
+
+
+def twin_profiles(s, d):
+    p = table(s, d, "documents").where("doc_id is not null and text <> ''").select("source", F.length("text").alias("c"), F.length(F.regexp_replace("text", "[^\\u4e00-\\u9fff]", "")).alias("k"))
+    p = p.groupBy("source").agg(F.sum("c").cast("double").alias("chars"), F.count("*").cast("double").alias("docs"), (F.sum("k") / F.sum("c")).alias("kanji_ratio"))
+    return st.closest_profiles(p, "source", ["chars", "docs", "kanji_ratio"])
+
+
+def js_divergence(s, d):
+    c = tk.counts(_sources(s, d), "work_stem").withColumn("p", F.col("n") / F.sum("n").over(_by()))
+    return st.js_divergence(c, "work_stem", "term", "p")
+
+
+def _by():
+    from pyspark.sql.window import Window
+
+    return Window.partitionBy("work_stem")
+
+
+def spearman_spaces(s, d):
+    return st.rank_agreement(delta_pairs(s, d), js_divergence(s, d), "delta", "jsd")
+
+
+QUERIES = {f.__name__: f for f in (z_table, delta_pairs, cosine_delta, closest_pairs, delta_nn, delta_nn_accuracy, delta_attribution, pca_scores, ward_dendrogram, shingle_containment, near_dups, twin_profiles, js_divergence, spearman_spaces)}
+
+_W = "wd AS (SELECT source AS work_stem, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents WHERE source IS NOT NULL AND text <> ''), cw AS (SELECT work_stem, term, count(*) AS n FROM wd GROUP BY ALL)"
+_REL = f"tp AS (SELECT term FROM cw GROUP BY term ORDER BY sum(n) DESC, term LIMIT {N}), sz AS (SELECT work_stem, sum(n) AS total FROM cw GROUP BY ALL), rl AS (SELECT work_stem, term, coalesce(n, 0) / total AS rel FROM sz CROSS JOIN tp LEFT JOIN cw USING (work_stem, term))"
+_Z = "zz AS (SELECT work_stem, term, (rel - avg(rel) OVER (PARTITION BY term)) / (CASE WHEN stddev_pop(rel) OVER (PARTITION BY term) > 0 THEN stddev_pop(rel) OVER (PARTITION BY term) ELSE 1e-12 END) AS z FROM rl)"
+_D = "dl AS (SELECT x.work_stem AS a, y.work_stem AS b, round(avg(abs(x.z - y.z)), 5) AS delta FROM zz x JOIN zz y USING (term) WHERE x.work_stem < y.work_stem GROUP BY ALL)"
+_NN = "nn AS (SELECT a, min_by(b, (delta, b)) AS b, min(delta) AS delta FROM (SELECT a, b, delta FROM dl UNION ALL SELECT b, a, delta FROM dl) GROUP BY a)"
+_JS = """pp AS (SELECT work_stem, term, n / sum(n) OVER (PARTITION BY work_stem) AS p FROM cw), gr AS (SELECT x.work_stem AS a, y.work_stem AS b FROM (SELECT DISTINCT work_stem FROM cw) x, (SELECT DISTINCT work_stem FROM cw) y WHERE x.work_stem < y.work_stem),
+cm AS (SELECT x.work_stem AS a, y.work_stem AS b, sum((-x.p * log2(x.p) - y.p * log2(y.p) + (x.p + y.p) * log2(x.p + y.p)) / 2) AS less FROM pp x JOIN pp y USING (term) WHERE x.work_stem < y.work_stem GROUP BY ALL),
+js AS (SELECT a, b, round(greatest(0.0e0, least(1.0e0, 1.0e0 - coalesce(less, 0.0e0))), 6) AS jsd FROM gr LEFT JOIN cm USING (a, b))"""
+
+
+def _contain(shingles: str, least: str) -> str:
+    return f"""WITH dd AS (SELECT doc_id, list_sort(list_distinct({shingles})) AS s FROM documents WHERE doc_id IS NOT NULL AND text <> ''), cl AS (SELECT min(doc_id) AS k, count(*) AS copies, s FROM dd WHERE len(s) > 0 GROUP BY s),
+ee AS (SELECT k, copies, len(s) AS n, unnest(s) AS x FROM cl), jj AS (SELECT p.k AS a, q.k AS b, count(*) AS common, any_value(p.n) AS na, any_value(q.n) AS nb, any_value(p.copies) AS a_class, any_value(q.copies) AS b_class FROM ee p JOIN ee q USING (x) WHERE p.k < q.k GROUP BY p.k, q.k)
+SELECT a, b, common, round(common / least(na, nb), 6) AS containment, a_class, b_class FROM jj WHERE common / least(na, nb) >= {least}"""
+
+
+_BODY = "regexp_replace(text, '[\\s\\x{3000}]', '', 'g')"
+SQL = {
+    "z_table": with_(_W, _REL, _Z) + "SELECT work_stem, term, round(z, 6) AS z FROM zz",
+    "delta_pairs": with_(_W, _REL, _Z, _D) + "SELECT * FROM dl",
+    "cosine_delta": with_(_W, _REL, _Z) + "SELECT x.work_stem AS a, y.work_stem AS b, round(1 - sum(x.z * y.z) / (sqrt(sum(x.z * x.z)) * sqrt(sum(y.z * y.z))), 5) AS delta FROM zz x JOIN zz y USING (term) WHERE x.work_stem < y.work_stem GROUP BY ALL",
+    "closest_pairs": with_(_W, _REL, _Z, _D) + "SELECT * FROM dl ORDER BY delta, a, b LIMIT 10",
+    "delta_nn": with_(_W, _REL, _Z, _D, _NN) + "SELECT * FROM nn",
+    "delta_nn_accuracy": with_(_W, _REL, _Z, _D, _NN) + "SELECT count(*) AS units, round(count(*) FILTER (WHERE split_part(a, '_', 1) = split_part(b, '_', 1)) / count(*), 6) AS rate FROM nn",
+    "delta_attribution": with_(TOK, ATT, "cw AS (SELECT work_stem, lemma_key AS term, count(*) AS n FROM tok WHERE lemma_key <> '' GROUP BY ALL)", f"tp AS (SELECT term FROM cw WHERE work_stem <> '{QUESTIONED}' GROUP BY term ORDER BY sum(n) DESC, term LIMIT 50), sz AS (SELECT work_stem, sum(n) AS size FROM cw GROUP BY ALL), rl AS (SELECT work_stem, term, coalesce(n, 0) * 1e4 / size AS rel FROM sz CROSS JOIN tp LEFT JOIN cw USING (work_stem, term)), ms AS (SELECT term, avg(rel) AS mu, stddev_pop(rel) AS sd FROM rl WHERE work_stem <> '{QUESTIONED}' GROUP BY term HAVING stddev_pop(rel) > 0), zz AS (SELECT work_stem, term, (rel - mu) / sd AS z FROM rl JOIN ms USING (term)), pf AS (SELECT author, term, avg(z) AS pz FROM zz JOIN att USING (work_stem) WHERE work_stem <> '{QUESTIONED}' AND author IS NOT NULL GROUP BY ALL), dd AS (SELECT author, term, abs(pz - z) AS df FROM pf JOIN (SELECT term, z FROM zz WHERE work_stem = '{QUESTIONED}') USING (term))") + "SELECT author, round(avg(df), 5) AS delta, max_by(term, (round(df, 9), term)) AS strongest FROM dd GROUP BY author",
+    "shingle_containment": _contain(f"CASE WHEN length({_BODY}) >= 12 THEN list_transform(range(1, length({_BODY}) - 10, 6), p -> substring({_BODY}, CAST(p AS INTEGER), 12)) ELSE [] END", "0.15e0"),
+    "near_dups": _contain("list_transform(range(1, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) - 3), p -> array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')[p:p + 4], ' '))", "0.8e0"),
+    "twin_profiles": "WITH p AS (SELECT source, CAST(sum(length(text)) AS DOUBLE) AS c, CAST(count(*) AS DOUBLE) AS d, sum(length(regexp_replace(text, '[^\\x{4e00}-\\x{9fff}]', '', 'g'))) / sum(length(text)) AS k FROM documents WHERE doc_id IS NOT NULL AND text <> '' GROUP BY source), z AS (SELECT source, (c - avg(c) OVER ()) / nullif(stddev_pop(c) OVER (), 0) AS c, (d - avg(d) OVER ()) / nullif(stddev_pop(d) OVER (), 0) AS d, (k - avg(k) OVER ()) / nullif(stddev_pop(k) OVER (), 0) AS k FROM p) SELECT x.source AS a, y.source AS b, round(sqrt(coalesce((x.c - y.c) ** 2, 0) + coalesce((x.d - y.d) ** 2, 0) + coalesce((x.k - y.k) ** 2, 0)), 6) AS dist FROM z x JOIN z y ON x.source < y.source ORDER BY dist, a, b LIMIT 1",
+    "js_divergence": with_(_W, _JS) + "SELECT * FROM js",
+    "spearman_spaces": with_(_W, _REL, _Z, _D, _JS) + ", j AS (SELECT delta AS x, jsd AS y FROM dl JOIN js USING (a, b)), r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM j) SELECT count(*) AS n, round(covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0), 6) AS rho FROM r",
+}

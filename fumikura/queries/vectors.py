@@ -1,2 +1,111 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Co-occurrence, embedding and confound queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fumikura.operators import tokens as tk
+from fumikura.operators import vectors as ve
+from fumikura.queries.base import TOK, attributes, tok, with_
+from fumikura.sources.corpus import table
+
+
+def _vecs(s, d):
+    e = table(s, d, "embeddings").where("vec_id is not null and embedding is not null")
+    return e.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vec"), F.col("label").cast("int").alias("label"), (F.col("vec_id") % 4).cast("int").alias("author"))
+
+
+def cooc(s, d):
+    return ve.cooccurrence(tok(s, d, "lemma_key"), 5, 200)
+
+
+def ppmi(s, d):
+    return ve.ppmi(cooc(s, d))
+
+
+def ppmi_svd_norms(s, d):
+    v = ve.svd_vectors(ppmi(s, d), "ppmi", 20)
+    return v.select("term", F.round(F.sqrt(ve.dot(F.col("vec"), F.col("vec"))), 4).alias("norm"))
+
+
+def embed_nn(s, d):
+    return ve.neighbours(_vecs(s, d), "vec_id", F.col("vec_id") % 20 == 0, 5).select("q", "key", F.round("sim", 6).alias("sim"), "rank")
+
+
+def embed_within_between(s, d):
+    return ve.gaps(_vecs(s, d), ["label", "author"])
+
+
+def embed_nn_accuracy(s, d):
+    v = _vecs(s, d)
+    nn = ve.neighbours(v, "vec_id", F.col("vec_id") % 20 == 0, 1)
+    lb = v.select("vec_id", "label")
+    j = nn.join(lb.withColumnsRenamed({"vec_id": "q", "label": "lq"}), "q").join(lb.withColumnsRenamed({"vec_id": "key", "label": "lk"}), "key")
+    return j.agg(F.count("*").alias("units"), F.round(F.count_if(F.col("lq").eqNullSafe(F.col("lk"))) / F.count("*"), 6).alias("rate"))
+
+
+def embed_centroids(s, d):
+    c = ve.centroids(_vecs(s, d), "label")
+    return c.select("label", F.posexplode("vec").alias("d", "x")).select("label", "d", F.round("x", 6).alias("x"))
+
+
+def embed_centering(s, d):
+    v = _vecs(s, d)
+    g0, g1 = ve.gaps(v, ["label"]), ve.gaps(ve.centred(v, "author"), ["label"])
+    j = g0.select("attribute", F.col("gap").alias("gap_before")).join(g1.select("attribute", F.col("gap").alias("gap_after")), "attribute")
+    return j.select("*", F.round(F.col("gap_after") / F.nullif(F.col("gap_before"), F.lit(0.0)), 4).alias("retention"))
+
+
+def work_vectors(s, d):
+    """Mean of term vectors per work (PPMI-SVD), as squared norms."""
+    v = ve.svd_vectors(ppmi(s, d), "ppmi", 10)
+    c = tk.counts(tok(s, d, "lemma_key"), "work_stem").join(F.broadcast(v), "term")  # at most 200 terms
+    e = c.select("work_stem", "n", F.posexplode("vec").alias("d", "x")).groupBy("work_stem", "d").agg((F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("x"))
+    return e.groupBy("work_stem").agg(F.round(F.sqrt(F.sum(F.col("x") * F.col("x"))), 4).alias("norm"), F.count("*").alias("dims"))
+
+
+def _slice_vectors(s, d):
+    p = attributes(s, d).select("work_stem", F.when(F.col("period") <= "4", "early").otherwise("late").alias("slice")).where("period is not null")
+    t = tok(s, d, "lemma_key", sentences=True).where("lemma_key <> ''").join(p, "work_stem")
+    g = t.groupBy("slice", "work_stem", "vol_no", "sent").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "lemma_key"))), lambda x: x["lemma_key"]).alias("words"))
+    return {n: ve.word_vectors(g.where(F.col("slice") == n).select("words").orderBy("words"), 16, 3, 5) for n in ("early", "late")}
+
+
+def drift_table(s, d):
+    v = _slice_vectors(s, d)
+    v["early"] = ve.rotate(v["early"], ve.procrustes(v["late"], v["early"]))
+    return ve.drift(v)
+
+
+def w2v_neighbours(s, d):
+    v = _slice_vectors(s, d)["late"]
+    return ve.neighbours(v, "term", F.col("term").isin("男", "見る", "雨", "の"), 5)
+
+
+def group_cv(s, d):
+    return ve.grouped_accuracy(_vecs(s, d), "label", "author")
+
+
+def perm_control(s, d):
+    v = _vecs(s, d)
+    p = ve.permute(v, "vec_id", "label")
+    real, ctrl = ve.gaps(v, ["label"]), ve.gaps(v.drop("label").join(p, "vec_id"), ["label"])
+    return real.withColumn("labels", F.lit("real")).union(ctrl.withColumn("labels", F.lit("permuted")))
+
+
+QUERIES = {f.__name__: f for f in (cooc, ppmi, ppmi_svd_norms, embed_nn, embed_within_between, embed_nn_accuracy, embed_centroids, embed_centering, work_vectors, drift_table, w2v_neighbours, group_cv, perm_control)}
+
+_CO = "vc AS (SELECT lemma_key FROM tok WHERE lemma_key <> '' GROUP BY lemma_key ORDER BY count(*) DESC, lemma_key LIMIT 200), tv AS (SELECT work_stem, vol_no, i, lemma_key AS term FROM tok WHERE lemma_key IN (SELECT lemma_key FROM vc)), co AS (SELECT x.term AS a, y.term AS b, count(*) AS n FROM tv x JOIN tv y ON x.work_stem = y.work_stem AND x.vol_no = y.vol_no AND y.i BETWEEN x.i - 5 AND x.i + 5 AND x.i <> y.i WHERE x.term <> y.term GROUP BY ALL)"
+_V = "v0 AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec, CAST(label AS INTEGER) AS label, CAST(vec_id % 4 AS INTEGER) AS author FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL), v1 AS (SELECT vec_id, label, author, list_transform(vec, x -> x / sqrt(list_dot_product(vec, vec))) AS u FROM v0)"
+_GAP = lambda lb, src="v1": f"SELECT '{lb}' AS attribute, round(avg(c) FILTER (WHERE same), 6) AS within, round(avg(c) FILTER (WHERE NOT same), 6) AS between, round(avg(c) FILTER (WHERE same) - avg(c) FILTER (WHERE NOT same), 6) AS gap FROM (SELECT list_dot_product(x.u, y.u) AS c, x.{lb} = y.{lb} AS same FROM {src} x JOIN {src} y ON x.vec_id < y.vec_id WHERE x.{lb} IS NOT NULL AND y.{lb} IS NOT NULL)"
+_NNQ = "nq AS (SELECT x.vec_id AS q, y.vec_id AS key, round(list_dot_product(x.u, y.u), 9) AS sim, row_number() OVER (PARTITION BY x.vec_id ORDER BY round(list_dot_product(x.u, y.u), 9) DESC, y.vec_id) AS rank FROM v1 x JOIN v1 y ON x.vec_id <> y.vec_id WHERE x.vec_id % 20 = 0)"
+_CEN = "ex AS (SELECT vec_id, author, label, unnest(vec) AS x, generate_subscripts(vec, 1) AS d FROM v0), ce AS (SELECT vec_id, author, label, d, x - avg(x) OVER (PARTITION BY author, d) AS x FROM ex), cl AS (SELECT vec_id, author, label, list(x ORDER BY d) AS vec FROM ce GROUP BY ALL), v2 AS (SELECT vec_id, label, author, list_transform(vec, x -> x / sqrt(list_dot_product(vec, vec))) AS u FROM cl)"
+SQL = {
+    "cooc": with_(TOK, _CO) + "SELECT * FROM co",
+    "ppmi": with_(TOK, _CO) + ", m AS (SELECT a, sum(n) AS n FROM co GROUP BY a), t AS (SELECT sum(n) AS t FROM co) SELECT * FROM (SELECT co.a, co.b, round(ln(co.n * t / (CAST(x.n AS DOUBLE) * y.n)), 6) AS ppmi FROM co JOIN m x ON x.a = co.a JOIN m y ON y.a = co.b, t) WHERE ppmi > 0",
+    "embed_nn": with_(_V, _NNQ) + "SELECT q, key, round(sim, 6) AS sim, rank FROM nq WHERE rank <= 5",
+    "embed_within_between": with_(_V) + _GAP("label") + " UNION ALL " + _GAP("author"),
+    "embed_nn_accuracy": with_(_V, _NNQ) + "SELECT count(*) AS units, round(count(*) FILTER (WHERE a.label IS NOT DISTINCT FROM b.label) / count(*), 6) AS rate FROM nq JOIN v0 a ON a.vec_id = q JOIN v0 b ON b.vec_id = key WHERE rank = 1",
+    "embed_centroids": with_(_V) + ", e AS (SELECT label, unnest(vec) AS x, generate_subscripts(vec, 1) - 1 AS d FROM v0) SELECT label, CAST(d AS INTEGER) AS d, round(avg(x), 6) AS x FROM e GROUP BY ALL",
+    "embed_centering": with_(_V, _CEN) + ", a AS (" + _GAP("label") + "), b AS (" + _GAP("label", "v2") + ") SELECT a.attribute, a.gap AS gap_before, b.gap AS gap_after, round(b.gap / nullif(a.gap, 0), 4) AS retention FROM a JOIN b USING (attribute)",
+}
