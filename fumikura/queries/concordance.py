@@ -158,7 +158,7 @@ SQL = {
     "kwic_sorted_year": with_(ST, _NODE, ATT) + "SELECT work_stem, vol_no, i, coalesce(year, 9999) AS year, author FROM nd LEFT JOIN att USING (work_stem)",
     "kwic_rows": with_(ST, _NODE) + "SELECT nd.work_stem, nd.vol_no, nd.i, coalesce(string_agg(CASE WHEN x.i < nd.i THEN x.surface END, ' ' ORDER BY x.i), '') AS left, string_agg(CASE WHEN x.i = nd.i THEN x.surface END, ' ' ORDER BY x.i) AS key, coalesce(string_agg(CASE WHEN x.i > nd.i THEN x.surface END, ' ' ORDER BY x.i), '') AS right, count(*) FILTER (WHERE x.sent = nd.sent) AS same_sent FROM nd JOIN st x ON x.work_stem = nd.work_stem AND x.vol_no = nd.vol_no AND x.i BETWEEN nd.i - 5 AND nd.i + 5 GROUP BY nd.work_stem, nd.vol_no, nd.i",
     "kwic_passage": _S + ", v AS (SELECT * FROM st WHERE work_stem = '099001_040404' AND vol_no = 1), e AS (SELECT min(sent) AS a, max(sent) AS b FROM v WHERE i BETWEEN 70 AND 130) SELECT work_stem, vol_no, sent, string_agg(surface, '' ORDER BY i) AS text FROM v, e WHERE sent BETWEEN a AND b GROUP BY ALL",
-    "kwic_text": '''WITH p AS (SELECT doc_id, text AS t, string_split(text, '灯台坂') AS ps FROM documents WHERE contains(text, '灯台坂')), e AS (SELECT doc_id, t, unnest(range(1, len(ps))) AS k, ps FROM p), q AS (SELECT doc_id, t, CAST(list_sum(list_transform(ps[1:k], x -> length(x))) AS BIGINT) + (k - 1) * 3 + 1 AS pos FROM e) SELECT doc_id, CAST(pos AS BIGINT) AS "at", substring(t, greatest(1, pos - 28), pos - greatest(1, pos - 28)) AS "left", substring(t, pos + 3, 28) AS "right" FROM q''',
+    "kwic_text": '''WITH p AS (SELECT doc_id, text AS t, string_split(text, '灯台坂') AS ps FROM documents WHERE contains(text, '灯台坂')), e AS (SELECT doc_id, t, unnest(range(1, len(ps))) AS k, ps FROM p), q AS (SELECT doc_id, t, CAST(list_sum(list_transform(ps[1:k], lambda x: length(x))) AS BIGINT) + (k - 1) * 3 + 1 AS pos FROM e) SELECT doc_id, CAST(pos AS BIGINT) AS "at", substring(t, greatest(1, pos - 28), pos - greatest(1, pos - 28)) AS "left", substring(t, pos + 3, 28) AS "right" FROM q''',
     "colloc_measures": _colloc(f"lemma_key = '{NODE}'", 2, ""),
     "colloc_pos": _colloc("pos1 LIKE '動詞%'", 5, "WHERE pos1 IN ('名詞')"),
     "colloc_focus": with_(ST, _TN, _OFF) + "SELECT h.work_stem, h.vol_no, h.sent, h.i, any_value(h.lemma_key) AS form, count(*) AS marks FROM st h CROSS JOIN of JOIN tn ON tn.work_stem = h.work_stem AND tn.vol_no = h.vol_no AND tn.sent = h.sent AND tn.i = h.i + o WHERE h.pos1 LIKE '動詞%' AND tn.form = 'の' GROUP BY h.work_stem, h.vol_no, h.sent, h.i",

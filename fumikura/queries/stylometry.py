@@ -120,8 +120,8 @@ SQL = {
     "delta_nn": with_(_W, _REL, _Z, _D, _NN) + "SELECT * FROM nn",
     "delta_nn_accuracy": with_(_W, _REL, _Z, _D, _NN) + "SELECT count(*) AS units, round(count(*) FILTER (WHERE split_part(a, '_', 1) = split_part(b, '_', 1)) / count(*), 6) AS rate FROM nn",
     "delta_attribution": with_(TOK, ATT, "cw AS (SELECT work_stem, lemma_key AS term, count(*) AS n FROM tok WHERE lemma_key <> '' GROUP BY ALL)", f"tp AS (SELECT term FROM cw WHERE work_stem <> '{QUESTIONED}' GROUP BY term ORDER BY sum(n) DESC, term LIMIT 50), sz AS (SELECT work_stem, sum(n) AS size FROM cw GROUP BY ALL), rl AS (SELECT work_stem, term, coalesce(n, 0) * 1e4 / size AS rel FROM sz CROSS JOIN tp LEFT JOIN cw USING (work_stem, term)), ms AS (SELECT term, avg(rel) AS mu, stddev_pop(rel) AS sd FROM rl WHERE work_stem <> '{QUESTIONED}' GROUP BY term HAVING stddev_pop(rel) > 0), zz AS (SELECT work_stem, term, (rel - mu) / sd AS z FROM rl JOIN ms USING (term)), pf AS (SELECT author, term, avg(z) AS pz FROM zz JOIN att USING (work_stem) WHERE work_stem <> '{QUESTIONED}' AND author IS NOT NULL GROUP BY ALL), dd AS (SELECT author, term, abs(pz - z) AS df FROM pf JOIN (SELECT term, z FROM zz WHERE work_stem = '{QUESTIONED}') USING (term))") + "SELECT author, round(avg(df), 5) AS delta, max_by(term, (round(df, 9), term)) AS strongest FROM dd GROUP BY author",
-    "shingle_containment": _contain(f"CASE WHEN length({_BODY}) >= 12 THEN list_transform(range(1, length({_BODY}) - 10, 6), p -> substring({_BODY}, CAST(p AS INTEGER), 12)) ELSE [] END", "0.15e0"),
-    "near_dups": _contain("list_transform(range(1, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) - 3), p -> array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')[p:p + 4], ' '))", "0.8e0"),
+    "shingle_containment": _contain(f"CASE WHEN length({_BODY}) >= 12 THEN list_transform(range(1, length({_BODY}) - 10, 6), lambda p: substring({_BODY}, CAST(p AS INTEGER), 12)) ELSE [] END", "0.15e0"),
+    "near_dups": _contain("list_transform(range(1, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) - 3), lambda p: array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')[p:p + 4], ' '))", "0.8e0"),
     "twin_profiles": "WITH p AS (SELECT source, CAST(sum(length(text)) AS DOUBLE) AS c, CAST(count(*) AS DOUBLE) AS d, sum(length(regexp_replace(text, '[^\\x{4e00}-\\x{9fff}]', '', 'g'))) / sum(length(text)) AS k FROM documents WHERE doc_id IS NOT NULL AND text <> '' GROUP BY source), z AS (SELECT source, (c - avg(c) OVER ()) / nullif(stddev_pop(c) OVER (), 0) AS c, (d - avg(d) OVER ()) / nullif(stddev_pop(d) OVER (), 0) AS d, (k - avg(k) OVER ()) / nullif(stddev_pop(k) OVER (), 0) AS k FROM p) SELECT x.source AS a, y.source AS b, round(sqrt(coalesce((x.c - y.c) ** 2, 0) + coalesce((x.d - y.d) ** 2, 0) + coalesce((x.k - y.k) ** 2, 0)), 6) AS dist FROM z x JOIN z y ON x.source < y.source ORDER BY dist, a, b LIMIT 1",
     "js_divergence": with_(_W, _JS) + "SELECT * FROM js",
     "spearman_spaces": with_(_W, _REL, _Z, _D, _JS) + ", j AS (SELECT delta AS x, jsd AS y FROM dl JOIN js USING (a, b)), r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM j) SELECT count(*) AS n, round(covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0), 6) AS rho FROM r",

@@ -1,2 +1,227 @@
-QUERIES: dict = {}
-SQL: dict = {}
+"""Queries over titles, classifications, spellings, notes and the structure of texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from fumikura.functions import keys, marks, text
+from fumikura.operators import resolve
+from fumikura.operators import tokens as tk
+from fumikura.queries.base import TOK, UNKNOWN, sql_narrow, sql_strip, tok, with_
+from fumikura.sources.corpus import table
+
+
+def _meta(s, d, *cols):
+    return table(s, d, "corpus_metadata_v2").where("id is not null").select("id", *cols).distinct()
+
+
+def _docs(s, d):
+    return table(s, d, "documents").where("doc_id is not null and text is not null")
+
+
+def title_keys(s, d):
+    return _meta(s, d, "author_ja", "title_aozora").select("id", text.author_key(F.col("author_ja")).alias("author_key"), text.title_key(F.col("title_aozora")).alias("title_key"), text.base_title(F.col("title_aozora")).alias("base_title")).distinct()
+
+
+def year_ranges(s, d):
+    lo, hi = text.years(keys.narrow(F.col("period")))
+    return _meta(s, d, "period").select("id", lo.alias("first"), hi.alias("last")).distinct()
+
+
+def ndc_genres(s, d):
+    return _meta(s, d, "ndc").select("id", text.ndc_primary(F.col("ndc")).alias("ndc"), text.genre_of_ndc(F.col("ndc")).alias("genre")).distinct()
+
+
+def year_bands(s, d):
+    y = F.expr("try_cast(year_first as int)")
+    return _meta(s, d, "year_first").select("id", y.alias("year"), text.period_of_year(y).alias("period6"), text.period5(text.period_of_year(y)).alias("period5"), text.year_band(y).alias("band")).distinct()
+
+
+def style_classes(s, d):
+    b, k = F.expr("try_cast(bungo_per10k as double)"), F.expr("try_cast(kogo_per10k as double)")
+    return _meta(s, d, "bungo_per10k", "kogo_per10k").select("id", b.alias("bungo"), k.alias("kogo"), text.style_class(b, k).alias("style")).distinct()
+
+
+def style_confusion(s, d):
+    m = style_classes(s, d).join(_meta(s, d, "style_class").select("id", F.substring(keys.strip(keys.narrow(F.col("style_class"))), 1, 1).alias("stated")).distinct(), "id")
+    return m.groupBy("stated", "style").agg(F.count("*").alias("works"))
+
+
+def work_labels(s, d):
+    return _meta(s, d, "author_ja", "title_aozora").select("id", F.concat(F.substring(F.coalesce("author_ja", F.lit("")), 1, 12), F.lit("『"), F.substring(F.coalesce("title_aozora", F.lit("")), 1, 12), F.lit("』")).alias("label")).distinct()
+
+
+def note_classes(s, d):
+    n = _docs(s, d).select(F.explode(F.regexp_extract_all("text", F.lit("［＃([^］]*)］"), 1)).alias("note"))
+    return n.groupBy(text.note_kind(F.col("note")).alias("kind")).agg(F.count("*").alias("notes"), F.count_distinct("note").alias("forms"))
+
+
+def glosses(s, d):
+    g = _docs(s, d).select("doc_id", F.regexp_extract_all("text", F.lit("《([^》]*)》"), 1).alias("g"), F.length(text.strip_gloss(F.col("text"))).alias("chars_left")).where(F.size("g") > 0)
+    return g.select("doc_id", F.size("g").alias("glosses"), "chars_left")
+
+
+def char_profile(s, d):
+    r = tk.char_ratios(F.col("text"))
+    return _docs(s, d).select("doc_id", *(c.alias(n) for n, c in r.items()))
+
+
+def sentence_profile(s, d):
+    p = F.filter(F.split("text", "[。！？]"), lambda x: F.trim(x) != "")
+    return _docs(s, d).select("doc_id", F.size(p).alias("sentences"), F.round(F.aggregate(p, F.lit(0), lambda a, x: a + F.length(x)) / F.nullif(F.size(p), F.lit(0)), 4).alias("mean_chars"))
+
+
+def tidy_lengths(s, d):
+    return _docs(s, d).select("doc_id", F.length(text.fold_width(F.col("text"))).alias("folded"), F.length(text.tidy(F.col("text"))).alias("tidied"))
+
+
+def paragraph_rows(s, d):
+    p = _docs(s, d).select("doc_id", F.posexplode(F.split(F.regexp_replace("text", "\\r", ""), "\\n+")).alias("par", "t"))
+    return p.where("t <> ''").select("doc_id", "par", F.length("t").alias("chars"), F.startswith(F.col("t"), F.lit("「")).alias("speech"))
+
+
+def speech_marks(s, d):
+    c = lambda x: F.length("text") - F.length(F.replace("text", F.lit(x), F.lit("")))
+    t = _docs(s, d).select("doc_id", c("「").alias("o"), c("」").alias("z"), c("『").alias("oo"), c("』").alias("zz"), F.length("text").alias("chars"))
+    said, unclosed = F.least("o", "z"), F.greatest(F.col("o") - F.col("z"), F.lit(0))
+    first = F.when((F.least("oo", "zz") >= 20) & (F.least("oo", "zz") > said * 1.5), "『』").otherwise("「」")
+    return t.select("doc_id", said.alias("said"), unclosed.alias("unclosed"), first.alias("first_level"), text.speech_grade(said, unclosed, F.col("chars")).alias("grade"))
+
+
+def speech_share(s, d):
+    t = _docs(s, d).select("source", F.length("text").alias("n"), F.aggregate(F.regexp_extract_all("text", F.lit("「[^「」]*」"), 0), F.lit(0), lambda a, x: a + F.length(x)).alias("q"))
+    return t.groupBy("source").agg(F.sum("n").alias("chars"), F.sum("q").alias("speech_chars"), F.round(F.sum("q") / F.nullif(F.sum("n"), F.lit(0)), 6).alias("speech_ratio"))
+
+
+def stream_sizes(s, d):
+    return table(s, d, "documents").groupBy("stream").agg(F.count("*").alias("docs"), F.count("text").alias("texts"), F.sum(F.length("text")).alias("chars"))
+
+
+def colophons(s, d):
+    h = text.colophon_hits(F.col("text"))
+    return _docs(s, d).select("doc_id", h.alias("hits"), F.size(text.body_lines(F.col("text"))).alias("body_lines"), F.size(F.split("text", "\n")).alias("lines"))
+
+
+def _unknown(s, d):
+    return tok(s, d, "surface", "lemma", "pos1", "pos2").where(tk.is_unknown())
+
+
+def unknown_classes(s, d):
+    w = _unknown(s, d).groupBy("surface").agg(F.count("*").alias("n"))
+    return w.groupBy(text.unknown_class(F.col("surface")).alias("class")).agg(F.count("*").alias("types"), F.sum("n").alias("tokens"), F.max("surface").alias("example"))
+
+
+def unknown_pos(s, d):
+    w = _unknown(s, d).groupBy("surface", F.concat_ws("-", tk.nonempty("pos1"), tk.nonempty("pos2")).alias("pos")).agg(F.count("*").alias("n"))
+    return w.groupBy("surface").agg(F.sum("n").alias("tokens"), F.max(F.struct("n", "pos")).alias("m")).select("surface", "tokens", F.col("m.pos").alias("pos"))
+
+
+def katakana_groups(s, d):
+    w = tok(s, d, "surface").where(F.col("surface").rlike("^[\\u30a1-\\u30faー]{2,}$")).groupBy("surface").agg(F.count("*").alias("n"))
+    g = w.groupBy(text.katakana_key(F.col("surface")).alias("key")).agg(F.count("*").alias("forms"), F.sum("n").alias("total"), F.array_join(F.array_sort(F.collect_list("surface")), "|").alias("spellings"))
+    return g.where("forms > 1")
+
+
+def forced_splits(s, d):
+    """Runs of two or more known katakana tokens in a sentence."""
+    t = tok(s, d, "surface", "lemma", "pos1", sentences=True).withColumn("k", F.col("surface").rlike("^[\\u30a1-\\u30faー]+$") & ~tk.is_unknown() & ~tk.is_punct()).where("k")
+    w = Window.partitionBy("work_stem", "vol_no", "sent").orderBy("i")  # a sentence
+    t = t.withColumn("island", F.col("i") - F.row_number().over(w))
+    g = t.groupBy("work_stem", "vol_no", "sent", "island").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "surface"))), lambda x: x["surface"]), "|").alias("run"))
+    return g.where("n > 1").groupBy("run").agg(F.count("*").alias("times"), F.first("n").alias("parts"))
+
+
+def key_variant_join(s, d):
+    f = tok(s, d, "surface").groupBy("work_stem").agg(F.count("*").alias("tokens"))
+    return resolve.join_metadata(f, table(s, d, "corpus_metadata_v2")).select("work_stem", "tokens", "meta_id")
+
+
+def unmatched_report(s, d):
+    return resolve.unmatched(key_variant_join(s, d))
+
+
+def resolve_rank(s, d):
+    m = _meta(s, d, "author_ja", "title_aozora").select("id", F.col("author_ja").alias("author"), F.col("title_aozora").alias("title"))
+    c = table(s, d, "chunks_index").where("title is not null").select("work_stem", "author_ja", "title").distinct()
+    c = c.groupBy("work_stem").agg(F.min("author_ja").alias("author"), F.min("title").alias("title")).withColumnRenamed("work_stem", "wid")
+    return resolve.match_titles(c, m.groupBy("id").agg(F.min("author").alias("author"), F.min("title").alias("title")))
+
+
+def match_misses(s, d):
+    m = table(s, d, "corpus_metadata_v2").where("id is not null").groupBy("id").agg(F.min("author_ja").alias("author"), F.min("title_aozora").alias("title"))
+    c = m.select(F.col("id").alias("wid"), "author", F.concat(F.col("title"), F.lit("補遺")).alias("title")).where("wid like '%0'")
+    return resolve.diagnose_misses(c, m)
+
+
+def merged_volumes(s, d):
+    parts = _docs(s, d).where("work_stem is not null").select(F.col("doc_id").alias("member"), F.col("text"))
+    m = _docs(s, d).where("work_stem is not null").select(F.col("work_stem").alias("canonical"), F.col("doc_id").alias("ord"), F.col("doc_id").alias("member"))
+    return resolve.merge_volumes(parts, m).select("canonical", F.length("text").alias("chars"), F.size("members").alias("members"))
+
+
+def filled_blanks(s, d):
+    a = table(s, d, "chunks_index").groupBy("work_stem").agg(F.min("period5").alias("period5"), F.min("genre_main").alias("genre_main"))
+    b = table(s, d, "corpus_metadata_v2").select(keys.work_stem(F.col("aozora_person_id"), F.col("aozora_work_id")).alias("work_stem"), keys.category(F.col("genre_main")).alias("genre_main"), "kana_orthography").groupBy("work_stem").agg(F.min("genre_main").alias("genre_main"), F.min("kana_orthography").alias("kana_orthography"))
+    return resolve.fill_blanks(a, b, "work_stem", ["genre_main", "kana_orthography"])
+
+
+def iteration_marks(s, d):
+    t = _docs(s, d).select("doc_id", marks.iteration_marks("text").alias("t"), F.col("text"))
+    return t.select("doc_id", (F.col("t") != F.col("text")).alias("changed"), F.length("t").alias("chars"))
+
+
+def quote_scan(s, d):
+    t = _docs(s, d).select("doc_id", F.explode(marks.spans_of(F.col("text"))).alias("x"))
+    return t.groupBy("x.kind").agg(F.count("*").alias("spans"), F.count_distinct("doc_id").alias("docs"))
+
+
+def html_text(s, d):
+    page = F.concat(F.lit('<html><body><h1>x</h1><div class="main_text"><ruby>'), F.col("text"), F.lit("<rt>よみ</rt></ruby></div><div class='bibliographical_information'>底本</div></body></html>"))
+    return _docs(s, d).where("text not like '%<%' and text not like '%&%'").select("doc_id", F.length(marks.html_text(page)).alias("chars"))
+
+
+def decoded_pages(s, d):
+    raw = F.concat(F.encode(F.lit("<meta charset=utf-8>"), "UTF-8"), F.encode(F.col("text"), "UTF-8"))
+    return _docs(s, d).select("doc_id", (F.length(marks.decode_page(raw)) - 20).alias("chars"))
+
+
+QUERIES = {f.__name__: f for f in (title_keys, year_ranges, ndc_genres, year_bands, style_classes, style_confusion, work_labels, note_classes, glosses, char_profile, sentence_profile, tidy_lengths, paragraph_rows, speech_marks, speech_share, stream_sizes, colophons, unknown_classes, unknown_pos, katakana_groups, forced_splits, key_variant_join, unmatched_report, resolve_rank, match_misses, merged_volumes, filled_blanks, iteration_marks, quote_scan, html_text, decoded_pages)}
+
+_DOC = "dc AS (SELECT * FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)"
+_AK = lambda c: f"regexp_replace({c}, '[\\s\\x{{3000}}・･]', '', 'g')"
+_TK = lambda c: f"regexp_replace(regexp_replace({c}, '[\\s\\x{{3000}}「」『』（）()［］\\[\\]〔〕【】、。，．・！？!?,.:：;；―—－ー〜~-]', '', 'g'), '^[0-9０-９]+', '')"
+_BT = lambda c: _TK(f"regexp_replace(trim(regexp_replace({c}, '[（(].*$', ''), ' '), '[上中下前後]?巻?$', '')")
+_CNT = lambda x: f"(length(text) - length(replace(text, '{x}', '')))"
+_BODY = "regexp_replace(text, '[\\s\\x{3000}]', '', 'g')"
+_CC = lambda p: f"CAST(length(regexp_replace({_BODY}, '{p}', '', 'g')) AS INTEGER)"
+_UW = f"uw AS (SELECT surface, pos1, pos2, count(*) AS n FROM tok WHERE {UNKNOWN} GROUP BY ALL)"
+_VERB = "(たり|けり|なり|べし|ざる|らむ|けむ|つれ|ける|ぬる|たる|し)$"
+_COLO = " + ".join(f"(CASE WHEN contains(flat, '{m}') THEN 1 ELSE 0 END)" for m in text.COLOPHON)
+_KK = "replace(regexp_replace(regexp_replace(regexp_replace(translate(replace(replace(replace(replace(replace(replace(replace(replace(surface, 'ヰ', 'ウイ'), 'ヱ', 'ウエ'), 'ヲ', 'ウオ'), 'ヴ', 'ブ'), 'ヷ', 'バ'), 'ヸ', 'ビ'), 'ヹ', 'ベ'), 'ヺ', 'ボ'), 'ァィゥェォッャュョヮ', 'アイウエオツヤユヨワ'), 'ム([パピプペポ])', 'ン\\1', 'g'), 'ム([バビブベボ])', 'ン\\1', 'g'), 'ム([パピプペポバビブベボ])', 'ン\\1', 'g'), 'ー', '')"
+_MK = f"mk AS (SELECT id, {sql_strip(sql_narrow('aozora_person_id'))} AS p, {sql_strip(sql_narrow('aozora_work_id'))} AS w, loaded_at FROM corpus_metadata_v2 WHERE aozora_person_id IS NOT NULL AND aozora_work_id IS NOT NULL), kv AS (SELECT DISTINCT unnest([lpad(p, 6, '0') || '_' || lpad(w, 6, '0'), p || '_' || w, regexp_replace(p, '^0+([0-9])', '\\1') || '_' || regexp_replace(w, '^0+([0-9])', '\\1')]) AS k, id, loaded_at FROM mk), kf AS (SELECT k, min_by(id, (loaded_at, id)) AS meta_id FROM kv GROUP BY k), ft AS (SELECT work_stem, count(*) AS tokens FROM tok GROUP BY ALL), jm AS (SELECT work_stem, tokens, meta_id FROM ft LEFT JOIN kf ON k = work_stem)"
+
+SQL = {
+    "title_keys": f"SELECT DISTINCT id, {_AK('author_ja')} AS author_key, {_TK('title_aozora')} AS title_key, {_BT('title_aozora')} AS base_title FROM corpus_metadata_v2 WHERE id IS NOT NULL",
+    "year_ranges": f"SELECT DISTINCT id, list_min(y) AS first, list_max(y) AS last FROM (SELECT id, list_transform(regexp_extract_all({sql_narrow('period')}, '((?:1[6-9]|20)[0-9]{{2}})'), lambda x: CAST(x AS INTEGER)) AS y FROM corpus_metadata_v2 WHERE id IS NOT NULL)",
+    "ndc_genres": "WITH n AS (SELECT id, list_filter(regexp_split_to_array(regexp_replace(trim(ndc), '(?i)^\\s*NDC\\s*', ''), '[\\s,、/]+'), lambda x: x <> '')[1] AS ndc FROM corpus_metadata_v2 WHERE id IS NOT NULL) SELECT DISTINCT id, ndc, CASE WHEN ndc IS NULL OR regexp_replace(ndc, '^K+', '') = '' THEN NULL WHEN regexp_matches(regexp_replace(ndc, '^K+', ''), '^(9[0-9]3|912)') THEN 'Fiction' ELSE 'Nonfiction' END AS genre FROM n",
+    "year_bands": "WITH y AS (SELECT DISTINCT id, try_cast(year_first AS INTEGER) AS year FROM corpus_metadata_v2 WHERE id IS NOT NULL), p AS (SELECT *, CASE WHEN year IS NULL THEN NULL WHEN year < 1887 THEN 1 WHEN year < 1900 THEN 2 WHEN year < 1912 THEN 3 WHEN year < 1926 THEN 4 WHEN year < 1945 THEN 5 ELSE 6 END AS period6 FROM y) SELECT id, year, period6, CASE WHEN period6 IS NULL THEN NULL WHEN period6 <= 2 THEN 1 ELSE period6 - 1 END AS period5, CASE WHEN year IS NULL THEN -1 WHEN year < 1900 THEN 0 WHEN year < 1912 THEN 1 WHEN year < 1926 THEN 2 WHEN year < 1945 THEN 3 ELSE 4 END AS band FROM p",
+    "note_classes": with_(_DOC) + ", n AS (SELECT unnest(regexp_extract_all(text, '［＃([^］]*)］', 1)) AS note FROM dc) SELECT CASE " + " ".join(f"WHEN contains(note, '{w}') THEN '{k}'" for w, k in text.NOTE_KINDS) + " WHEN contains(note, '水準') OR contains(note, 'U+') OR contains(lower(note), 'unicode') THEN 'gaiji' ELSE 'editorial' END AS kind, count(*) AS notes, count(DISTINCT note) AS forms FROM n GROUP BY 1",
+    "glosses": with_(_DOC) + "SELECT doc_id, CAST(len(regexp_extract_all(text, '《[^》]*》')) AS INTEGER) AS glosses, CAST(length(regexp_replace(regexp_replace(text, '《[^》]*》', '', 'g'), '［＃[^］]*］', '', 'g')) AS INTEGER) AS chars_left FROM dc WHERE len(regexp_extract_all(text, '《[^》]*》')) > 0",
+    "char_profile": with_(_DOC) + f"SELECT doc_id, CAST(length({_BODY}) AS INTEGER) AS chars, round({_CC('[^\\x{4e00}-\\x{9fff}]')} / nullif(length({_BODY}), 0), 6) AS kanji_ratio, round({_CC('[^\\x{30a1}-\\x{30fa}]')} / nullif(length({_BODY}), 0), 6) AS katakana_ratio, {_CC('[^A-Za-z]')} AS latin_chars, {_CC('[^0-9]')} AS digits, {_CC('[^ゝゞヽヾ]')} AS kana_repeat, {_CC('[^々]')} AS kanji_repeat FROM dc",
+    "sentence_profile": with_(_DOC) + ", s AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[。！？]'), lambda x: trim(x, ' ') <> '') AS p FROM dc) SELECT doc_id, CAST(len(p) AS INTEGER) AS sentences, round(list_sum(list_transform(p, lambda x: length(x))) / nullif(len(p), 0), 4) AS mean_chars FROM s",
+    "speech_marks": with_(_DOC) + f", m AS (SELECT doc_id, {_CNT('「')} AS o, {_CNT('」')} AS z, least({_CNT('『')}, {_CNT('』')}) AS f2, length(text) AS n FROM dc), g AS (SELECT doc_id, least(o, z) AS said, greatest(o - z, 0) AS unclosed, f2, n FROM m) SELECT doc_id, CAST(said AS INTEGER) AS said, CAST(unclosed AS INTEGER) AS unclosed, CASE WHEN f2 >= 20 AND f2 > said * 1.5e0 THEN '『』' ELSE '「」' END AS first_level, CASE WHEN said = 0 THEN 'none' WHEN coalesce(unclosed / nullif(said + unclosed, 0), 0) >= 0.2e0 OR coalesce(said / nullif(n, 0) * 10000, 0) < 1.5e0 THEN 'partial' ELSE 'full' END AS grade FROM g",
+    "speech_share": with_(_DOC) + ", q AS (SELECT source, length(text) AS n, coalesce(list_sum(list_transform(regexp_extract_all(text, '「[^「」]*」'), lambda x: length(x))), 0) AS q FROM dc) SELECT source, CAST(sum(n) AS BIGINT) AS chars, CAST(sum(q) AS BIGINT) AS speech_chars, round(sum(q) / nullif(sum(n), 0), 6) AS speech_ratio FROM q GROUP BY source",
+    "stream_sizes": "SELECT stream, count(*) AS docs, count(text) AS texts, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY stream",
+    "paragraph_rows": with_(_DOC) + ", p AS (SELECT doc_id, regexp_split_to_array(replace(text, chr(13), ''), '\\n+') AS ps FROM dc), e AS (SELECT doc_id, unnest(ps) AS t, generate_subscripts(ps, 1) - 1 AS par FROM p) SELECT doc_id, CAST(par AS INTEGER) AS par, CAST(length(t) AS INTEGER) AS chars, starts_with(t, '「') AS speech FROM e WHERE t <> ''",
+    "work_labels": "SELECT DISTINCT id, substring(coalesce(author_ja, ''), 1, 12) || '『' || substring(coalesce(title_aozora, ''), 1, 12) || '』' AS label FROM corpus_metadata_v2 WHERE id IS NOT NULL",
+    "style_classes": "WITH m AS (SELECT DISTINCT id, try_cast(bungo_per10k AS DOUBLE) AS bungo, try_cast(kogo_per10k AS DOUBLE) AS kogo FROM corpus_metadata_v2 WHERE id IS NOT NULL) SELECT id, bungo, kogo, CASE WHEN bungo IS NULL OR kogo IS NULL THEN NULL WHEN bungo >= 80 AND round(coalesce(bungo / nullif(bungo + kogo, 0), 0), 3) >= 0.2e0 THEN 'A' WHEN round(coalesce(bungo / nullif(bungo + kogo, 0), 0), 3) <= 0.1e0 THEN 'C' ELSE 'B' END AS style FROM m",
+    "unknown_classes": with_(TOK, _UW) + f", w AS (SELECT surface, sum(n) AS n FROM uw GROUP BY ALL) SELECT CASE WHEN regexp_matches(surface, '[ゝゞヽヾ〳〴〵]') THEN 'iteration mark' WHEN regexp_matches(surface, '[※〓]') THEN 'glyph mark' WHEN regexp_matches(surface, '^[\\x{{30a1}}-\\x{{30fa}}ー・]+$') THEN 'katakana loan' WHEN regexp_matches(surface, '^[A-Za-zＡ-Ｚａ-ｚ.''’-]+$|^[0-9０-９.,]+$') THEN 'latin or digits' WHEN regexp_matches(surface, '^[\\x{{4e00}}-\\x{{9fff}}々]+$') THEN 'kanji name' WHEN regexp_matches(surface, '^[\\x{{3041}}-\\x{{3096}}ー]+$') THEN CASE WHEN regexp_matches(surface, '{_VERB}') THEN 'literary form' ELSE 'hiragana' END WHEN regexp_matches(surface, '[\\x{{30a1}}-\\x{{30fa}}]{{2,}}') THEN 'katakana loan' WHEN regexp_matches(surface, '{_VERB}') THEN 'literary form' ELSE 'other' END AS class, count(*) AS types, CAST(sum(n) AS BIGINT) AS tokens, max(surface) AS example FROM w GROUP BY 1",
+    "unknown_pos": with_(TOK, _UW) + ", p AS (SELECT surface, concat_ws('-', nullif(nullif(pos1, ''), '*'), nullif(nullif(pos2, ''), '*')) AS pos, sum(n) AS n FROM uw GROUP BY ALL) SELECT surface, CAST(sum(n) AS BIGINT) AS tokens, max_by(pos, (n, pos)) AS pos FROM p GROUP BY surface",
+    "katakana_groups": with_(TOK) + f", w AS (SELECT surface, count(*) AS n FROM tok WHERE regexp_matches(surface, '^[\\x{{30a1}}-\\x{{30fa}}ー]{{2,}}$') GROUP BY ALL) SELECT {_KK} AS key, count(*) AS forms, CAST(sum(n) AS BIGINT) AS total, string_agg(surface, '|' ORDER BY surface) AS spellings FROM w GROUP BY 1 HAVING count(*) > 1",
+    "key_variant_join": with_(TOK, _MK) + "SELECT * FROM jm",
+    "unmatched_report": with_(TOK, _MK) + "SELECT count(DISTINCT work_stem) AS works, count(DISTINCT work_stem) FILTER (WHERE meta_id IS NULL) AS unmatched, round(count(DISTINCT work_stem) FILTER (WHERE meta_id IS NULL) / count(DISTINCT work_stem), 6) AS share FROM jm",
+    "resolve_rank": f"WITH x AS (SELECT id, min(author_ja) AS a, min(title_aozora) AS t FROM corpus_metadata_v2 WHERE id IS NOT NULL GROUP BY id), w AS (SELECT work_stem AS wid, min(author_ja) AS a, min(title) AS t FROM chunks_index WHERE title IS NOT NULL GROUP BY work_stem), e AS (SELECT wid, id, 1 AS rank FROM w JOIN x ON {_AK('w.a')} = {_AK('x.a')} AND {_TK('w.t')} = {_TK('x.t')} UNION ALL SELECT wid, id, 2 FROM w JOIN x ON {_AK('w.a')} = {_AK('x.a')} AND {_BT('w.t')} = {_BT('x.t')} WHERE {_BT('w.t')} <> ''), g AS (SELECT wid, rank, count(*) AS candidates, min(id) AS id FROM e GROUP BY ALL), m AS (SELECT wid, min_by(id, rank) AS id, min_by(candidates, rank) AS candidates, min(rank) AS rank FROM g GROUP BY wid) SELECT w.wid, id, candidates, rank FROM w LEFT JOIN m USING (wid)",
+    "merged_volumes": with_(_DOC) + "SELECT work_stem AS canonical, CAST(sum(length(text)) + count(*) - 1 AS INTEGER) AS chars, CAST(count(*) AS INTEGER) AS members FROM dc WHERE work_stem IS NOT NULL GROUP BY work_stem",
+    "colophons": with_(_DOC) + f", f AS (SELECT doc_id, regexp_replace(text, '[ \\n]', '', 'g') AS flat, string_split(text, chr(10)) AS ls FROM dc), b AS (SELECT *, list_position(list_transform(ls, lambda x: regexp_matches(trim(x, ' '), '^({'|'.join(text.COLOPHON)})')), true) AS cut FROM f) SELECT doc_id, {_COLO} AS hits, CAST(coalesce(cut - 1, len(ls)) AS INTEGER) AS body_lines, CAST(len(ls) AS INTEGER) AS lines FROM b",
+}
