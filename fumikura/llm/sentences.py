@@ -29,7 +29,7 @@ QUOTES = ("「」", "『』", "“”", "«»", "‘’", "„‟", "‹›", "
 BRACKETS = ("（）", "()", "［］", "[]", "〈〉", "《》", "【】", "〔〕", "｛｝", "{}")
 PAIRS = QUOTES + BRACKETS
 #: Abbreviations that take a point and never end a sentence; those that do so only before a number.
-ABBREVIATIONS = ("Prof", "Dr", "Mr", "Mrs", "Ms", "St", "Mme", "Mlle", "MM", "Mgr", "Hr", "Fr", "Frl", "Herr", "Jr", "Sr", "Rev", "Hon", "Gen", "Col", "Capt", "Lt", "Sgt", "Cf", "cf", "vs", "viz", "bzw", "ca", "usw", "vgl", "Vgl", "гг", "им", "ул", "стр", "проф", "др", "см", "тов", "i.e", "e.g", "z.B", "d.h", "u.a", "U.S", "a.m", "p.m")
+ABBREVIATIONS = ("Prof", "Dr", "Mr", "Mrs", "Ms", "St", "Mme", "Mlle", "MM", "Mgr", "Hr", "Fr", "Frl", "Jr", "Sr", "Rev", "Hon", "Gen", "Col", "Capt", "Lt", "Sgt", "Cf", "cf", "vs", "viz", "bzw", "ca", "usw", "vgl", "Vgl", "гг", "им", "ул", "стр", "проф", "др", "см", "тов", "i.e", "e.g", "z.B", "d.h", "u.a", "U.S", "a.m", "p.m")
 NUMBERED = ("No", "no", "Nr", "Nos", "vol", "Vol", "vols", "p", "pp", "ch", "Ch", "chap", "Bd", "Abb", "Kap", "fig", "Fig", "art", "Art", "sec", "Sec", "S", "т", "гл")
 
 
