@@ -134,8 +134,25 @@ def test_delta_and_jsd_bounds(spark):
 
 def test_containment_counts_copies_once(spark):
     d = spark.createDataFrame([(1, "abcdefghijklmnopqrstuvwxyz" * 3), (2, "abcdefghijklmnopqrstuvwxyz" * 3), (3, "abcdefghijklmnopqrstuvwxyz0123456789"), (4, None), (5, "")], "doc_id long, text string")
-    got = stylometry.shingle_containment(d.where("text is not null"), "doc_id", stylometry.char_shingles(F.col("text"), 12, 1)).collect()
+    sh = stylometry.char_shingles(F.col("text"), 12, 1)
+    got = stylometry.similar_sets(d.where("text is not null"), "doc_id", sh, 0.15).collect()
     assert [(r["a"], r["b"], r["a_class"]) for r in got] == [(1, 3, 2)]
+    assert {r["doc_id"]: (r["class"], r["copies"], r["links"]) for r in stylometry.duplicate_links(d.where("text is not null"), "doc_id", sh, 0.3).collect()} == {1: (1, 2, 1), 2: (1, 2, 1), 3: (3, 1, 1)}
+
+
+@pytest.mark.parametrize("measure", ["containment", "jaccard"])
+@pytest.mark.parametrize("least", [0.15, 0.5, 0.8, 1.0])
+def test_similar_sets_are_exact(spark, measure, least):
+    rng = np.random.default_rng(8)
+    sets = [sorted(set(rng.integers(0, 25, rng.integers(1, 15)).tolist())) for _ in range(60)]
+    d = spark.createDataFrame(list(enumerate(sets)), "id long, s array<long>")
+    got = {(r["a"], r["b"]) for r in stylometry.similar_sets(d, "id", F.col("s"), least, measure).collect()}
+    first = {}
+    for i, s in enumerate(sets):
+        first.setdefault(tuple(s), i)
+    reps = sorted(first.values())
+    of = lambda x, y: min(len(x), len(y)) if measure == "containment" else len(x | y)
+    assert got == {(a, b) for a in reps for b in reps if a < b and len(set(sets[a]) & set(sets[b])) / of(set(sets[a]), set(sets[b])) >= least}
 
 
 def test_neighbours_equal_brute_force(spark):
