@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,6 +81,17 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: str, mi
     return df.mapInArrow(run, schema)
 
 
+def by_bytes(table: pa.Table, column: str, limit: int) -> Iterator[pa.Table]:
+    """Parts of a table whose texts have about ``limit`` bytes (at least one row each), so that arrays made from them
+    stay small whatever the batch holds."""
+    n = pc.fill_null(pc.binary_length(table.column(column)), 0).to_numpy()
+    part = np.cumsum(n) // limit
+    cut = np.flatnonzero(part[1:] != part[:-1]) + 1
+    for a, b in zip(np.concatenate([[0], cut]), np.append(cut, table.num_rows)):
+        if b > a:
+            yield table.slice(int(a), int(b - a))
+
+
 def halo_blocks(pos: Column, size: int, halo: int) -> Column:
     """Array of the blocks that need position ``pos`` (from 0): its own, and a neighbour within ``halo`` of it."""
     own = F.floor(pos / size).cast("int")
