@@ -22,11 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fumikura.llm.letters import letters, rolling
-from fumikura.plans.blocks import map_arrow
+from fumikura.plans.blocks import by_bytes, map_arrow
 
 SHINGLE, PASSAGE, CHANGED = 8, 50, 5
 #: Letters of a block of items; an item longer than that is a block of its own.
 BLOCK_LETTERS = 2_000_000
+#: Bytes of documents whose letters are in arrays at a time.
+PART_BYTES = 4_000_000
 #: Bits of the table that tells early whether a shingle can be one of an item's.
 BITS = 22
 
@@ -142,9 +144,12 @@ def find(docs: DataFrame, items: DataFrame, passage: int = PASSAGE, changed: int
         held = spark.sparkContext.broadcast(sketch([a for a, _ in part], [b for _, b in part], passage))
 
         def fn(t: pa.Table) -> pa.Table:
-            ids = t.column("doc_id").to_numpy()
-            d, i = leaks(t.column("text").to_pylist(), held.value, passage, changed)
-            return pa.table({"doc_id": pa.array(ids[d], pa.int64()), "item_id": pa.array(held.value.ids[i], pa.int64())})
+            out = []
+            for part in by_bytes(t, "text", PART_BYTES):
+                ids = part.column("doc_id").to_numpy()
+                d, i = leaks(part.column("text").to_pylist(), held.value, passage, changed)
+                out.append(pa.table({"doc_id": pa.array(ids[d], pa.int64()), "item_id": pa.array(held.value.ids[i], pa.int64())}))
+            return pa.concat_tables(out)
 
         return map_arrow(docs.where("doc_id is not null and text <> ''").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), fn, "doc_id long, item_id long")
 

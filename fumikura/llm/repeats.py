@@ -17,9 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fumikura.llm.letters import letters, rolling
-from fumikura.plans.blocks import map_arrow
+from fumikura.plans.blocks import by_bytes, map_arrow
 
 RUN, SHARE_PCT = 30, 45
+#: Bytes of documents whose letters are in arrays at a time.
+PART_BYTES = 4_000_000
 
 
 def repeated_letters(texts: list[str | None], run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
@@ -50,9 +52,12 @@ def repeated(docs: DataFrame, run: int = RUN) -> DataFrame:
     rows with a null id are left out, repeated rows stay."""
 
     def fn(t: pa.Table) -> pa.Table:
-        n, r = repeated_letters(t.column("text").to_pylist(), run)
-        share = np.round(r / np.maximum(n, 1), 6)
-        return pa.table({"doc_id": t.column("doc_id"), "letters": pa.array(n, pa.int64()), "repeated": pa.array(r, pa.int64()), "share": pa.array(share, pa.float64(), mask=n == 0)})
+        out = []
+        for part in by_bytes(t, "text", PART_BYTES):
+            n, r = repeated_letters(part.column("text").to_pylist(), run)
+            share = np.round(r / np.maximum(n, 1), 6)
+            out.append(pa.table({"doc_id": part.column("doc_id"), "letters": pa.array(n, pa.int64()), "repeated": pa.array(r, pa.int64()), "share": pa.array(share, pa.float64(), mask=n == 0)}))
+        return pa.concat_tables(out)
 
     return map_arrow(docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), fn, "doc_id long, letters long, repeated long, share double")
 
