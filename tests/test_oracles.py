@@ -15,7 +15,7 @@ SLOW = {"topic_communities", "topic_graph", "group_cv", "drift_table", "w2v_neig
 def _cell(v):
     if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
         return None
-    if isinstance(v, bool) or not isinstance(v, (int, float)) and getattr(getattr(v, "dtype", None), "kind", "") not in "iuf":
+    if isinstance(v, bool) or not isinstance(v, (int, float)) and getattr(getattr(v, "dtype", None), "kind", "") not in ("i", "u", "f"):
         return str(v)
     return repr(round(float(v), 9) + 0.0)
 
