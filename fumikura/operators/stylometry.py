@@ -147,9 +147,12 @@ def char_shingles(text: Column, k: int = 12, step: int = 6) -> Column:
     return let(F.regexp_replace(text, "[\\s\\u3000]", ""), cut)
 
 
-def word_shingles(words: Column, k: int = 8, step: int = 3) -> Column:
-    none = F.array().cast("array<string>")
-    cut = lambda w: F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1)), F.lit(step)), lambda p: F.array_join(F.slice(w, p, k), " "))).otherwise(none)
+def word_shingles(words: Column, k: int = 8, step: int = 3, whole: Column | None = None) -> Column:
+    """Runs of ``k`` words.  A text of fewer has none; with ``whole`` it has one of all its words, or of ``whole`` (the
+    text itself) if it has no word."""
+    short = F.array().cast("array<string>")
+    few = lambda w: short if whole is None else F.when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array(whole))
+    cut = lambda w: F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1)), F.lit(step)), lambda p: F.array_join(F.slice(w, p, k), " "))).otherwise(few(w))
     return let(words, cut)
 
 

@@ -67,19 +67,26 @@ def _texts(s, d):
 
 
 def _words():
-    return F.transform(st.word_shingles(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}]+"), 0), 5, 1), lambda x: F.xxhash64(x))
+    return F.transform(st.word_shingles(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}]+"), 0), 5, 1, F.col("text")), lambda x: F.xxhash64(x))
 
 
 def shingle_containment(s, d):
     return st.similar_sets(_texts(s, d), "doc_id", F.transform(st.char_shingles(F.col("text")), lambda x: F.xxhash64(x)), 0.15)
 
 
+def _whole_texts(s, d):
+    return table(s, d, "documents").where("doc_id is not null and text is not null")
+
+
 def near_dups(s, d):
-    return st.similar_sets(_texts(s, d), "doc_id", _words(), 0.8, "jaccard")
+    return st.similar_sets(_whole_texts(s, d), "doc_id", _words(), 0.8, "jaccard")
 
 
 def near_dup_links(s, d):
-    return st.duplicate_links(_texts(s, d), "doc_id", _words())
+    """A row for every document; one without a text is a class of its own."""
+    links = st.duplicate_links(_whole_texts(s, d), "doc_id", _words())
+    every = table(s, d, "documents").where("doc_id is not null").select("doc_id").join(links, "doc_id", "left")
+    return every.select("doc_id", F.coalesce("class", "doc_id").alias("class"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def twin_profiles(s, d):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fumikura.functions import keys, marks, text
 from fumikura.operators import concordance as kw
 from fumikura.operators import quality, resolve, stats, stylometry, tokens, topics, vectors
+from fumikura.queries import stylometry as queries_stylometry
 
 
 def corpus(spark, volumes):
@@ -270,3 +271,15 @@ def test_katakana_spellings_meet(spark):
 @given(st.text(alphabet="あかが山ゝゞヽヾ〳〵", max_size=20))
 def test_repeats_never_shrink(s):
     assert len(marks.expand_repeats(s)) >= len(s) - s.count("〳〵") * 2
+
+
+def documents(spark, path, texts):
+    rows = [(i, t, "ja", "s", None if t is None else len(t), None, "x", None) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, work_stem string, stream string, fetched_at timestamp").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_every_document_has_a_class(spark, tmp_path):
+    d = documents(spark, tmp_path, ["one two three", "one two three", "one two", "。。。", "。。。", "！", "", None, "a b c d e f", "a b c d e f"])
+    got = {r["doc_id"]: (r["class"], r["copies"], r["links"]) for r in queries_stylometry.near_dup_links(spark, d).collect()}
+    assert got == {0: (0, 2, 0), 1: (0, 2, 0), 2: (2, 1, 0), 3: (3, 2, 0), 4: (3, 2, 0), 5: (5, 1, 0), 6: (6, 1, 0), 7: (7, 1, 0), 8: (8, 2, 0), 9: (8, 2, 0)}
