@@ -66,8 +66,13 @@ def _texts(s, d):
     return table(s, d, "documents").where("doc_id is not null and text <> ''")
 
 
+#: A letter of Han or kana is a word, and so is a run of other letters and digits.
+_CJK = "\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}ー"
+_WORD = f"[{_CJK}]|[\\p{{L}}\\p{{N}}&&[^{_CJK}]]+"
+
+
 def _words():
-    return F.transform(st.word_shingles(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}\\p{N}]+"), 0), 5, 1, F.col("text")), lambda x: F.xxhash64(x))
+    return F.transform(st.word_shingles(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)), 5, 1, F.col("text")), lambda x: F.xxhash64(x))
 
 
 def shingle_containment(s, d):

@@ -283,3 +283,16 @@ def test_every_document_has_a_class(spark, tmp_path):
     d = documents(spark, tmp_path, ["one two three", "one two three", "one two", "。。。", "。。。", "！", "", None, "a b c d e f", "a b c d e f"])
     got = {r["doc_id"]: (r["class"], r["copies"], r["links"]) for r in queries_stylometry.near_dup_links(spark, d).collect()}
     assert got == {0: (0, 2, 0), 1: (0, 2, 0), 2: (2, 1, 0), 3: (3, 2, 0), 4: (3, 2, 0), 5: (5, 1, 0), 6: (6, 1, 0), 7: (7, 1, 0), 8: (8, 2, 0), 9: (8, 2, 0)}
+
+
+def test_edited_japanese_copy_is_found(spark, tmp_path):
+    x = "".join(chr(0x4E00 + 7 * j % 2000) + ("、" if j % 13 == 12 else "") for j in range(400))
+    d = documents(spark, tmp_path, [x, x[:200] + "ん" + x[201:], x[::-1], "カタカナー文字abc12 x"])
+    assert [(r["a"], r["b"], r["jaccard"] > 0.9) for r in queries_stylometry.near_dups(spark, d).collect()] == [(0, 1, True)]
+    assert {r["doc_id"]: (r["class"], r["copies"], r["links"]) for r in queries_stylometry.near_dup_links(spark, d).collect()} == {0: (0, 1, 1), 1: (1, 1, 1), 2: (2, 1, 0), 3: (3, 1, 0)}
+
+
+def test_words_split_han_and_kana(spark):
+    w = F.regexp_extract_all(F.lower("t"), F.lit(queries_stylometry._WORD), F.lit(0))
+    got = spark.createDataFrame([("カナー、漢字々abc１２ x-あ한글",)], "t string").select(w.alias("w")).first()["w"]
+    assert got == ["カ", "ナ", "ー", "漢", "字", "々", "abc１２", "x", "あ", "한글"]
