@@ -9,20 +9,22 @@ from pyspark.sql.window import Window
 from fumikura.operators.stylometry import cosine_distance, delta_distance, pairs
 
 
-def fit_lda(chunks: DataFrame, k: int = 10, seed: int = 1, max_iter: int = 20, vocab: int = 5000, min_df: int = 2) -> tuple[DataFrame, DataFrame]:
-    """theta (chunk, topic, p) and phi (topic, term, weight) by MLlib's online LDA over (chunk, terms).  The reference
-    estimator is Gibbs sampling, so results are compared by properties."""
+def fit_lda(chunks: DataFrame, k: int = 10, seed: int = 1, max_iter: int = 20) -> tuple[DataFrame, DataFrame]:
+    """theta (chunk, topic, p) and phi (topic, term, weight) by MLlib's LDA over (chunk, terms).  Expectation
+    maximisation passes over all chunks in each iteration (the online optimizer draws its batches with replacement, so
+    even whole ones leave chunks out), and every term is in the vocabulary.  The reference estimator is Gibbs sampling,
+    so results are compared by properties."""
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
     from pyspark.ml.functions import vector_to_array
 
-    cv = CountVectorizer(inputCol="terms", outputCol="x", vocabSize=vocab, minDF=min_df).fit(chunks)
+    cv = CountVectorizer(inputCol="terms", outputCol="x", vocabSize=2**31 - 1, minDF=1).fit(chunks)
     d = cv.transform(chunks)
-    m = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online", featuresCol="x").fit(d)
+    m = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="em", featuresCol="x").fit(d)
     theta = m.transform(d).select("chunk", F.posexplode(vector_to_array("topicDistribution")).alias("topic", "p"))
-    words = F.array(*map(F.lit, cv.vocabulary))
-    phi = m.describeTopics(min(vocab, len(cv.vocabulary))).select("topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("z"))
-    return theta, phi.select("topic", F.get(words, F.col("z.termIndices")).alias("term"), F.col("z.termWeights").alias("weight"))
+    words = chunks.sparkSession.createDataFrame(list(enumerate(cv.vocabulary)), "i int, term string")
+    phi = m.describeTopics(len(cv.vocabulary)).select("topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("z"))
+    return theta, phi.select("topic", F.col("z.termIndices").alias("i"), F.col("z.termWeights").alias("weight")).join(words, "i").select("topic", "term", "weight")
 
 
 def read_doc_topics(lines: DataFrame, value: str = "value") -> DataFrame:

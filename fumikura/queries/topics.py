@@ -112,7 +112,7 @@ def doc_topics_read(s, d):
 
 
 def lda_fit(s, d):
-    theta, phi = tp.fit_lda(_chunks(s, d).select("chunk", "terms"), 5, max_iter=5)
+    theta, phi = tp.fit_lda(stage(_chunks(s, d).select("chunk", "terms"), "chunks"), 5)
     return theta.groupBy("topic").agg(F.round(F.avg("p"), 4).alias("mean"), F.count("*").alias("chunks"))
 
 

@@ -296,3 +296,13 @@ def test_words_split_han_and_kana(spark):
     w = F.regexp_extract_all(F.lower("t"), F.lit(queries_stylometry._WORD), F.lit(0))
     got = spark.createDataFrame([("カナー、漢字々abc１２ x-あ한글",)], "t string").select(w.alias("w")).first()["w"]
     assert got == ["カ", "ナ", "ー", "漢", "字", "々", "abc１２", "x", "あ", "한글"]
+
+
+def test_lda_passes_over_all_chunks(spark):
+    chunks = spark.createDataFrame([(f"c{j}", [f"t{j}_{x}" for x in range(60)] + ["の"] * 20) for j in range(100)], "chunk string, terms array<string>")
+    theta, phi = topics.fit_lda(chunks, 2, max_iter=2)
+    assert theta.count() == 200
+    w = phi.groupBy("term").agg(F.max("weight").alias("w")).toPandas().set_index("term")["w"]
+    assert len(w) == 6001  # no term is cut
+    once = w.drop("の").to_numpy()
+    assert once.min() > once.max() / 3  # a chunk that was left out would leave its terms at their prior
