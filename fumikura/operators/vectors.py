@@ -33,7 +33,7 @@ def ppmi(co: DataFrame) -> DataFrame:
     return j.select("a", "b", F.round(v, 6).alias("ppmi")).where("ppmi > 0")
 
 
-def svd_vectors(matrix: DataFrame, value: str, dims: int = 50, limit: int = 3000) -> DataFrame:
+def svd_vectors(matrix: DataFrame, value: str, dims: int = 100, limit: int = 3000) -> DataFrame:
     """(term, vec): U S of a square term matrix of at most ``limit`` terms, decomposed on the driver."""
     names = [r[0] for r in matrix.select("a").union(matrix.select("b")).distinct().orderBy("a").limit(limit + 1).collect()]
     if len(names) > limit:
@@ -42,7 +42,7 @@ def svd_vectors(matrix: DataFrame, value: str, dims: int = 50, limit: int = 3000
     x = np.zeros((len(names), len(names)))
     for a, b, v in matrix.select("a", "b", value).toLocalIterator():
         x[at[a], at[b]] = v
-    u, s, _ = np.linalg.svd(x)
+    u, s, _ = np.linalg.svd(x, full_matrices=False)
     us = u[:, :dims] * s[:dims]
     us *= np.where(np.abs(us.max(axis=0)) >= np.abs(us.min(axis=0)), 1, -1)
     return matrix.sparkSession.createDataFrame([(t, [float(y) for y in us[j]]) for t, j in at.items()], "term string, vec array<double>")

@@ -8,6 +8,7 @@ from fumikura.operators import tokens as tk
 from fumikura.operators import vectors as ve
 from fumikura.queries.base import TOK, attributes, tok, with_
 from fumikura.sources.corpus import table
+from fumikura.sources.stage import stage
 
 
 def _vecs(s, d):
@@ -16,15 +17,15 @@ def _vecs(s, d):
 
 
 def cooc(s, d):
-    return ve.cooccurrence(tok(s, d, "lemma_key"), 5, 200)
+    return ve.cooccurrence(tok(s, d, "lemma_key"))
 
 
 def ppmi(s, d):
-    return ve.ppmi(cooc(s, d))
+    return ve.ppmi(stage(cooc(s, d), "cooc"))
 
 
 def ppmi_svd_norms(s, d):
-    v = ve.svd_vectors(ppmi(s, d), "ppmi", 20)
+    v = ve.svd_vectors(stage(ppmi(s, d), "ppmi"), "ppmi")
     return v.select("term", F.round(F.sqrt(ve.dot(F.col("vec"), F.col("vec"))), 4).alias("norm"))
 
 
@@ -58,8 +59,8 @@ def embed_centering(s, d):
 
 def work_vectors(s, d):
     """Mean of term vectors per work (PPMI-SVD), as squared norms."""
-    v = ve.svd_vectors(ppmi(s, d), "ppmi", 10)
-    c = tk.counts(tok(s, d, "lemma_key"), "work_stem").join(F.broadcast(v), "term")  # at most 200 terms
+    v = ve.svd_vectors(stage(ppmi(s, d), "ppmi"), "ppmi")
+    c = tk.counts(tok(s, d, "lemma_key"), "work_stem").join(F.broadcast(v), "term")  # at most 3,000 terms
     e = c.select("work_stem", "n", F.posexplode("vec").alias("d", "x")).groupBy("work_stem", "d").agg((F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("x"))
     return e.groupBy("work_stem").agg(F.round(F.sqrt(F.sum(F.col("x") * F.col("x"))), 4).alias("norm"), F.count("*").alias("dims"))
 

@@ -12,6 +12,7 @@ from fumikura.functions import keys, marks, text
 from fumikura.operators import concordance as kw
 from fumikura.operators import quality, resolve, stats, stylometry, tokens, topics, vectors
 from fumikura.queries import stylometry as queries_stylometry
+from fumikura.queries import vectors as queries_vectors
 
 
 def corpus(spark, volumes):
@@ -306,3 +307,16 @@ def test_lda_passes_over_all_chunks(spark):
     assert len(w) == 6001  # no term is cut
     once = w.drop("の").to_numpy()
     assert once.min() > once.max() / 3  # a chunk that was left out would leave its terms at their prior
+
+
+def test_cooc_takes_more_than_200_terms(spark, tmp_path):
+    words = [f"w{x}" for x in np.random.default_rng(4).permutation(np.repeat(np.arange(300), 2))]
+    corpus(spark, {("000001_000001", 1): [[(w, w, "名詞") for w in words]]}).write.parquet(f"{tmp_path}/tsv.parquet")
+    want = {}
+    for p, a in enumerate(words):
+        for b in words[max(0, p - 5) : p] + words[p + 1 : p + 6]:
+            if a != b:
+                want[a, b] = want.get((a, b), 0) + 1
+    assert {(r["a"], r["b"]): r["n"] for r in queries_vectors.cooc(spark, str(tmp_path)).collect()} == want
+    assert queries_vectors.ppmi_svd_norms(spark, str(tmp_path)).count() == 300
+    assert queries_vectors.work_vectors(spark, str(tmp_path)).first()["dims"] == 100
