@@ -12,6 +12,7 @@ from fumikura.functions import keys, marks, text
 from fumikura.operators import concordance as kw
 from fumikura.operators import quality, resolve, stats, stylometry, tokens, topics, vectors
 from fumikura.queries import stylometry as queries_stylometry
+from fumikura.queries import texts as queries_texts
 from fumikura.queries import vectors as queries_vectors
 
 
@@ -320,3 +321,12 @@ def test_cooc_takes_more_than_200_terms(spark, tmp_path):
     assert {(r["a"], r["b"]): r["n"] for r in queries_vectors.cooc(spark, str(tmp_path)).collect()} == want
     assert queries_vectors.ppmi_svd_norms(spark, str(tmp_path)).count() == 300
     assert queries_vectors.work_vectors(spark, str(tmp_path)).first()["dims"] == 100
+
+
+BROKEN = [("山<br />川", "山\n川"), ("a<|endoftext|>b", "a<|endoftext|>b"), ("a&nbsp;b&amp;c", "a\xa0b&c"), ("a & b &copy c &nosuch; &#x5c71;", "a & b © c &nosuch; 山"), ("1 < 2 > 0", "1 < 2 > 0"), ("a</div>b</p>c", "abc"), ("<p>a<b>c", "ac"), ("山<ruby>川<rt>かわ</ruby>海", "山川海"), ("a<!-- x -->b", "ab"), ("plain", "plain"), ("", "")]
+
+
+def test_html_of_every_document(spark, tmp_path):
+    d = documents(spark, tmp_path, [x for x, _ in BROKEN])
+    assert [marks.main_text(x) for x, _ in BROKEN] == [y for _, y in BROKEN]
+    assert {r["doc_id"]: r["chars"] for r in queries_texts.html_text(spark, d).collect()} == {i: len(y) for i, (_, y) in enumerate(BROKEN)}
