@@ -150,7 +150,7 @@ def resolve_rank(s, d):
 
 def match_misses(s, d):
     m = table(s, d, "corpus_metadata_v2").where("id is not null").groupBy("id").agg(F.min("author_ja").alias("author"), F.min("title_aozora").alias("title"))
-    c = m.select(F.col("id").alias("wid"), "author", F.concat(F.col("title"), F.lit("補遺")).alias("title")).where("wid like '%0'")
+    c = m.select(F.col("id").alias("wid"), "author", F.concat(F.col("title"), F.lit("補遺")).alias("title"))
     return resolve.diagnose_misses(c, m)
 
 

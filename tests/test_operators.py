@@ -330,3 +330,11 @@ def test_html_of_every_document(spark, tmp_path):
     d = documents(spark, tmp_path, [x for x, _ in BROKEN])
     assert [marks.main_text(x) for x, _ in BROKEN] == [y for _, y in BROKEN]
     assert {r["doc_id"]: r["chars"] for r in queries_texts.html_text(spark, d).collect()} == {i: len(y) for i, (_, y) in enumerate(BROKEN)}
+
+
+def test_every_id_is_diagnosed(spark, tmp_path):
+    rows = [(f"A{j}", "夏目漱石", f"作品{j}") for j in range(8, 13)]
+    spark.createDataFrame(rows, "id string, author_ja string, title_aozora string").write.parquet(f"{tmp_path}/corpus_metadata_v2.parquet")
+    got = queries_texts.match_misses(spark, str(tmp_path)).collect()
+    assert {r["wid"] for r in got if r["reason"] == "title_mismatch"} == {"A8", "A9", "A10", "A11", "A12"}
+    assert all(r["other"] == "作品" + r["wid"][1:] and r["d"] == 2 for r in got if r["rank"] == 1)
