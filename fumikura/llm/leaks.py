@@ -1,11 +1,10 @@
 """Problem 7: evaluation texts leaking into training text.
 
-Method: size-partitioned MinHash containment search.  Test items are put into partitions by their number of
-shingles (runs of eight letters); the sketch of an item is its bottom-k MinHash values, with k the upper size of its
-partition, so short items keep every shingle and an item's containment in a long document is estimated without
-error.  Of 50 letters with at most five changed, eight in a row are always unchanged (45 letters in at most six
-runs), so a document that leaks an item holds at least one value of its sketch: that is the candidate rule.  Each
-candidate is then verified on the letters themselves: along the diagonal of a shared shingle, a window of 50
+Method: an exact index of shingles (runs of eight letters).  It has the form of a size-partitioned MinHash search,
+but k is the upper size of an item's partition and never below its number of shingles, so a sketch keeps every
+shingle, the partitions change nothing and no containment is estimated.  Of 50 letters with at most five changed,
+eight in a row are always unchanged (45 letters in at most six runs), so a document that leaks an item holds at
+least one value of its sketch: that is the candidate rule.  Each candidate is then verified on the letters themselves: along the diagonal of a shared shingle, a window of 50
 letters with at least 45 equal is a leak.
 
 Items are the query set: they come to the driver in blocks of bounded size, and each block's sketch table (bounded
