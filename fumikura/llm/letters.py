@@ -18,6 +18,7 @@ NEW = "亜悪圧囲医為壱栄営衛駅円縁応欧桜奥横温仮価画会壊
 assert len(OLD) == len(NEW), (len(OLD), len(NEW))
 
 _tables: dict[bool, tuple[np.ndarray, np.ndarray]] = {}
+_runs: dict[bool, re.Pattern] = {}
 
 
 def _fold(s: str) -> str:
@@ -39,15 +40,28 @@ def _table(digits: bool) -> tuple[np.ndarray, np.ndarray]:
             cat = unicodedata.category(ch)
             if cat in ("Cn", "Co"):
                 continue
-            f = ch if 0x3400 <= c < 0xF900 and ch not in OLD or 0x20000 <= c < 0x2F800 else _fold(ch)
+            f = ch if 0x3400 <= c < 0xA000 and ch not in OLD or 0xAC00 <= c < 0xD7A4 or 0x20000 <= c < 0x2F800 else _fold(ch)
             if cat[0] == "M" or len(f) != 1 or c in (0xFF9E, 0xFF9F) or unicodedata.combining(ch) or cat == "Lo" and (0x1100 <= c < 0x1200):
                 slow[c] = True
+                # what is left of it after folding with its neighbours stands for itself
+                if cat[0] in "LN":
+                    to[c] = c
             elif unicodedata.category(f)[0] in "LN" and (digits or not "0" <= f <= "9"):
                 to[c] = ord(f)
         _tables[digits] = to, slow
     return _tables[digits]
 
 
+def _slow_runs(digits: bool) -> re.Pattern:
+    """Runs that must be folded as a whole: marks and letters that compose, with the character before them."""
+    if digits not in _runs:
+        at = np.flatnonzero(_table(digits)[1])
+        cut = np.flatnonzero(np.diff(at) > 1)
+        ranges = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(at[np.r_[0, cut + 1]], at[np.r_[cut, len(at) - 1]]))
+        _runs[digits] = re.compile(f"[^{ranges}]?[{ranges}]+")
+    return _runs[digits]
+
+
 def letters(texts: list[str | None], digits: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """The letters of all texts one after the other, and how many each text has."""
     to, slow = _table(digits)
@@ -57,7 +71,7 @@ def letters(texts: list[str | None], digits: bool = True) -> tuple[np.ndarray, n
     if slow[cp].any():
         doc = np.repeat(np.arange(len(clean)), n)
         for j in np.unique(doc[slow[cp]]).tolist():
-            clean[j] = "".join(c for c in _fold(clean[j]) if unicodedata.category(c)[0] in "LN")
+            clean[j] = _slow_runs(digits).sub(lambda m: _fold(m[0]), clean[j])
         cp = np.frombuffer("".join(clean).encode("utf-32-le", "surrogatepass"), "<u4")
         n = np.fromiter(map(len, clean), np.int64, len(clean))
     x = to[cp]
