@@ -4,8 +4,9 @@ Method: systematic unequal-probability sampling.  Works are counted by cell (the
 inclusion probabilities are raked on the cells so that the targets' shares are met as nearly as the cells allow,
 and the sample size exactly.  Works stand in the order of their cell and, inside it, of a hash (a random order);
 the probabilities are summed up along that order - within ranges of it in parallel, range totals first - and a work
-is drawn where the sum passes ``start + j``, one random start for all.  Last, floors are repaired: where a target
-misses its minimum, undrawn works of its cells replace works that no target would miss.
+is drawn where the sum passes ``start + j``, one random start for all.  Last, floors are repaired: a linear programme
+over classes of cells (``balance``) says how many works each cell gives or takes so that the targets miss as little as
+can be, with the fewest moves; undrawn works of a cell come in, or drawn ones go out, in the order of the hash.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fumikura.functions import keys
+from fumikura.llm.balance import repair
 from fumikura.sources.corpus import works
 
 DIMS = ["period", "genre_main", "author_sex", "register_level"]
 #: Cells and targets come to the driver; both are products of categories, not of rows.  More is an error.
-MAX_CELLS, MAX_TARGETS = 200_000, 10_000
+MAX_CELLS, MAX_TARGETS, MAX_INCIDENCE = 200_000, 1_000, 50_000_000
 
 
 def targets(table: DataFrame) -> DataFrame:
@@ -50,22 +52,31 @@ class Plan:
     def __init__(self, ws: DataFrame, target_table: DataFrame, one_in: int = 5):
         rows = cells(ws).orderBy(*DIMS).limit(MAX_CELLS + 1).collect()
         self.targets = targets(target_table).orderBy("target_id").limit(MAX_TARGETS + 1).collect()
-        if len(rows) > MAX_CELLS or len(self.targets) > MAX_TARGETS:
+        if len(rows) > MAX_CELLS or len(self.targets) > MAX_TARGETS or len(rows) * len(self.targets) > MAX_INCIDENCE:
             raise ValueError("more cells or targets than categories can form; check the columns")
         self.keys = [tuple(r[d] for d in DIMS) for r in rows]
         self.count = np.array([r["n"] for r in rows], np.int64)
         self.size = int(self.count.sum()) // one_in
-        self.match = np.array([[all(t[d] is None or t[d] == c[j] for j, d in enumerate(DIMS)) for c in self.keys] for t in self.targets], bool).reshape(len(self.targets), len(self.keys))
+        values = [np.array([k[j] for k in self.keys], object) for j in range(len(DIMS))]
+        self.match = np.ones((len(self.targets), len(self.keys)), bool)
+        for row, t in zip(self.match, self.targets):
+            for v, d in zip(values, DIMS):
+                if t[d] is not None:
+                    row &= v == t[d]
         self.need = np.array([need(t["share_pct"], t["min_items"], self.size) for t in self.targets], np.int64)
         self.have = self.match @ self.count if len(self.keys) else np.zeros(len(self.targets), np.int64)
 
     def expected(self, rounds: int = 300) -> np.ndarray:
-        """Expected draws per cell: raked to the targets' shares, at most the cell's works, summing to the size."""
+        """Expected draws per cell: raked to the targets' shares, at most the cell's works, summing to the size.
+
+        Rounds end when none changes a cell; targets in conflict make them go on, and the last round counts: what
+        it leaves short is repaired exactly afterwards."""
         n = self.count.astype(float)
         if not n.sum():
             return n
         x = n * self.size / n.sum()
         for _ in range(rounds):
+            old = x.copy()
             for m, want, have in zip(self.match, self.need, self.have):
                 got, want = x[m].sum(), min(want, have)
                 if got > 0 and got < want:  # a share is a lower bound; others may exceed it
@@ -78,6 +89,8 @@ class Plan:
                 if not free.any():
                     break
                 x[free] = np.clip(x[free] * (1 - over / x[free].sum()), 0, n[free])
+            if np.abs(x - old).max() < 1e-9:
+                break
         return x
 
 
@@ -86,96 +99,54 @@ def draw(metadata: DataFrame, target_table: DataFrame, one_in: int = 5, seed: in
 
     An empty table gives an empty sample; works without a known category are cells of their own.
     """
-    spark = metadata.sparkSession
     ws = works(metadata).select("id", *DIMS)
-    plan = Plan(ws, target_table, one_in)
+    return _draw(ws, Plan(ws, target_table, one_in), seed, ranges)[0]
+
+
+def _draw(ws: DataFrame, plan: Plan, seed: int, ranges: int) -> tuple[DataFrame, int]:
+    """The sample, and how many works the reachable targets must miss in all because they are in conflict."""
+    spark = ws.sparkSession
     x = plan.expected()
-    # cell table: number, first prefix sum and probability of each cell
     start = float(np.random.default_rng(seed).random())
     base = np.concatenate([[0.0], np.cumsum(x)])
-    data = [(*k, i, float(base[i]), float(x[i] / c) if c else 0.0) for i, (k, c) in enumerate(zip(plan.keys, plan.count))]
-    schema = ", ".join(f"{d} string" for d in DIMS) + ", cell int, base double, p double"
-    table = spark.createDataFrame(data, schema)
+    p = x / np.maximum(plan.count, 1)
+    # integer crossings of each whole cell: what the scan below will draw from it
+    cross = lambda r: np.floor(np.round(base[:-1] + p * r - start, 9)).astype(np.int64)
+    got = cross(plan.count) - cross(0)
+    change, conflict = repair(plan.match, plan.count, got, plan.need, plan.size)
+    # cell table: first prefix sum and probability of each cell, and how many works are put in or taken out
+    data = [(*k, i, float(base[i]), float(p[i]), int(change[i])) for i, k in enumerate(plan.keys)]
+    table = spark.createDataFrame(data, ", ".join(f"{d} string" for d in DIMS) + ", cell int, base double, p double, change long")
     cond = [ws[d].eqNullSafe(table[d]) for d in DIMS]
     on = cond[0] & cond[1] & cond[2] & cond[3]
-    w = ws.join(F.broadcast(table), on).select(ws["id"], *(ws[d] for d in DIMS), "cell", "base", "p", F.xxhash64(F.lit(seed), ws["id"]).alias("h"))
+    w = ws.join(F.broadcast(table), on).select(ws["id"], *(ws[d] for d in DIMS), "cell", "base", "p", "change", F.xxhash64(F.lit(seed), ws["id"]).alias("h"))  # at most MAX_CELLS rows
     # prefix sums: order inside a cell by hash; totals of hash ranges first, so a large cell is split over tasks
     w = w.withColumn("part", F.shiftrightunsigned("h", 64 - int(math.log2(ranges))).cast("int"))
     parts = w.groupBy("cell", "part").agg(F.count("*").alias("k"))
     before = parts.withColumn("before", F.coalesce(F.sum("k").over(Window.partitionBy("cell").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("k")
     w = w.join(before, ["cell", "part"])
-    rank = F.col("before") + F.row_number().over(Window.partitionBy("cell", "part").orderBy("h", "id"))
-    w = w.withColumn("rank", rank)
+    w = w.withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("cell", "part").orderBy("h", "id")))
     upto = lambda r: F.floor(F.round(F.col("base") + F.col("p") * r - start, 9))
-    w = w.withColumn("drawn", upto(F.col("rank")) > upto(F.col("rank") - 1))
-    # repair on cell counts: which cells give and take how many
-    got = np.zeros(len(plan.keys), np.int64)
-    for i, (c, k) in enumerate(zip(plan.count, x)):
-        f = np.floor(np.round(base[i] + (k / c if c else 0) * np.array([0, c]) - start, 9))
-        got[i] = int(f[1] - f[0])
-    change = repair(plan, got)
-    rows = [(i, int(c)) for i, c in enumerate(change) if c]
-    ch = spark.createDataFrame(rows, "cell int, change int")
-    w = w.join(F.broadcast(ch), "cell", "left").withColumn("change", F.coalesce("change", F.lit(0)))
-    # only cells that change need a ranking of their drawn or undrawn works
-    moved = w.where((F.col("change") > 0) & ~F.col("drawn") | (F.col("change") < 0) & F.col("drawn"))
-    moved = moved.withColumn("k", F.row_number().over(Window.partitionBy("cell").orderBy("h", "id")))
-    moved = moved.where(F.col("k") <= F.abs("change")).select("id", F.col("change").alias("moved"))
-    out = w.join(moved, "id", "left").where((F.col("drawn") & F.coalesce(F.col("moved") > 0, F.lit(True))) | (F.col("moved") > 0))
-    return out.select("id", *DIMS, F.when(F.col("drawn"), "drawn").otherwise("repaired").alias("how"))
-
-
-def repair(plan: Plan, got: np.ndarray) -> np.ndarray:
-    """Works to add to (positive) or take from each cell so that every reachable floor is met: greedy, each step one
-    work into a cell of a target below its need, out of the cell whose loss breaks no met target (or, for the
-    size, none at all while the sample is short)."""
-    got = got.astype(np.int64).copy()
-    first = got.copy()
-    goal = np.minimum(plan.need, plan.have)
-    for _ in range(4 * (plan.size + 1)):
-        have = plan.match @ got if len(got) else np.zeros(len(goal), np.int64)
-        short = np.flatnonzero(have < goal)
-        if not len(short) and got.sum() == plan.size:
-            break
-        slack = have - goal
-        if len(short):
-            gain = plan.match[short].sum(axis=0) * (got < plan.count)
-            if not gain.any():
-                break
-            add = int(np.argmax(gain))
-        else:
-            add = int(np.argmax(plan.count - got)) if got.sum() < plan.size else -1
-        if got.sum() >= plan.size:
-            tight = slack <= 0
-            cost = plan.match[tight].sum(axis=0).astype(float) if tight.any() else np.zeros(len(got))
-            cost[got <= 0] = np.inf
-            if add >= 0:
-                cost[add] = np.inf
-                # a cell whose targets the added one shares loses nothing
-                if tight.any():
-                    cost -= plan.match[tight].astype(np.int64).T @ plan.match[tight][:, add].astype(np.int64)
-            take = int(np.argmin(cost))
-            if not np.isfinite(cost[take]) or (cost[take] > 0 and add >= 0 and cost[take] >= plan.match[short][:, add].sum()):
-                break
-            got[take] -= 1
-        if add >= 0:
-            got[add] += 1
-    return got - first
+    # the works drawn up to a rank are known from the crossings, so the first drawn or undrawn ones need no ranking
+    w = w.withColumn("drawn", upto(F.col("rank")) > upto(F.col("rank") - 1)).withColumn("before_drawn", upto(F.col("rank")) - upto(F.lit(0)))
+    added = ~F.col("drawn") & (F.col("change") > 0) & (F.col("rank") - F.col("before_drawn") <= F.col("change"))
+    kept = F.col("drawn") & ((F.col("change") >= 0) | (F.col("before_drawn") > -F.col("change")))
+    return w.where(added | kept).select("id", *DIMS, F.when(F.col("drawn"), "drawn").otherwise("repaired").alias("how")), conflict
 
 
-def report(metadata: DataFrame, target_table: DataFrame, one_in: int = 5) -> DataFrame:
-    """One row per target: need, how many works there are, how many the sample of ``draw`` holds, and whether the
-    target can be met and is met."""
+def report(metadata: DataFrame, target_table: DataFrame, one_in: int = 5, seed: int = 42, ranges: int = 256) -> DataFrame:
+    """One row per target: need, how many works there are, how many the sample of ``draw`` holds, whether the target
+    can be met and is met, and the reason if it isn't: ``too few works``, or ``conflict`` (the least total shortfall
+    of all targets that enough works could serve is above zero: a sample of this size can't meet them all)."""
     ws = works(metadata).select("id", *DIMS)
-    size = ws.agg(F.floor(F.count("*") / one_in).alias("size"))
-    t = F.broadcast(targets(target_table)).alias("t")  # at most MAX_TARGETS, checked by Plan
-    have = _per_target(cells(ws), t, "available", F.sum("n"))
-    s = draw(metadata, target_table, one_in)
-    got = _per_target(cells(s), t, "sampled", F.sum("n"))
-    j = targets(target_table).join(have, "target_id", "left").join(got, "target_id", "left").crossJoin(F.broadcast(size))
-    needed = F.greatest(F.ceil(F.col("share_pct") * F.col("size") / 100), F.col("min_items")).cast("bigint")
-    j = j.select("target_id", needed.alias("needed"), *(F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("available", "sampled")))
-    return j.select("*", (F.col("available") >= F.col("needed")).alias("can_be_met"), (F.col("sampled") >= F.col("needed")).alias("is_met"))
+    plan = Plan(ws, target_table, one_in)
+    s, conflict = _draw(ws, plan, seed, ranges)
+    got = _per_target(cells(s), F.broadcast(targets(target_table)).alias("t"), "sampled", F.sum("n"))  # at most MAX_TARGETS
+    known = ws.sparkSession.createDataFrame([(int(t["target_id"]), int(n), int(h)) for t, n, h in zip(plan.targets, plan.need, plan.have)], "target_id bigint, needed bigint, available bigint")
+    j = known.join(got, "target_id", "left").select("target_id", "needed", "available", F.coalesce("sampled", F.lit(0)).cast("bigint").alias("sampled"))
+    can, met = F.col("available") >= F.col("needed"), F.col("sampled") >= F.col("needed")
+    why = F.when(~can, "too few works").when(~met, "conflict" if conflict else "not found")
+    return j.select("*", can.alias("can_be_met"), met.alias("is_met"), why.alias("reason"))
 
 
 def _per_target(cs: DataFrame, t: DataFrame, name: str, agg) -> DataFrame:
@@ -189,8 +160,5 @@ def _per_target(cs: DataFrame, t: DataFrame, name: str, agg) -> DataFrame:
 
 
 def found(metadata: DataFrame, target_table: DataFrame) -> DataFrame:
-    """Targets that fewer works can serve than they need."""
-    ws = works(metadata).select("id", *DIMS)
-    plan = Plan(ws, target_table)
-    rows = [(int(t["target_id"]),) for t, n, h in zip(plan.targets, plan.need, plan.have) if h < n]
-    return metadata.sparkSession.createDataFrame(rows, "target_id bigint")
+    """Targets of the report that no sample can meet, since fewer works can serve them than they need."""
+    return report(metadata, target_table).where("not can_be_met and sampled < needed").select("target_id")
