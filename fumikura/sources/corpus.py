@@ -12,9 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def volume_key() -> Column:
-    """A 64-bit key of the volume, by which blocks are grouped without carrying strings through the sort."""
-    return F.xxhash64("work_stem", "vol_no")
+#: Names of the two keys of a volume.
+VKEYS = ["vkey", "vkey2"]
+
+
+def volume_keys() -> list[Column]:
+    """Two 64-bit hashes of work and volume, by which blocks are grouped without comparing strings in the sort; 128
+    bits together, so that two volumes never share both."""
+    return [F.xxhash64("work_stem", "vol_no").alias("vkey"), F.xxhash64("vol_no", "work_stem").alias("vkey2")]
 
 
 def token_rows(tsv: DataFrame, *columns: str, block: int = 4096) -> DataFrame:
