@@ -1,27 +1,32 @@
 """Problem 5: sentence boundaries across languages and scripts.
 
-Method: the boundary rules are compiled into a finite transducer over a small alphabet of token classes; a volume is
-cut into blocks of file lines, each block is read on its own, and the blocks' state-transition functions are
-composed in order.  The state between blocks is the unfinished line: a block with a line end is a function that
-resets it (it completes the pending line with its head and leaves its tail), a block without one appends.  Lines
-inside a block are finished at once; only heads and tails travel, and their composition is one ordered pass over
-fragments.  Token strings never leave the JVM: the class of a token depends on its own surface and part of speech.
+Method: the boundary rules are compiled into a finite transducer over a small alphabet of token classes (``compiled``
+enumerates its states from the rules of ``step``); it reads a token and says whether the one before ends a sentence:
+surely, or if it isn't inside brackets that close on the line.  Brackets nest without bound, so beside the state a
+block has a bracket word: what it does to the stack of open brackets (closing marks it couldn't pair itself and marks
+it left open).
+
+A volume is cut into blocks of file lines.  Each block is read on its own into a state-transition function (a state
+for each state, and the word) and the word of its first line; these are composed by a parallel prefix scan, forward
+for the state a block is entered in, backward for what follows on its last line.  Then each block writes its ends.  No
+task ever holds more than a block and the unpaired brackets of the line around it, also where a volume has no EOS.
+Token strings never leave the JVM: the class of a token depends on its own surface and part of speech.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fumikura.plans.blocks import by_group, key_starts
+from fumikura.llm.scan import exclusive
+from fumikura.plans.blocks import by_bytes, by_group, key_starts, map_arrow
+from fumikura.sources.corpus import VKEYS, volume_keys
 from fumikura.sources.stage import stage
 
 BLOCK = 16_384
-# the transducer's alphabet
+# classes of tokens
 OTHER, EOS, POINT, MARK, COMMA, PARTICLE, DIGITS, ABBREV, NUM_ABBREV, LOWER, WORD, OPEN, CLOSE = 0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 20, 60
 #: Closing marks, commas, brackets and quotation marks by pairs (quotation marks first).
 POINTS, MARKS, COMMAS = (".", "．"), ("。", "！", "？", "!", "?", "।", "॥", "｡"), ("、", "，", ",", "､")
@@ -44,86 +49,188 @@ def token_class() -> Column:
     return c.when(s.rlike(r"^[\p{IsLatin}\p{IsCyrillic}\p{IsGreek}]"), F.when(s.rlike(r"^\p{Ll}"), LOWER).otherwise(WORD)).otherwise(OTHER).cast("tinyint")
 
 
-_NQ = len(QUOTES)
-_EVENT = np.zeros(128, bool)
-_EVENT[[POINT, MARK]] = True
-
-
-def _abbrev(c: list[int], k: int) -> bool:
-    """Is the single point at k that of an abbreviation, initial, ordinal or number?"""
-    if k == 0:
-        return False
-    p, n = c[k - 1], c[k + 1] if k + 1 < len(c) else EOS
-    if p == ABBREV:
-        return True
-    if p == NUM_ABBREV:
-        return n == DIGITS
-    return p == DIGITS and n in (DIGITS, LOWER, WORD, ABBREV, NUM_ABBREV)
-
-
-def line_ends(c: list[int]) -> list[int]:
-    """Positions that end a sentence in one line of token classes (the line's last token included)."""
-    n = len(c)
-    out: list[int] = []
-    spans: list[tuple[int, int]] | None = None
-    k = 0
-    while k < n:
-        if c[k] not in (POINT, MARK):
-            k += 1
-            continue
-        a = k
-        while k + 1 < n and c[k + 1] in (POINT, MARK):
-            k += 1
-        run = c[a : k + 1]
-        e = k
-        k += 1
-        if all(x == POINT for x in run) and (len(run) > 1 or _abbrev(c, a)):
-            continue
-        while e + 1 < n and c[e + 1] >= CLOSE:
-            e += 1
-        if e + 1 < n:
-            x = c[e + 1]
-            if x in (PARTICLE, COMMA, POINT, MARK) or x == LOWER and e >= k and c[e] - CLOSE < _NQ:
-                continue
-        if spans is None:
-            spans = _spans(c)
-        if any(o < a and e < z for o, z in spans):
-            continue
-        out.append(e)
-    if n and (not out or out[-1] != n - 1):
-        out.append(n - 1)
+# what the transducer reads: classes with brackets by kind
+_CLOSE_QUOTE, _CLOSE_BRACKET, _NOTHING = 11, 12, 13
+_SYMBOL = np.zeros(128, np.uint8)
+_SYMBOL[: WORD + 1] = np.arange(WORD + 1)
+_SYMBOL[CLOSE : CLOSE + len(QUOTES)] = _CLOSE_QUOTE
+_SYMBOL[CLOSE + len(QUOTES) : CLOSE + len(PAIRS)] = _CLOSE_BRACKET
+#: What is said of the token before: it ends no sentence, it does, it does if no pair of brackets is around it.
+NO, YES, OUTSIDE = 0, 1, 2
+START = ("start",)
+
+
+def step(state: tuple, x: int) -> tuple[tuple, int]:
+    """The state after a token of class x, and what is said of the token before it.
+
+    States: the line's start; after a token (of a kind that matters to a point); after a single point; after several
+    points and nothing else; after a run with a closing mark; after closing brackets or quotation marks behind one.
+    """
+    if x == EOS:
+        return START, NO if state == START else YES
+    kind = state[0]
+    closing = x in (_CLOSE_QUOTE, _CLOSE_BRACKET)
+    run = x in (POINT, MARK)
+    if kind in ("point", "points", "mark") and run:
+        return (("mark",) if x == MARK or kind == "mark" else ("points",)), NO
+    said, candidate = NO, kind in ("mark", "closed")
+    if kind == "point":
+        before = state[1]
+        number = before == DIGITS and x in (DIGITS, LOWER, WORD, ABBREV, NUM_ABBREV)
+        candidate = not (before == ABBREV or before == NUM_ABBREV and x == DIGITS or number)
+    if candidate:
+        if closing:
+            return ("closed", x), NO
+        goes_on = x in (PARTICLE, COMMA) or run or x == LOWER and state == ("closed", _CLOSE_QUOTE)
+        said = NO if goes_on else OUTSIDE
+    if x == MARK:
+        return ("mark",), said
+    if x == POINT:
+        return ("point", state[1] if kind == "token" else OTHER), said
+    return ("token", x if x in (ABBREV, NUM_ABBREV, DIGITS) else OTHER), said
+
+
+def compiled() -> tuple[np.ndarray, np.ndarray]:
+    """Tables class x state: the next state and what is said; state 0 is the start.  All states the rules reach."""
+    states, todo, rows = {START: 0}, [START], []
+    while todo:
+        s = todo.pop(0)
+        row = []
+        for x in range(_NOTHING):
+            t, said = step(s, x)
+            if t not in states:
+                states[t] = len(states)
+                todo.append(t)
+            row.append((states[t], said))
+        rows.append((states[s], row))
+    n = len(states)
+    to, out = np.zeros((_NOTHING + 1, n), np.uint8), np.zeros((_NOTHING + 1, n), np.uint8)
+    for s, row in rows:
+        for x, (t, said) in enumerate(row):
+            to[x, s], out[x, s] = t, said
+    to[_NOTHING] = np.arange(n)
+    return to, out
+
+
+TO, SAYS = compiled()
+STATES = TO.shape[1]
+_WIDTH = 64
+
+
+def _rows(blocks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of blocks in rows of a fixed width, each block filled up, and the first row of each."""
+    n = np.array([-(-len(b) // _WIDTH) for b in blocks], np.int64)
+    first = np.concatenate([[0], np.cumsum(n)])
+    out = np.full(int(first[-1]) * _WIDTH, _NOTHING, np.uint8)
+    for b, at in zip(blocks, first.tolist()):
+        out[at * _WIDTH : at * _WIDTH + len(b)] = _SYMBOL[b]
+    return out.reshape(-1, _WIDTH), first
+
+
+def _row_maps(sym: np.ndarray) -> np.ndarray:
+    """The state each row leads to from each state."""
+    m = np.broadcast_to(np.arange(STATES, dtype=np.uint8), (len(sym), STATES))
+    for k in range(_WIDTH):
+        m = TO[sym[:, k, None], m]
+    return m
+
+
+def block_maps(blocks: list[np.ndarray]) -> list[bytes]:
+    """State-transition functions of blocks of classes."""
+    sym, first = _rows(blocks)
+    rows, out = _row_maps(sym), []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        m = np.arange(STATES, dtype=np.uint8)
+        for r in range(a, b):
+            m = rows[r][m]
+        out.append(m.tobytes())
     return out
 
 
-def _spans(c: list[int]) -> list[tuple[int, int]]:
-    """Pairs of brackets or quotation marks that open and close in the line."""
-    stack: list[int] = []
-    out = []
-    for j, x in enumerate(c):
+def says(blocks: list[np.ndarray], entered: list[int], following: list[int]) -> list[np.ndarray]:
+    """What is said of each token of blocks that are entered in the given states and followed by the given classes."""
+    sym, first = _rows([np.append(b, x).astype(np.uint8) for b, x in zip(blocks, following)])
+    maps, state = _row_maps(sym), np.zeros(len(sym), np.uint8)
+    for s, a, b in zip(entered, first[:-1].tolist(), first[1:].tolist()):
+        for r in range(a, b):
+            state[r] = s
+            s = int(maps[r, s])
+    out = np.zeros(sym.shape, np.uint8)
+    for k in range(_WIDTH):
+        out[:, k] = SAYS[sym[:, k], state]
+        state = TO[sym[:, k], state]
+    flat = out.ravel()
+    return [flat[a * _WIDTH + 1 : a * _WIDTH + 1 + len(b)] for b, a in zip(blocks, first.tolist())]
+
+
+def reduced(word: bytes) -> bytes:
+    """A bracket word without the pairs it holds.  A closing mark takes the nearest open one of its kind and all open
+    ones after it; past a closing mark that may still find its partner before the word nothing is decided."""
+    left: list[int] = []
+    for x in word:
         if x >= CLOSE:
-            for d in range(len(stack) - 1, -1, -1):
-                if c[stack[d]] - OPEN == x - CLOSE:
-                    out.append((stack[d], j))
-                    del stack[d:]
+            k = len(left) - 1
+            while k >= 0 and left[k] < CLOSE and left[k] - OPEN != x - CLOSE:
+                k -= 1
+            if k >= 0 and left[k] < CLOSE:
+                del left[k:]
+                continue
+        left.append(x)
+    return bytes(left)
+
+
+def _opens(word: bytes) -> bytes:
+    """What a word leaves open at the start of a line: closing marks without a partner do nothing."""
+    left: list[int] = []
+    for x in word:
+        if x < CLOSE:
+            left.append(x)
+        else:
+            for k in range(len(left) - 1, -1, -1):
+                if left[k] - OPEN == x - CLOSE:
+                    del left[k:]
                     break
-        elif x >= OPEN:
-            stack.append(j)
-    return out
+    return bytes(left)
+
+
+def depth(c: np.ndarray, before: bytes, after: bytes) -> np.ndarray:
+    """For each token how many pairs of brackets that close on its line are around it or end behind it; ``before`` is
+    left open when the block begins, ``after`` follows on its last line."""
+    d = np.zeros(len(c) + 1, np.int32)
+    stack = [(x - OPEN, 0) for x in before]
+    at = np.flatnonzero((c >= OPEN) | (c == EOS)).tolist()
+    for p, x in [*zip(at, c[at].tolist()), *((len(c), x) for x in after)]:
+        if x == EOS:
+            stack.clear()
+        elif x < CLOSE:
+            stack.append((x - OPEN, p))
+        else:
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == x - CLOSE:
+                    d[stack[k][1]] += 1
+                    d[p] -= 1
+                    del stack[k:]
+                    break
+    return np.cumsum(d[:-1])
+
+
+def forward(first: bytes, then: bytes) -> bytes:
+    """Composition of (states, whether a line ended, word since then)."""
+    m = np.frombuffer(then, np.uint8, STATES)[np.frombuffer(first, np.uint8, STATES)]
+    if then[STATES]:
+        return m.tobytes() + then[STATES:]
+    return m.tobytes() + first[STATES : STATES + 1] + reduced(first[STATES + 1 :] + then[STATES + 1 :])
+
 
+def backward(first: bytes, then: bytes) -> bytes:
+    """Composition of (first class, whether the first line ended, its word)."""
+    if first[1]:
+        return first
+    return first[:1] + then[1:2] + reduced(first[2:] + then[2:])
 
-def _ends(c: np.ndarray) -> np.ndarray:
-    """``line_ends`` over many whole lines, each closed by EOS; positions in ``c``."""
-    flag = np.zeros(len(c), bool)
-    eos = np.flatnonzero(c == EOS)
-    last = eos - 1
-    last = last[last >= 0]
-    flag[last[c[last] != EOS]] = True
-    lines = np.unique(np.searchsorted(eos, np.flatnonzero(_EVENT[c])))
-    for j in lines:
-        a, b = (eos[j - 1] + 1 if j else 0), eos[j]
-        for e in line_ends(c[a:b].tolist()):
-            flag[a + e] = True
-    return np.flatnonzero(flag)
+
+_ENTER = np.arange(STATES, dtype=np.uint8).tobytes() + b"\0"
+_END = bytes([EOS, 1])
 
 
 def sentence_ends(tsv: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -133,77 +240,59 @@ def sentence_ends(tsv: DataFrame, block: int = BLOCK) -> DataFrame:
     tokens end, an empty table gives no row.
     """
     t = tsv.where("work_stem is not null and vol_no is not null and line_no is not null and (i is not null or pos1 = 'EOS')")
-    t = t.select(F.xxhash64("work_stem", "vol_no").alias("vkey"), "work_stem", "vol_no", F.floor(F.col("line_no") / block).cast("int").alias("blk"), "line_no", F.coalesce("i", F.lit(0)).alias("i"), token_class().alias("cls"))
+    t = t.select(*volume_keys(), "work_stem", "vol_no", F.floor(F.col("line_no") / block).cast("int").alias("blk"), "line_no", F.coalesce("i", F.lit(0)).alias("i"), token_class().alias("cls"))
 
     def read(x: pa.Table) -> pa.Table:
         line, i, cls = x.column("line_no").to_numpy(), x.column("i").to_numpy(), x.column("cls").to_numpy()
-        starts = key_starts(x, ["vkey", "blk"])
+        starts = key_starts(x, [*VKEYS, "blk"])
         new = np.ones(len(line), bool)
         new[1:] = line[1:] != line[:-1]
         new[starts] = True
-        blk = x.column("blk").to_numpy()
-        at, val, kind, fcls, fi = [], [], [], [], []
+        blocks, pos, fore, back = [], [], [], []
         for a, b in zip(starts, np.append(starts[1:], len(line))):
             keep = new[a:b]
-            c, pos = cls[a:b][keep], i[a:b][keep]
+            c = cls[a:b][keep].astype(np.uint8)
+            blocks.append(c)
+            pos.append(i[a:b][keep].astype("<i4").tobytes())
             eos = np.flatnonzero(c == EOS)
-            lo = hi = len(c)
-            if len(eos):
-                lo, hi = (eos[0] + 1 if blk[a] else 0), eos[-1] + 1
-                ends = pos[lo:hi][_ends(c[lo:hi])]
-                at.extend([a] * len(ends))
-                val.extend(ends.tolist())
-                kind.extend([0] * len(ends))
-                fcls.extend([None] * len(ends))
-                fi.extend([None] * len(ends))
-                if blk[a]:
-                    frags = [(1, 0, lo - 1), (2, hi, len(c))]
-                else:
-                    frags = [(2, hi, len(c))]
-            else:
-                frags = [(2, 0, len(c))]
-            for what, p, q in frags:  # 1 closes the pending line, 2 is added to it
-                if what == 1 or q > p:
-                    at.append(a)
-                    val.append(0)
-                    kind.append(what)
-                    fcls.append(c[p:q].astype(np.int8).tobytes())
-                    fi.append(pos[p:q].astype("<i4").tobytes())
-        head = x.select(["vkey", "work_stem", "vol_no", "blk"]).take(pa.array(at, pa.int64()))
-        for name, v, kt in (("kind", kind, pa.int8()), ("i", val, pa.int32()), ("fcls", fcls, pa.binary()), ("fi", fi, pa.binary())):
-            head = head.append_column(name, pa.array(v, kt))
+            word = lambda z: reduced(z[z >= OPEN].tobytes())
+            fore.append(bytes([len(eos) > 0]) + word(c[eos[-1] + 1 :] if len(eos) else c))
+            back.append(bytes([c[0], len(eos) > 0]) + word(c[: eos[0]] if len(eos) else c))
+        head = x.select([*VKEYS, "work_stem", "vol_no", "blk"]).take(pa.array(starts))
+        for name, v in (("cls", [c.tobytes() for c in blocks]), ("i", pos), ("fore", [m + w for m, w in zip(block_maps(blocks), fore)]), ("back", back)):
+            head = head.append_column(name, pa.array(v, pa.binary()))
         return head
 
-    schema = "vkey long, work_stem string, vol_no int, blk int, kind tinyint, i int, fcls binary, fi binary"
-    parts = stage(by_group(t, ["vkey", "blk"], ["line_no"], read, schema), "sentences")
-
-    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cur, pc, pi, rows = None, [], [], []
-
-        def close() -> None:
-            if pc:
-                c, pos = np.frombuffer(b"".join(pc), np.int8), np.frombuffer(b"".join(pi), "<i4")
-                rows.extend((cur[1], cur[2], int(pos[e])) for e in (line_ends(c.tolist()) if len(c) else ()))
-                pc.clear()
-                pi.clear()
-
-        for b in batches:
-            for key, stem, vol, kind, c, f in zip(*(b.column(x).to_pylist() for x in ("vkey", "work_stem", "vol_no", "kind", "fcls", "fi"))):
-                if cur is None or cur[0] != key:
-                    close()
-                    cur = (key, stem, vol)
-                pc.append(c)
-                pi.append(f)
-                if kind == 1:
-                    close()
-        close()
-        if rows:
-            c = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32())], names=["work_stem", "vol_no", "i"])
-
-    done = parts.where("kind = 0").select("work_stem", "vol_no", "i")
-    frag = parts.where("kind > 0").repartition("vkey").sortWithinPartitions("vkey", "blk", "kind")
-    return done.unionByName(frag.mapInArrow(compose, "work_stem string, vol_no int, i int"))
+    schema = "vkey long, vkey2 long, work_stem string, vol_no int, blk int, cls binary, i binary, fore binary, back binary"
+    parts = stage(by_group(t, [*VKEYS, "blk"], ["line_no"], read, schema), "sentences")
+    several = parts.groupBy(*VKEYS).agg(F.count("*").alias("k")).where("k > 1").drop("k")
+    chain = stage(parts.join(several, VKEYS, "left_semi").select(*VKEYS, "blk", "fore", "back"), "chains")
+    at = [*VKEYS, "blk"]
+    entered = exclusive(chain.select(*at, F.col("fore").alias("f")), VKEYS, forward, _ENTER).withColumnRenamed("before", "entered")
+    follows = exclusive(chain.select(*at, F.col("back").alias("f")), VKEYS, backward, _END, backward=True).withColumnRenamed("before", "follows")
+
+    def ends_of(x: pa.Table) -> pa.Table:
+        blocks = [np.frombuffer(c, np.uint8) for c in x.column("cls").to_pylist()]
+        entered = [e or _ENTER for e in x.column("entered").to_pylist()]
+        follows = [f or _END for f in x.column("follows").to_pylist()]
+        src, ends = [], []
+        for r, (c, said) in enumerate(zip(blocks, says(blocks, [e[0] for e in entered], [f[0] for f in follows]))):
+            end = said == YES
+            maybe = said == OUTSIDE
+            if maybe.any():
+                after = b"" if c[-1] == EOS else follows[r][2:]
+                end |= maybe & (depth(c, _opens(entered[r][STATES + 1 :]), after) == 0)
+            e = np.frombuffer(x.column("i")[r].as_py(), "<i4")[end]
+            src.append(np.full(len(e), r))
+            ends.append(e)
+        out = x.select(["work_stem", "vol_no"]).take(pa.array(np.concatenate(src), pa.int64()))
+        return out.append_column("i", pa.array(np.concatenate(ends), pa.int32()))
+
+    def write(x: pa.Table) -> pa.Table:
+        return pa.concat_tables([ends_of(p) for p in by_bytes(x, "cls", 2_000_000)])
+
+    j = parts.join(entered.join(follows, at), at, "left").select("work_stem", "vol_no", "cls", "i", "entered", "follows")
+    return map_arrow(j, write, "work_stem string, vol_no int, i int", min_rows=50)
 
 
 def found(tsv: DataFrame) -> DataFrame:
