@@ -3,9 +3,9 @@
 Method: global distinct-word shuffle.  Texts are cut into pre-tokens by the vocabulary's pattern and those into
 *words* at every place that no vocabulary entry spans (a merge can never cross it, so cutting there changes no id;
 in scripts whose letters are mostly entries of their own this leaves very few distinct words).  Each block of
-documents keeps its words' order as numbers into its own word list; only the word lists are shuffled, by word, so
-each distinct word is encoded once per partition that owns it; the ids go back to the blocks and are put in place
-by position.  Decoding joins the token-byte table.
+documents keeps its words' order as numbers into its own word list (positions exploded, in packed form); the word
+lists are reduced to the distinct words of the corpus, each is encoded once, its ids are joined back to the lists and
+put in place by position.  Decoding joins the token-byte table.
 """
 
 from __future__ import annotations
@@ -222,19 +222,14 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str =
     parts = stage(docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).mapInArrow(cut, schema), "words")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, seen = vocabulary(path).encode, {}
+        enc = vocabulary(path).encode
         for b in batches:
-            data = []
-            for w in b.column("word").to_pylist():
-                x = seen.get(w)
-                if x is None:
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    x = seen[w] = np.array(enc(w.encode("utf-8", "surrogatepass")), "<i4").tobytes()
-                data.append(x)
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("no"), pa.array(data, pa.binary())], names=["block", "no", "code"])
-
-    coded = parts.where("no >= 0").select("block", "no", "word").repartition("word").mapInArrow(once, "block long, no int, code binary")
+            data = [np.array(enc(w.encode("utf-8", "surrogatepass")), "<i4").tobytes() for w in b.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(data, pa.binary())], names=["word", "code"])
+
+    # a word that every block has is reduced to one row on the map side; its ids go back by a join AQE can split
+    at = parts.where("no >= 0").select("block", "no", "word")
+    coded = at.join(at.select("word").distinct().mapInArrow(once, "word string, code binary"), "word")
     null = F.lit(None).cast("binary")
     back = parts.where("no < 0").drop("word").unionByName(coded.select("block", "no", null.alias("nulls"), null.alias("keys"), null.alias("n"), "code"))
 

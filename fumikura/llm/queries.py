@@ -17,6 +17,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_spans(table(spark, d, "tsv"), table(spark, d, "corpus_metadata_v2"))
 
 
+def p1_shares(spark: SparkSession, d: str) -> DataFrame:
+    tsv, m = table(spark, d, "tsv"), table(spark, d, "corpus_metadata_v2")
+    return spans.shared_shares(spans.shared_spans(tsv, m), spans.record_lengths(tsv, m))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return terms.found(table(spark, d, "tsv"), table(spark, d, "corpus_metadata_v2"))
 
@@ -37,6 +42,11 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return sampling.report(table(spark, d, "corpus_metadata_v2"), table(spark, d, "sample_targets"))
 
 
+def p3_limits(spark: SparkSession, d: str) -> DataFrame:
+    """The part of the report that no draw decides."""
+    return p3_report(spark, d).select("target_id", "needed", "available", "can_be_met")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.found(table(spark, d, "tsv"), table(spark, d, "corpus_metadata_v2"))
 
@@ -49,10 +59,19 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode(table(spark, d, "documents"))
 
 
+def p6_decode(spark: SparkSession, d: str) -> DataFrame:
+    """Every document encoded and decoded again; a null text comes back empty."""
+    return encoding.decode(encoding.encode(table(spark, d, "documents")))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.find(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+def p7_contained(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.contained(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return repeats.found(table(spark, d, "documents"))
 
@@ -66,7 +85,7 @@ def p8_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Q]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_scores, p3_found, p3_sample, p3_report, p4_found, p5_found, p6_ids, p7_found, p8_found, p8_shares, p8_lines)}
+    return {f.__name__: f for f in (p1_found, p1_shares, p2_found, p2_scores, p3_found, p3_sample, p3_report, p3_limits, p4_found, p5_found, p6_ids, p6_decode, p7_found, p7_contained, p8_found, p8_shares, p8_lines)}
 
 
 _FULL, _HALF = "０１２３４５６７８９，．　＿－ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ", "0123456789,. _-ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -110,10 +129,16 @@ _SCORES = lambda name, src, rec, extra: f"{name} AS (SELECT {rec} AS rec, term,
 
 def oracle_sql() -> dict[str, str]:
     match = " AND ".join(f"(t.{c} IS NULL OR t.{c} = wk.{c})" for c in ("period", "genre_main", "author_sex", "register_level"))
+    p1 = "WITH a AS (WITH " + _shared(_TOKENS, "surface", 30, "(rec, vol_no)") + _RUNS.format(src="h").replace("SELECT field", " SELECT field", 1) + "), b AS (WITH " + _shared(_TITLES, "title_aozora", 16, "rec") + _RUNS.format(src="h").replace("SELECT field", " SELECT field", 1) + ") SELECT * FROM a UNION ALL SELECT * FROM b"
     return {
-        "p1_found": "WITH a AS (WITH " + _shared(_TOKENS, "surface", 30, "(rec, vol_no)") + _RUNS.format(src="h").replace("SELECT field", " SELECT field", 1) + "), b AS (WITH " + _shared(_TITLES, "title_aozora", 16, "rec") + _RUNS.format(src="h").replace("SELECT field", " SELECT field", 1) + ") SELECT * FROM a UNION ALL SELECT * FROM b",
+        "p1_found": p1,
+        "p1_shares": f"WITH f AS ({p1}), ln AS (SELECT 'surface' AS field, rec, vol_no, count(*) AS n FROM ({_TOKENS}) GROUP BY ALL UNION ALL SELECT 'title_aozora', id, 0, max(length(title_aozora)) FROM corpus_metadata_v2 WHERE id IS NOT NULL AND title_aozora <> '' GROUP BY id), sh AS (SELECT field, rec, vol_no, CAST(sum(last_pos - first_pos + 1) AS BIGINT) AS shared FROM f GROUP BY ALL) SELECT field, rec, vol_no, CAST(n AS BIGINT) AS n, coalesce(shared, 0) AS shared, round(coalesce(shared, 0) / n, 6) AS share FROM ln LEFT JOIN sh USING (field, rec, vol_no)",
         "p2_found": f"WITH {_TERMS}, {_WORKS}, {_PERIODS}, d AS (SELECT term, count(*) AS df FROM c GROUP BY term), q AS (SELECT term, count(*) AS df FROM pc GROUP BY term) SELECT 'work' AS unit, work_stem AS rec, term FROM c JOIN d USING (term) WHERE tf >= 6 AND df <= 2 UNION ALL SELECT 'period', period, term FROM pc JOIN q USING (term) WHERE tf >= 12 AND works >= 4 AND df = 1",
         "p3_found": f"WITH {_WORKS}, n AS (SELECT count(*) // 5 AS n FROM wk), t AS (SELECT target_id, {_period('period')} AS period, {_category('genre_main')} AS genre_main, {_sex('author_sex')} AS author_sex, {_category('register_level')} AS register_level, share_pct, min_items FROM sample_targets) SELECT target_id FROM t, n WHERE (SELECT count(*) FROM wk WHERE {match}) < greatest(CAST(ceil(share_pct * n / 100) AS BIGINT), min_items)",
+        "p3_limits": f"WITH {_WORKS}, n AS (SELECT count(*) // 5 AS n FROM wk), t AS (SELECT target_id, {_period('period')} AS period, {_category('genre_main')} AS genre_main, {_sex('author_sex')} AS author_sex, {_category('register_level')} AS register_level, share_pct, min_items FROM sample_targets), x AS (SELECT target_id, CAST(greatest(CAST(ceil(share_pct * n / 100) AS BIGINT), min_items) AS BIGINT) AS needed, (SELECT count(*) FROM wk WHERE {match}) AS available FROM t, n) SELECT target_id, needed, available, available >= needed AS can_be_met FROM x",
+        "p6_decode": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+        "p8_lines": """WITH e AS (SELECT doc_id, source AS host, unnest(regexp_split_to_array(text, '\\r\\n|[\\n\\r]')) AS line FROM documents WHERE doc_id IS NOT NULL), l AS (SELECT doc_id, host, lower(regexp_replace(line, '[^\\p{L}\\p{N}]', '', 'g')) AS norm FROM e), k AS (SELECT * FROM l WHERE norm <> ''), h AS (SELECT coalesce(host, chr(1)) AS host, norm, count(DISTINCT doc_id) > 5 AS hot FROM k GROUP BY ALL)
+SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE NOT hot) AS kept, coalesce(sum(CASE WHEN hot THEN 0 ELSE length(k.norm) END), 0) < 0.5e0 * sum(length(k.norm)) AS rejected FROM k JOIN h ON h.host = coalesce(k.host, chr(1)) AND h.norm = k.norm GROUP BY doc_id""",
         "p4_found": f"""WITH RECURSIVE {_WORKS}, l AS (SELECT DISTINCT work_stem, vol_no, line_no, i, surface FROM tsv WHERE work_stem IS NOT NULL AND vol_no IS NOT NULL AND line_no IS NOT NULL AND (i IS NOT NULL OR pos1 = 'EOS')),
 m AS (SELECT *, lead(i IS NULL) OVER (PARTITION BY work_stem, vol_no ORDER BY line_no) AS e FROM l), k AS (SELECT work_stem, vol_no, i, e, surface, count(*) OVER (PARTITION BY work_stem, vol_no) AS n FROM m WHERE i IS NOT NULL),
 f AS (SELECT work_stem, vol_no, CAST(i AS BIGINT) AS s, n, CAST(CASE WHEN n - i + 1 <= 400 THEN n ELSE coalesce(max(CASE WHEN e THEN i END) OVER w, max(CASE WHEN surface IN ('。', '．', '！', '？') THEN i END) OVER w, max(CASE WHEN surface IN ('、', '，') THEN i END) OVER w, i + 399) END AS BIGINT) AS z FROM k WHERE n > 400 WINDOW w AS (PARTITION BY work_stem, vol_no ORDER BY i ROWS BETWEEN 200 FOLLOWING AND 399 FOLLOWING)),
