@@ -31,14 +31,15 @@ def tokens(tsv: DataFrame, *columns: str, sentences: bool = True, block: int = B
     if not sentences:
         return t.where("i is not null").drop("blk", "line_no")
     eos = F.when(F.col("i").isNull(), 1).otherwise(0)
-    w = Window.partitionBy("work_stem", "vol_no", "blk").orderBy("line_no")
-    t = t.withColumn("inside", F.sum(eos).over(w))
-    per = tsv.where("pos1 = 'EOS' and i is null").select("work_stem", "vol_no", F.floor(F.col("line_no") / block).cast("int").alias("blk"), "line_no").distinct().groupBy("work_stem", "vol_no", "blk").agg(F.count("*").alias("k"))
-    # volumes of a single block need no offset: the prefix has rows only for later blocks
-    after = per.select("work_stem", "vol_no", "blk", F.sum("k").over(Window.partitionBy("work_stem", "vol_no").orderBy("blk")).alias("upto"))
-    later = t.where("blk > 0").select("work_stem", "vol_no", "blk").distinct()
-    off = later.join(after.withColumnRenamed("blk", "b"), ["work_stem", "vol_no"]).where("b < blk").groupBy("work_stem", "vol_no", "blk").agg(F.max("upto").alias("offset"))
-    t = t.join(off, ["work_stem", "vol_no", "blk"], "left")
+    vol = ["work_stem", "vol_no"]
+    t = t.withColumn("inside", F.sum(eos).over(Window.partitionBy(*vol, "blk").orderBy("line_no")))
+    # line ends of the blocks before: a running sum over one row per block
+    valid = tsv.where("work_stem is not null and vol_no is not null and line_no is not null").select(*vol, F.floor(F.col("line_no") / block).cast("int").alias("blk"), "line_no", "i", "pos1")
+    ends = valid.where("pos1 = 'EOS' and i is null").select(*vol, "blk", "line_no").distinct().groupBy(*vol, "blk").agg(F.count("*").alias("k"))
+    every = valid.where("i is not null").select(*vol, "blk").distinct().withColumn("k", F.lit(0).cast("bigint"))
+    per = ends.unionByName(every).groupBy(*vol, "blk").agg(F.sum("k").alias("k"))
+    before = per.select(*vol, "blk", (F.sum("k").over(Window.partitionBy(*vol).orderBy("blk")) - F.col("k")).alias("offset")).where("offset > 0")
+    t = t.join(before, [*vol, "blk"], "left")
     return t.where("i is not null").withColumn("sent", (F.col("inside") + F.coalesce("offset", F.lit(0))).cast("bigint")).drop("blk", "line_no", "inside", "offset")
 
 

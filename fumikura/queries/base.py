@@ -3,26 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from fumikura.functions import keys
-from fumikura.operators import tokens as tk
-from fumikura.sources.corpus import table, works
+from fumikura.sources.index import of_tables
 
 COLS = ("surface", "lemma_key", "lemma", "orthbase", "pos1", "pos2", "pos3", "goshu")
 
 
 def tok(spark: SparkSession, d: str, *columns: str, sentences: bool = False) -> DataFrame:
-    return tk.tokens(table(spark, d, "tsv"), *(columns or COLS), sentences=sentences)
+    """Tokens from the index, which the first query of a session builds or opens."""
+    return of_tables(spark, d).tokens.select("work_stem", "vol_no", "i", *(["sent"] if sentences else []), *(columns or COLS))
 
 
 def attributes(spark: SparkSession, d: str) -> DataFrame:
-    """work_stem, period, genre_main, author_sex, register_level, author of every work, one row each."""
-    m = table(spark, d, "corpus_metadata_v2")
-    w = works(m).where("work_stem is not null").groupBy("work_stem").agg(*(F.min(c).alias(c) for c in ("period", "genre_main", "author_sex", "register_level", "tokens")))
-    a = m.select(keys.work_stem(F.col("aozora_person_id"), F.col("aozora_work_id")).alias("work_stem"), keys.strip(keys.narrow(F.col("author_ja"))).alias("author"), F.expr("try_cast(year_first as int)").alias("year"))
-    a = a.where("work_stem is not null").groupBy("work_stem").agg(F.min("author").alias("author"), F.min("year").alias("year"))
-    return w.join(a, "work_stem")
+    """work_stem, period, genre_main, author_sex, register_level, tokens, author, title, year of every work."""
+    return of_tables(spark, d).works
 
 
 _FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F)).replace("'", "''") + "　"

@@ -48,3 +48,12 @@ def works(metadata: DataFrame) -> DataFrame:
     )
     first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(F.coalesce("loaded_at", F.lit("9999-12-31").cast("timestamp")), F.col(c)))).alias(c) for c in ("work_stem", "period", "genre_main", "author_sex", "register_level", "tokens")]
     return m.groupBy("id").agg(*first)
+
+
+def attributes(metadata: DataFrame) -> DataFrame:
+    """work_stem, period, genre_main, author_sex, register_level, tokens, author, title, year of every work, one row each."""
+    w = works(metadata).where("work_stem is not null").groupBy("work_stem").agg(*(F.min(c).alias(c) for c in ("period", "genre_main", "author_sex", "register_level", "tokens")))
+    text = lambda c: keys.strip(keys.narrow(F.col(c))).alias(c)
+    a = metadata.select(keys.work_stem(F.col("aozora_person_id"), F.col("aozora_work_id")).alias("work_stem"), text("author_ja"), text("title_aozora"), F.expr("try_cast(year_first as int)").alias("year"))
+    a = a.where("work_stem is not null").groupBy("work_stem").agg(F.min("author_ja").alias("author"), F.min("title_aozora").alias("title"), F.min("year").alias("year"))
+    return w.join(a, "work_stem")

@@ -54,8 +54,12 @@ def read_morphemes(spark: SparkSession, path: str) -> DataFrame:
 def write_table(df: DataFrame, path: str, provenance: dict, partition_by: tuple[str, ...] = ()) -> None:
     """Parquet, and a JSON record beside it of what made it."""
     (df.write.partitionBy(*partition_by) if partition_by else df.write).mode("overwrite").parquet(path)
+    write_provenance(df.sparkSession, path, provenance, df)
+
+
+def write_provenance(spark: SparkSession, path: str, provenance: dict, df: DataFrame) -> None:
     record = {**provenance, "columns": [f"{n} {t}" for n, t in df.dtypes], "written": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())}
-    _write_text(df.sparkSession, f"{path.rstrip('/')}.provenance.json", json.dumps(record, ensure_ascii=False, indent=1))
+    _write_text(spark, f"{path.rstrip('/')}.provenance.json", json.dumps(record, ensure_ascii=False, indent=1))
 
 
 def read_provenance(spark: SparkSession, path: str) -> dict:

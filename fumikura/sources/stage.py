@@ -3,17 +3,23 @@
 A stage is a Parquet table in the folder that ``spark.checkpoint.dir`` names (shared by all executors on a
 cluster), so later reads survive the loss of any executor and the lineage ends there.  Where the setting is unset,
 as in tests, a temporary folder of the local machine is used and set for the session.
+
+Stages written inside ``with owned():`` are removed at its end, when the result made from them has been written;
+others when the session's Python process ends.
 """
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_KEPT: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,26 +29,46 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
         d = "file://" + tempfile.mkdtemp(prefix="fumikura-")
         spark.conf.set("spark.checkpoint.dir", d)
-        _WRITTEN.append((spark, d))
+        _KEPT.append((spark, d))
     return d.rstrip("/")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return the table; it is removed when the session's Python process ends."""
+    """Write ``df`` once and return the table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     _WRITTEN.append((spark, path))
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-@atexit.register
-def _clean() -> None:
-    while _WRITTEN:
-        spark, path = _WRITTEN.pop()
+def keep(spark: SparkSession, *paths: str) -> None:
+    """Paths to remove at the end of the process, not of an owner."""
+    _KEPT.extend((spark, p) for p in paths)
+
+
+@contextlib.contextmanager
+def owned() -> Iterator[None]:
+    """The stages written inside belong to this block: write or collect the results in it."""
+    first = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        _remove(_WRITTEN, first)
+
+
+def _remove(written: list[tuple[SparkSession, str]], first: int = 0) -> None:
+    while len(written) > first:
+        spark, path = written.pop()
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # noqa: BLE001  the session may have ended before
             pass
+
+
+@atexit.register
+def _clean() -> None:
+    _remove(_WRITTEN)
+    _remove(_KEPT)
