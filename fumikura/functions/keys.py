@@ -56,3 +56,8 @@ def work_stem(person: Column, work: Column) -> Column:
     p, w = strip(narrow(person)), strip(narrow(work))
     p, w = (F.when(F.length(x) >= 6, x).otherwise(F.lpad(x, 6, "0")) for x in (F.when(p != "", p), F.when(w != "", w)))
     return F.concat(p, F.lit("_"), w)
+
+
+def draw_order(seed: int, *columns: str) -> Column:
+    """A random order that depends on seed and key only: MD5 as text, which other engines have too."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *columns))

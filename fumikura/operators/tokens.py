@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fumikura.functions.keys import draw_order
+
 BLOCK = 8192
 PUNCT = ("補助記号", "空白", "記号")
 FEATURES = ("surface", "lemma_key", "lemma", "orthbase", "lform", "pos1", "pos2", "pos3", "pos4", "ctype", "cform", "goshu")
@@ -158,7 +160,7 @@ def cap_chunks(index: DataFrame, most: int, how: str = "spread", seed: int = 42)
     ``index`` has (work_stem, chunk_no) with chunks numbered from 0."""
     n = index.groupBy("work_stem").agg(F.count("*").alias("n_chunks"))
     j = index.join(n, "work_stem")
-    h = F.xxhash64(F.lit(seed), "work_stem", "chunk_no")
+    h = draw_order(seed, "work_stem", "chunk_no")
     few = F.col("n_chunks") <= most
     if how == "head":
         return j.where(few | (F.col("chunk_no") < most)).drop("n_chunks")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fumikura.functions.keys import draw_order
 from fumikura.operators.stylometry import dot
 
 
@@ -218,13 +219,13 @@ def permute(labels: DataFrame, key: str, label: str, seed: int = 42) -> DataFram
     """Labels of labelled rows in another order by hash: the control experiment.  Ranks come from row counts of hash
     ranges first, so rows are never in one task."""
     d = labels.where(F.col(label).isNotNull()).select(key, label)
-    a = _ranked(d.select(key, F.xxhash64(F.lit("order"), key).alias("h")), key)
-    b = _ranked(d.select(key, label, F.xxhash64(F.lit(seed), key).alias("h")), key).select("rank", label)
+    a = _ranked(d.select(key, draw_order(0, key).alias("h")), key)
+    b = _ranked(d.select(key, label, draw_order(seed, key).alias("h")), key).select("rank", label)
     return a.select(key, "rank").join(b, "rank").drop("rank")
 
 
 def _ranked(d: DataFrame, key: str) -> DataFrame:
-    d = d.withColumn("part", F.shiftright("h", 56).cast("int"))
+    d = d.withColumn("part", F.substring("h", 1, 3))
     n = d.groupBy("part").agg(F.count("*").alias("k"))
-    before = n.select("part", F.coalesce(F.sum("k").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # 256 rows
+    before = n.select("part", F.coalesce(F.sum("k").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # 4,096 rows
     return d.join(F.broadcast(before), "part").withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("h", key))).drop("part", "before", "h")

@@ -56,8 +56,8 @@ TOK = "tok AS (SELECT DISTINCT work_stem, vol_no, i, surface, lemma_key, lemma,
 ST = """lns AS (SELECT DISTINCT work_stem, vol_no, line_no, i, surface, lemma_key, lemma, orthbase, pos1, pos2, pos3 FROM tsv WHERE work_stem IS NOT NULL AND vol_no IS NOT NULL AND line_no IS NOT NULL AND (i IS NOT NULL OR pos1 = 'EOS')),
 st AS (SELECT * EXCLUDE (line_no) FROM (SELECT *, CAST(sum(CASE WHEN i IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY work_stem, vol_no ORDER BY line_no) AS BIGINT) AS sent FROM lns) WHERE i IS NOT NULL)"""
 #: att: one row per work.
-ATT = f"""ids AS (SELECT {sql_strip("id")} AS id, min(lpad({sql_strip(sql_narrow("aozora_person_id"))}, 6, '0') || '_' || lpad({sql_strip(sql_narrow("aozora_work_id"))}, 6, '0')) AS work_stem, min({sql_period("period")}) AS period, min({sql_category("genre_main")}) AS genre_main, min({sql_sex("author_sex")}) AS author_sex, min({sql_category("register_level")}) AS register_level, min({sql_number("tokens")}) AS tokens, min({sql_strip(sql_narrow("author_ja"))}) AS author, min(try_cast(year_first AS INTEGER)) AS year FROM corpus_metadata_v2 WHERE id IS NOT NULL GROUP BY 1),
-att AS (SELECT work_stem, min(period) AS period, min(genre_main) AS genre_main, min(author_sex) AS author_sex, min(register_level) AS register_level, min(tokens) AS tokens, min(author) AS author, min(year) AS year FROM ids WHERE work_stem IS NOT NULL GROUP BY work_stem)"""
+ATT = f"""ids AS (SELECT {sql_strip("id")} AS id, min(lpad({sql_strip(sql_narrow("aozora_person_id"))}, 6, '0') || '_' || lpad({sql_strip(sql_narrow("aozora_work_id"))}, 6, '0')) AS work_stem, min({sql_period("period")}) AS period, min({sql_category("genre_main")}) AS genre_main, min({sql_sex("author_sex")}) AS author_sex, min({sql_category("register_level")}) AS register_level, min({sql_number("tokens")}) AS tokens, min({sql_strip(sql_narrow("author_ja"))}) AS author, min({sql_strip(sql_narrow("title_aozora"))}) AS title, min(try_cast(year_first AS INTEGER)) AS year FROM corpus_metadata_v2 WHERE id IS NOT NULL GROUP BY 1),
+att AS (SELECT work_stem, min(period) AS period, min(genre_main) AS genre_main, min(author_sex) AS author_sex, min(register_level) AS register_level, min(tokens) AS tokens, min(author) AS author, min(title) AS title, min(year) AS year FROM ids WHERE work_stem IS NOT NULL GROUP BY work_stem)"""
 #: Content tokens, punctuation, unknown words as conditions.
 CONTENT = "(pos1 IN ('名詞','動詞','形容詞','副詞','形状詞') AND coalesce(pos2,'') <> '数詞')"
 PUNCT = "(coalesce(pos1,'') IN ('補助記号','空白','記号'))"

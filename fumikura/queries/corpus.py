@@ -219,6 +219,8 @@ SQL = {
     "chunk_index": with_(TOK, _CH) + "SELECT work_stem, chunk_no, chunk_tokens, first_term, last_term FROM ch",
     "chunk_spread": with_(TOK, _CH) + "SELECT work_stem, chunk_no FROM ch JOIN nc USING (work_stem) WHERE nn <= 3 OR chunk_no IN (0, nn // 3, 2 * nn // 3)",
     "chunk_head": with_(TOK, _CH) + "SELECT work_stem, chunk_no FROM ch WHERE chunk_no < 3",
+    "chunk_hash_sample": with_(TOK, _CH) + "SELECT work_stem, chunk_no FROM (SELECT *, row_number() OVER (PARTITION BY work_stem ORDER BY md5('42|' || work_stem || '|' || chunk_no), chunk_no) AS r FROM ch) WHERE r <= 3",
+    "chunk_stratified_sample": with_(TOK, _CH) + ", sr AS (SELECT ch.work_stem, chunk_no, nn, CASE WHEN nn <= 3 THEN chunk_no WHEN chunk_no < nn // 3 THEN 0 WHEN chunk_no < 2 * nn // 3 THEN 1 ELSE 2 END AS stratum FROM ch JOIN nc USING (work_stem)) SELECT work_stem, chunk_no FROM (SELECT *, row_number() OVER (PARTITION BY work_stem, stratum ORDER BY md5('42|' || work_stem || '|' || chunk_no), chunk_no) AS r FROM sr) WHERE r = 1",
     "auto_stoplist": with_(TOK, _CH) + ", e AS (SELECT unnest(terms) AS term FROM ch), g AS (SELECT term, count(*) AS df FROM e GROUP BY ALL) SELECT term, df, round(df / (SELECT count(*) FROM ch), 6) AS ratio FROM g WHERE df < 3 OR df / (SELECT count(*) FROM ch) > 0.5e0",
     "lexicon": with_(TOK, ATT, _C, _DP("cw", "", 1), _LEX) + "SELECT * FROM lex WHERE count >= 5",
     "vocabulary_nva": with_(TOK, ATT, _C, _DP("cw", "", 1), _LEX) + "SELECT term, pos, count, docs FROM lex WHERE count >= 10 AND top_work_share <= 0.6e0 AND top_author_share <= 0.8e0 AND dp <= 0.9e0 AND NOT regexp_matches(pos, '^名詞-数詞(-|$)') AND regexp_matches(pos, '^(名詞-普通名詞|動詞|形容詞)(-|$)')",

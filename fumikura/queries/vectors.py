@@ -107,6 +107,7 @@ SQL = {
     "embed_nn": with_(_V, _NNQ) + "SELECT q, key, round(sim, 6) AS sim, rank FROM nq WHERE rank <= 5",
     "embed_within_between": with_(_V) + _GAP("label") + " UNION ALL " + _GAP("author"),
     "embed_nn_accuracy": with_(_V, _NNQ) + "SELECT count(*) AS units, round(count(*) FILTER (WHERE a.label IS NOT DISTINCT FROM b.label) / count(*), 6) AS rate FROM nq JOIN v0 a ON a.vec_id = q JOIN v0 b ON b.vec_id = key WHERE rank = 1",
+    "perm_control": with_(_V, "rk AS (SELECT vec_id, u, label, row_number() OVER (ORDER BY md5('0|' || vec_id), vec_id) AS ra, row_number() OVER (ORDER BY md5('42|' || vec_id), vec_id) AS rb FROM v1 WHERE label IS NOT NULL), pm AS (SELECT a.vec_id, a.u, b.label FROM rk a JOIN rk b ON a.ra = b.rb)") + "SELECT *, 'real' AS labels FROM (" + _GAP("label") + ") UNION ALL SELECT *, 'permuted' FROM (" + _GAP("label", "pm") + ")",
     "embed_centroids": with_(_V) + ", e AS (SELECT label, unnest(vec) AS x, generate_subscripts(vec, 1) - 1 AS d FROM v0) SELECT label, CAST(d AS INTEGER) AS d, round(avg(x), 6) AS x FROM e GROUP BY ALL",
     "embed_centering": with_(_V, _CEN) + ", a AS (" + _GAP("label") + "), b AS (" + _GAP("label", "v2") + ") SELECT a.attribute, a.gap AS gap_before, b.gap AS gap_after, round(b.gap / nullif(a.gap, 0), 4) AS retention FROM a JOIN b USING (attribute)",
 }

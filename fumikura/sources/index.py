@@ -26,6 +26,7 @@ from fumikura.sources.stage import keep, shared_dir
 #: How many following tokens are beside each token, and how many preceding ones.
 AHEAD, BEHIND, BLOCK = 3, 2, 8192
 COLUMNS = ("surface", "lemma_key", "lemma", "orthbase", "lform", "pos1", "pos2", "pos3", "goshu")
+NO_WORKS = "work_stem string, period string, genre_main string, author_sex string, register_level string, tokens long, author string, title string, year int"
 BESIDE = ("surface", "lemma_key", "pos1")
 
 
@@ -76,14 +77,14 @@ def with_neighbours(tok: DataFrame, block: int = BLOCK) -> DataFrame:
 def build(tsv: DataFrame, works: DataFrame, path: str, source: dict | None = None) -> Index:
     """Write the index; ``works`` has one row a work_stem.  An empty table gives an empty index."""
     spark = tsv.sparkSession
-    t = with_neighbours(tk.tokens(tsv, *COLUMNS, sentences=True))
+    t = with_neighbours(tk.tokens(tsv, *(c for c in COLUMNS if c in tsv.columns), sentences=True))
     w = t.write.mode("overwrite")
     for c in ("lemma_key", "surface"):
         w = w.option(f"parquet.bloom.filter.enabled#{c}", "true")
     w.parquet(f"{path}/tokens")
     index = Index(spark, path)
     t = index.tokens
-    forms = t.groupBy("lemma_key", "surface", "pos1", "pos2").agg(F.count("*").alias("n"))
+    forms = t.groupBy(*(c for c in ("lemma_key", "surface", "pos1", "pos2") if c in t.columns)).agg(F.count("*").alias("n"))
     forms.write.mode("overwrite").parquet(f"{path}/forms")
     t.groupBy("work_stem").agg(F.count("*").alias("tokens")).write.mode("overwrite").parquet(f"{path}/sizes")
     works.write.mode("overwrite").parquet(f"{path}/works")
@@ -115,7 +116,9 @@ def of_tables(spark: SparkSession, sf_dir: str) -> Index:
             _OPEN[key] = open_index(spark, path)
         except FileNotFoundError:
             keep(spark, path, f"{path}.provenance.json")
-            _OPEN[key] = build(table(spark, sf_dir, "tsv"), attributes(table(spark, sf_dir, "corpus_metadata_v2")), path, {"source": sf_dir, "signature": sig})
+            known = _exists(spark, f"{sf_dir}/corpus_metadata_v2.parquet")
+            works = attributes(table(spark, sf_dir, "corpus_metadata_v2")) if known else spark.createDataFrame([], NO_WORKS)
+            _OPEN[key] = build(table(spark, sf_dir, "tsv"), works, path, {"source": sf_dir, "signature": sig})
     return _OPEN[key]
 
 
@@ -131,7 +134,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def _signature(spark: SparkSession, *paths: str) -> str:
     out = []
-    for x in paths:
+    for x in filter(lambda x: _exists(spark, x), paths):
         p, fs = _path(spark, x)
         for f in [fs.getFileStatus(p), *fs.listStatus(p)]:
             out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
