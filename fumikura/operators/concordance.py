@@ -245,24 +245,23 @@ def collocates(tok: DataFrame, hits: DataFrame, span: int = 1, width: int = 4, m
 
     The window's tokens W are counted before the choice by part of speech, co-occurrences after it; N is all tokens
     but punctuation, a form's frequency is that of the chosen parts of speech.  One pass joins the places around the
-    hits with the tokens and counts hits, W and co-occurrences; ``forms`` (the index has it) gives frequencies and N.
+    hits with the tokens for W and the co-occurrences; ``forms`` (the index has it) gives frequencies and N.
     """
-    from fumikura.sources.stage import stage
-
     forms = vocabulary(tok, column) if forms is None else forms
     choice = pos_choice(forms, pos)
     choice = F.lit(True) if choice is None else choice
     words = forms.where(~F.coalesce("pos1", F.lit("")).isin(*PUNCT))
-    offs = [k for k in range(-width, span + width) if not 0 < k < span]
-    h = hits.select("work_stem", "vol_no", "sent", F.explode(F.array(*(F.struct((F.col("i") + k).alias("i"), F.lit(k == 0).alias("node")) for k in offs))).alias("x")).select("work_stem", "vol_no", "sent", "x.i", "x.node")
-    win = few(h).join(tok.select(*KEYS, F.col(column).alias("form"), "pos1", "pos2"), KEYS).where(F.col("node") | ~F.coalesce("pos1", F.lit("")).isin(*PUNCT))
-    per = stage(win.groupBy("form", "pos1", "pos2", "node").agg(F.count("*").alias("n")), "window")
+    node = hits.count()
+    offs = [k for k in range(-width, span + width) if not 0 <= k < span]
+    h = hits.select("work_stem", "vol_no", "sent", F.explode(F.array(*(F.col("i") + k for k in offs))).alias("i"))
+    h = F.broadcast(h) if node * len(offs) <= SMALL else h  # as many rows as counted
+    win = h.join(tok.where(~F.coalesce("pos1", F.lit("")).isin(*PUNCT)).select(*KEYS, F.col(column).alias("form"), "pos1", "pos2"), KEYS)
+    # the choice is made after this count, so W and the co-occurrences share its exchange
+    per = win.groupBy("form", "pos1", "pos2").agg(F.count("*").alias("n"))
+    co = per.groupBy("form").agg(F.sum(F.when(choice, F.col("n"))).alias("co")).where(F.col("co") >= max(1, min_co))
     f = words.where(choice).groupBy(F.col(column).alias("form")).agg(F.sum("n").alias("freq")).where(F.col("freq") >= min_freq)
-    co = per.where(~F.col("node") & choice).groupBy("form").agg(F.sum("n").alias("co")).where(F.col("co") >= max(1, min_co))
-    around, at = per.agg(F.sum(F.when(~F.col("node"), F.col("n"))), F.sum(F.when(F.col("node"), F.col("n")))).first()
-    total = words.agg(F.sum("n")).first()[0]
-    W, N, nd = (F.lit(float(x or 0)) for x in (around, total, at))
-    j = co.join(f, "form")
+    j = co.join(f, "form").crossJoin(F.broadcast(per.agg(F.sum("n").alias("around")))).crossJoin(F.broadcast(words.agg(F.sum("n").alias("total"))))  # one row each
+    W, N, nd = F.col("around").cast("double"), F.col("total").cast("double"), F.lit(float(node))
     o11, fc = (F.col(c).cast("double") for c in ("co", "freq"))
     o12 = W - o11
     e = W * fc / N
@@ -287,13 +286,10 @@ def focus(tok: DataFrame, hits: DataFrame, form: str, span: int = 1, width: int
 def variants(tok: DataFrame, hits: DataFrame, group: DataFrame | None = None, span: int = 1, top: int = 12) -> DataFrame:
     """Spellings (orthBase sequences) of the hits by group: the ``top`` most frequent, all others as one.  Hits that
     carry ``orthbase`` need no join for their first token."""
-    from fumikura.sources.stage import stage
-
     out = hits.select(*KEYS, F.col("orthbase").alias("o0")) if "orthbase" in hits.columns else hits.select(*KEYS)
     for k in range("orthbase" in hits.columns, span):
         out = out.join(tok.select("work_stem", "vol_no", "sent", (F.col("i") - k).alias("i"), F.col("orthbase").alias(f"o{k}")), KEYS)
     out = out.withColumn("spelling", F.concat_ws(" ", *(f"o{k}" for k in range(span)))).groupBy("work_stem", "spelling").agg(F.count("*").alias("n"))
-    out = stage(out, "spellings")
     best = out.groupBy("spelling").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "spelling").limit(top).select("spelling", F.lit(True).alias("best"))
     out = out.join(F.broadcast(best), "spelling", "left").withColumn("spelling", F.when(F.col("best"), F.col("spelling")).otherwise("(other)"))  # ``top`` rows
     if group is None:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from fumikura.operators import concordance as kw
@@ -11,7 +9,6 @@ from fumikura.operators import requests
 from fumikura.queries.base import ATT, PUNCT, ST, attributes, with_
 from fumikura.sources.corpus import table
 from fumikura.sources.index import of_tables
-from fumikura.sources.stage import keep
 
 NODE = "見る"
 
@@ -25,15 +22,10 @@ def _hits(query, **options):
 
 
 def kwic_index(s, d):
-    """The index built anew, and its size: what opening it saves every other query."""
-    from fumikura.sources import index
-    from fumikura.sources.corpus import attributes as works_of
-    from fumikura.sources.stage import shared_dir
-
-    path = f"{shared_dir(s)}/index-rebuilt-{uuid.uuid4().hex}"
-    keep(s, path, f"{path}.provenance.json")
-    x = index.build(table(s, d, "tsv"), works_of(table(s, d, "corpus_metadata_v2")), path)
-    return x.tokens.agg(F.count("*").alias("tokens"), F.count_distinct("work_stem", "vol_no").alias("volumes"), F.count_distinct("work_stem", "vol_no", "sent").alias("sentences"), F.count("lemma_key_1").alias("followed"), F.count("surface_m2").alias("preceded"))
+    """What the index holds; the first query of a session builds it."""
+    t = of_tables(s, d).tokens
+    v = t.groupBy("work_stem", "vol_no").agg(F.count("*").alias("n"), F.count("lemma_key_1").alias("followed"), F.count("surface_m2").alias("preceded"), F.count_distinct("sent").alias("k"))
+    return v.agg(F.sum("n").alias("tokens"), F.count("*").alias("volumes"), F.sum("k").alias("sentences"), F.sum("followed").alias("followed"), F.sum("preceded").alias("preceded"))
 
 
 def kwic_totals(s, d):
