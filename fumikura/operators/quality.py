@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fumikura.functions import text as tx
+from fumikura.functions.keys import draw_order
 
 
 def finding(level: Column | str, check: str, target: Column, detail: Column) -> list[Column]:
@@ -62,10 +63,10 @@ def upper_median(df: DataFrame, group: str, value: str) -> DataFrame:
     return h.where(F.col("cum") > F.floor(F.col("n") / 2)).groupBy(group).agg(F.min(value).alias("median"), F.first("n").alias("n"))
 
 
-def rate_outliers(report: DataFrame, group: str, value: str, target: str) -> DataFrame:
-    """Rates above both 2.5 times and 2 points over the median of their group."""
+def rate_outliers(report: DataFrame, group: str, value: str, target: str, times: float = 2.5, over: float = 0.02) -> DataFrame:
+    """Rates above both ``times`` the median of their group and ``over`` more than it."""
     m = upper_median(report, group, value)
-    j = report.join(F.broadcast(m), report[group].eqNullSafe(m[group])).where(F.col(value) > F.greatest(F.col("median") * 2.5, F.col("median") + 0.02))
+    j = report.join(F.broadcast(m), report[group].eqNullSafe(m[group])).where(F.col(value) > F.greatest(F.col("median") * times, F.col("median") + over))
     return j.select(*finding("WARN", f"{value}_outlier", F.col(target), F.round(value, 6)))
 
 
@@ -121,11 +122,21 @@ def skew_change(before: DataFrame, after: DataFrame, columns: list[str]) -> Data
     return j.withColumn("change", F.round(F.col("share_after") - F.col("share_before"), 6))
 
 
+def boundaries(d: DataFrame, unit: str) -> DataFrame:
+    """(unit, at, ord, surface): where each token ends, in characters of its unit.  A unit is a sentence or a block,
+    bounded by whoever names it."""
+    w = Window.partitionBy(unit).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    return d.select(unit, F.sum(F.length("surface")).over(w).alias("at"), "ord", "surface")
+
+
+def disagreements(a: DataFrame, b: DataFrame, unit: str, n: int = 20, seed: int = 42) -> DataFrame:
+    """A sample by hash of the places where only one of two segmentations has a boundary."""
+    j = boundaries(a, unit).select(unit, "at", F.col("surface").alias("seg_a")).join(boundaries(b, unit).select(unit, "at", F.col("surface").alias("seg_b")), [unit, "at"], "full")
+    d = j.where(F.col("seg_a").isNull() | F.col("seg_b").isNull())
+    return d.orderBy(draw_order(seed, unit, "at"), unit, "at").limit(n)  # the sample asked for
+
+
 def boundary_agreement(a: DataFrame, b: DataFrame, unit: str) -> DataFrame:
     """Jaccard agreement of two segmentations given as (unit, ord, surface) rows: token ends as character offsets."""
-    def ends(d: DataFrame) -> DataFrame:
-        w = Window.partitionBy(unit).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-        return d.select(unit, F.sum(F.length("surface")).over(w).alias("at"))
-
-    j = ends(a).withColumn("ina", F.lit(1)).join(ends(b).withColumn("inb", F.lit(1)), [unit, "at"], "full")
+    j = boundaries(a, unit).select(unit, "at").withColumn("ina", F.lit(1)).join(boundaries(b, unit).select(unit, "at").withColumn("inb", F.lit(1)), [unit, "at"], "full")
     return j.groupBy(unit).agg(F.count_if(F.col("ina").isNotNull() & F.col("inb").isNotNull()).alias("common"), F.count("*").alias("either"), F.round(F.count_if(F.col("ina").isNotNull() & F.col("inb").isNotNull()) / F.count("*"), 6).alias("jaccard"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fumikura.functions.keys import draw_order
+from fumikura.functions.text import WHITE
+from fumikura.plans.blocks import halo_blocks
 
 BLOCK = 8192
 PUNCT = ("補助記号", "空白", "記号")
@@ -177,19 +179,58 @@ def cap_chunks(index: DataFrame, most: int, how: str = "spread", seed: int = 42)
     raise ValueError(f"no way to cap chunks: {how}")
 
 
-def marker_hits(terms: Column, markers: list[str], longest: int = 4) -> Column:
-    """How often a marker begins at a token: the shortest concatenation of up to ``longest`` tokens that is one."""
-    m = F.array(*map(F.lit, markers))
-    at = lambda i: F.exists(F.sequence(F.lit(1), F.lit(longest)), lambda k: F.array_contains(m, F.array_join(F.slice(terms, i, k), "")))
-    return F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size(terms), F.lit(1))), at))
+def marker_counts(tok: DataFrame, markers: dict[str, tuple[str, ...]], longest: int = 4, block: int = 8192) -> DataFrame:
+    """work_stem, tokens and, for each list of markers, how often one begins at a token: a concatenation of up to
+    ``longest`` tokens of the volume is one (a token counts once, whatever its concatenations are).
+
+    Blocks of positions overlap by what is looked ahead, so no task holds more than a block of a volume."""
+    e = tok.select("work_stem", "vol_no", "i", F.coalesce("surface", F.lit("")).alias("s"), F.explode(halo_blocks(F.col("i") - 1, block, longest)).alias("blk"))
+    w = Window.partitionBy("work_stem", "vol_no", "blk").orderBy("i")
+    ahead = [F.col("s"), *(F.lead("s", k).over(w) for k in range(1, longest))]
+    e = e.select("work_stem", "i", "blk", *(F.concat(*ahead[: k + 1]).alias(f"c{k}") for k in range(longest))).where(F.col("blk") == F.floor((F.col("i") - 1) / block))
+    begins = lambda words: F.greatest(*(F.coalesce(F.col(f"c{k}").isin(*words), F.lit(False)) for k in range(longest)))
+    return e.groupBy("work_stem").agg(F.count("*").alias("tokens"), *(F.count_if(begins(words)).alias(n) for n, words in markers.items()))
 
 
 def char_ratios(text: Column) -> dict[str, Column]:
     """Shares of character classes over the characters that are no white space, and counts of marks."""
-    body = F.regexp_replace(text, "[\\s\\u3000]", "")
-    n = F.nullif(F.length(body), F.lit(0))
-    count = lambda p: F.length(F.regexp_replace(body, p, ""))
-    return {
-        "chars": F.length(body), "kanji_ratio": F.round(count("[^\\u4e00-\\u9fff]") / n, 6), "katakana_ratio": F.round(count("[^\\u30a1-\\u30fa]") / n, 6),
-        "latin_chars": count("[^A-Za-z]"), "digits": count("[^0-9]"), "kana_repeat": count("[^ゝゞヽヾ]"), "kanji_repeat": count("[^々]"),
-    }
+    count = lambda x, p: F.length(F.regexp_replace(x, p, ""))
+    body = F.regexp_replace(text, WHITE, "")
+    n = F.greatest(F.length(body), F.lit(1))
+    ratios = {"kanji_ratio": "[^一-鿿㐀-䶿]", "katakana_ratio": "[^゠-ヿ]"}
+    counts = {"latin_chars": "[^A-Za-zＡ-Ｚａ-ｚ]", "digits": "[^0-9０-９]", "kana_repeat": "[^ゝゞヽヾ]", "kanji_repeat": "[^々]", "gaiji_lost": "[^※]", "ditto_mark": "[^〃]"}
+    return {"chars": F.length(body)} | {k: F.round(count(body, p) / n, 4) for k, p in ratios.items()} | {k: count(text, p) for k, p in counts.items()}
+
+
+def katakana_runs(tok: DataFrame, block: int = 8192) -> DataFrame:
+    """work_stem, vol_no, sent, first, parts, run: two or more known katakana tokens in a row in a sentence: a compound,
+    or a word that was cut by force.
+
+    Runs are found inside blocks of positions; only the ones that touch a block's border, two a block at most, are put
+    together over the volume."""
+    t = tok.where(F.col("surface").rlike("^[\\u30a1-\\u30faー]+$") & ~is_unknown() & ~is_punct())
+    t = t.select("work_stem", "vol_no", "sent", "i", "surface", F.floor((F.col("i") - 1) / block).alias("blk"))
+    vol = ["work_stem", "vol_no", "sent"]
+    t = t.withColumn("island", F.col("i") - F.row_number().over(Window.partitionBy(*vol, "blk").orderBy("i")))
+    text = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", c))), lambda x: x[c]), "|").alias("run")
+    r = t.withColumn("first", F.col("i")).groupBy(*vol, "blk", "island").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.count("*").alias("parts"), text("surface")).drop("island")
+    edge = (F.col("first") == F.col("blk") * block + 1) | (F.col("last") == (F.col("blk") + 1) * block)
+    w = Window.partitionBy(*vol).orderBy("first")
+    e = r.where(edge).withColumn("new", F.when(F.lag("last").over(w) == F.col("first") - 1, 0).otherwise(1))
+    e = e.withColumn("chain", F.sum("new").over(w)).groupBy(*vol, "chain").agg(text("run"), F.min("first").alias("first"), F.sum("parts").alias("parts"))
+    cols = [*vol, "first", "parts", "run"]
+    return r.where(~edge).select(*cols).unionByName(e.select(*cols)).where("parts > 1")
+
+
+def segmentation_stats(tok: DataFrame, by: str = "work_stem") -> DataFrame:
+    """tokens, unknown ones and their rate, mean length, share of tokens of one letter, of nouns, verbs and
+    auxiliaries, punctuation left out."""
+    t = tok.where(~is_punct())
+    n = F.count("*")
+    share = lambda c: F.round(F.count_if(c) / n, 5)
+    pos = lambda p: share(F.coalesce(F.col("pos1") == p, F.lit(False)))
+    unknown = nonempty("lemma").isNull()
+    return t.groupBy(by).agg(
+        n.alias("tokens"), F.count_if(unknown).alias("unknown"), share(unknown).alias("unknown_rate"), F.round(F.avg(F.length("surface")), 5).alias("mean_len"), share(F.length("surface") == 1).alias("len1_rate"),
+        pos("名詞").alias("noun_rate"), pos("動詞").alias("verb_rate"), pos("助動詞").alias("aux_rate"),
+    )

@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fumikura.functions import text
 from fumikura.operators import stats
 from fumikura.operators import tokens as tk
 from fumikura.queries.base import ATT, CONTENT, PUNCT, ST, TOK, UNKNOWN, attributes, tok, with_
 from fumikura.sources.corpus import table
 
-MARKERS = ["なり", "けり", "たり", "べし", "だろうか", "のだ"]
+#: Markers of literary and of colloquial style, pronouns of the first and the third person.
+MARKERS = {
+    "bungo": ("なり", "けり", "ごとし", "べし", "ざる", "ざり", "たり", "候", "けむ", "らむ", "しむ", "ども", "なれ", "べから", "ごとき", "ざれ", "たる", "ぬる"),
+    "kogo": ("です", "ます", "である", "だっ", "ました", "でしょ", "ません", "ている", "ていた", "じゃ", "だ", "ない", "なかっ", "だろ"),
+    "first": ("私", "僕", "俺", "おれ", "わたし", "わたくし", "あたし", "自分", "わし"),
+    "third": ("彼", "彼女", "かれ"),
+}
 
 
 def token_profile(s, d):
@@ -143,10 +150,11 @@ def vocabulary_nva(s, d):
 
 
 def marker_density(s, d):
-    t = tok(s, d, "surface", sentences=True)
-    g = t.groupBy("work_stem", "vol_no", "sent").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "surface"))), lambda x: x["surface"]).alias("terms"))
-    g = g.withColumn("hits", tk.marker_hits(F.col("terms"), MARKERS))
-    return g.groupBy("work_stem").agg(F.sum("n").alias("tokens"), F.sum("hits").alias("hits"), F.round(F.sum("hits") / F.sum("n") * 1e4, 4).alias("per_10k"))
+    """Densities of literary and colloquial markers and of pronouns, and the style they give."""
+    c = tk.marker_counts(tok(s, d, "surface"), MARKERS)
+    per = lambda n: F.round(F.col(n) / F.col("tokens") * 1e4, 1)
+    c = c.select("work_stem", "tokens", *(per(n).alias(n) for n in MARKERS))
+    return c.withColumn("style", text.style_class(F.col("bungo"), F.col("kogo")))
 
 
 def period_sizes(s, d):
@@ -201,6 +209,13 @@ _BP = with_(TOK, ATT, _C, _CP)
 _PP = "(SELECT * FROM cp WHERE period IS NOT NULL)"
 _DPIN = _DP(_PP, "period,", 1)
 
+# written out once more, so that a wrong list above differs from the SQL
+_MARKERS = {
+    "bungo": "なり けり ごとし べし ざる ざり たり 候 けむ らむ しむ ども なれ べから ごとき ざれ たる ぬる".split(),
+    "kogo": "です ます である だっ ました でしょ ません ている ていた じゃ だ ない なかっ だろ".split(),
+    "first": "私 僕 俺 おれ わたし わたくし あたし 自分 わし".split(),
+    "third": "彼 彼女 かれ".split(),
+}
 SQL = {
     "token_profile": with_(TOK, _REP) + "SELECT * FROM rep",
     "unknown_words": with_(TOK) + f", u AS (SELECT surface, count(*) AS freq FROM tok WHERE {UNKNOWN} GROUP BY ALL), r AS (SELECT *, row_number() OVER (ORDER BY freq DESC, surface) AS rank, round(sum(freq) OVER (ORDER BY freq DESC, surface) / sum(freq) OVER (), 6) AS cum_share FROM u) SELECT surface, freq, rank, cum_share FROM r WHERE rank <= 3000",
@@ -229,5 +244,5 @@ SQL = {
     "median_ttr_trend": with_(TOK, ATT, _C, _PRO) + ", m AS (SELECT genre_main, period, round(median(ttr), 6) AS ttr FROM pro JOIN att USING (work_stem) WHERE period IS NOT NULL AND genre_main IS NOT NULL GROUP BY ALL), s AS (SELECT *, ttr - lag(ttr) OVER (PARTITION BY genre_main ORDER BY period) AS step FROM m) SELECT genre_main, count(*) AS n, coalesce(bool_and(step >= 0), true) AS rises, coalesce(bool_and(step <= 0), true) AS falls FROM s GROUP BY genre_main",
     "stated_rates": "WITH r AS (SELECT file, tokens, unknown_tokens, min(unknown_rate) AS unknown_rate FROM tokenise_report GROUP BY ALL) SELECT count(*) AS rows, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(unknown_tokens) / sum(tokens), 6) AS rate, count(*) FILTER (WHERE unknown_rate IS NULL) AS null_rates FROM r",
     "lemma_policies": with_(TOK) + ", b AS (SELECT surface, coalesce(nullif(nullif(orthbase, ''), '*'), surface) AS o, coalesce(regexp_replace(nullif(nullif(lemma, ''), '*'), '-[\\p{Han}\\p{Hiragana}\\p{Katakana}ー]+$', ''), nullif(nullif(orthbase, ''), '*'), surface) AS l, pos2 FROM tok), e AS (SELECT unnest([('surface', surface), ('orthBase', o), ('lemma', l), ('mixed', CASE WHEN pos2 = '固有名詞' THEN o ELSE l END)]) AS x FROM b) SELECT x[1] AS policy, count(DISTINCT x[2]) AS forms, count(*) AS tokens FROM e GROUP BY 1",
-    "marker_density": with_(ST) + f", m AS (SELECT work_stem, surface AS a, lead(surface) OVER w AS b, lead(surface, 2) OVER w AS c, lead(surface, 3) OVER w AS e FROM st WINDOW w AS (PARTITION BY work_stem, vol_no, sent ORDER BY i)) SELECT work_stem, count(*) AS tokens, count(*) FILTER (WHERE a IN {tuple(MARKERS)} OR a || b IN {tuple(MARKERS)} OR a || b || c IN {tuple(MARKERS)} OR a || b || c || e IN {tuple(MARKERS)}) AS hits, round(count(*) FILTER (WHERE a IN {tuple(MARKERS)} OR a || b IN {tuple(MARKERS)} OR a || b || c IN {tuple(MARKERS)} OR a || b || c || e IN {tuple(MARKERS)}) / count(*) * 1e4, 4) AS per_10k FROM m GROUP BY work_stem",
+    "marker_density": with_(TOK) + ", m AS (SELECT work_stem, [coalesce(surface, ''), coalesce(surface, '') || lead(coalesce(surface, '')) OVER w, coalesce(surface, '') || lead(coalesce(surface, '')) OVER w || lead(coalesce(surface, ''), 2) OVER w, coalesce(surface, '') || lead(coalesce(surface, '')) OVER w || lead(coalesce(surface, ''), 2) OVER w || lead(coalesce(surface, ''), 3) OVER w] AS c FROM tok WINDOW w AS (PARTITION BY work_stem, vol_no ORDER BY i)), g AS (SELECT work_stem, count(*) AS tokens, " + ", ".join(f"round(count(*) FILTER (WHERE list_has_any(c, {list(words)})) / count(*) * 1e4, 1) AS {n}" for n, words in _MARKERS.items()) + " FROM m GROUP BY work_stem) SELECT *, CASE WHEN bungo >= 80 AND round(coalesce(bungo / nullif(bungo + kogo, 0), 0), 3) >= 0.2e0 THEN 'A' WHEN round(coalesce(bungo / nullif(bungo + kogo, 0), 0), 3) <= 0.1e0 THEN 'C' ELSE 'B' END AS style FROM g",
 }

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fumikura.functions import keys
 from fumikura.functions import text as tx
 from fumikura.operators import quality as q
 from fumikura.operators import tokens as tk
-from fumikura.queries.base import ATT, TOK, attributes, sql_category, tok, with_
+from fumikura.queries.base import ATT, PUNCT, ST, TOK, UNKNOWN, attributes, sql_category, tok, with_
 from fumikura.sources.corpus import table
 
 SKEW = ["period", "genre_main", "author_sex", "register_level"]
@@ -32,7 +33,7 @@ def meta_required(s, d):
 
 def unknown_outliers(s, d):
     r = tk.report(tok(s, d)).select(F.concat_ws("#", "work_stem", "vol_no").alias("target"), "work_stem", "unknown_rate")
-    return q.rate_outliers(r.join(attributes(s, d).select("work_stem", "genre_main"), "work_stem", "left"), "genre_main", "unknown_rate", "target")
+    return q.rate_outliers(r.join(attributes(s, d).select("work_stem", "genre_main"), "work_stem", "left"), "genre_main", "unknown_rate", "target", 1.5, 0.002)
 
 
 def extraction_loss(s, d):
@@ -84,18 +85,27 @@ def report_agreement(s, d):
     return j.agg(F.count("*").alias("volumes"), F.count_if(F.col("stated").isNull()).alias("not_stated"), F.count_if(F.col("counted").isNull()).alias("not_counted"), F.count_if(F.col("stated") == F.col("counted")).alias("equal"))
 
 
-def segmentation_agreement(s, d):
-    """Token boundaries against those of a segmentation that joins every particle to the word before."""
-    t = tok(s, d, "surface", "pos1", sentences=True)
-    a = t.select(F.concat_ws("#", "work_stem", "vol_no", "sent").alias("unit"), F.col("i").alias("ord"), "surface", "pos1")
-    from pyspark.sql.window import Window
-
+def _segmentations(s, d):
+    """Tokens by sentence, and a segmentation that joins every particle to the word before."""
+    a = tok(s, d, "surface", "pos1", sentences=True).select(F.concat_ws("#", "work_stem", "vol_no", "sent").alias("unit"), F.col("i").alias("ord"), "surface", "pos1")
     w = Window.partitionBy("unit").orderBy("ord")
     b = a.withColumn("g", F.sum(F.when(F.col("pos1") == "助詞", 0).otherwise(1)).over(w)).groupBy("unit", "g").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "surface"))), lambda x: x["surface"]), "").alias("surface"), F.min("ord").alias("ord"))
-    j = q.boundary_agreement(a, b, "unit")
+    return a, b
+
+
+def segmentation_agreement(s, d):
+    j = q.boundary_agreement(*_segmentations(s, d), "unit")
     return j.agg(F.count("*").alias("units"), F.sum("common").alias("common"), F.sum("either").alias("either"), F.round(F.percentile("jaccard", 0.5), 6).alias("median"))
 
 
+def segmentation_samples(s, d):
+    return q.disagreements(*_segmentations(s, d), "unit")
+
+
+def segmentation_stats(s, d):
+    return tk.segmentation_stats(tok(s, d, "surface", "lemma", "pos1"))
+
+
 def category_crosstab(s, d):
     a = attributes(s, d).where("genre_main is not null and author_sex is not null")
     g = a.groupBy("genre_main", "author_sex").agg(F.count("*").alias("works"), F.sum("tokens").alias("tokens"))
@@ -103,7 +113,7 @@ def category_crosstab(s, d):
     return g.crossJoin(F.broadcast(t)).select("genre_main", "author_sex", "works", "tokens", F.round(F.col("works") / F.col("w"), 6).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (quality_findings, quality_gate, meta_required, unknown_outliers, extraction_loss, length_skew, balance_audit, share_skew, skew_before_after, tbd_cells, empty_period_chunks, report_agreement, segmentation_agreement, category_crosstab)}
+QUERIES = {f.__name__: f for f in (quality_findings, quality_gate, meta_required, unknown_outliers, extraction_loss, length_skew, balance_audit, share_skew, skew_before_after, tbd_cells, empty_period_chunks, report_agreement, segmentation_agreement, segmentation_samples, segmentation_stats, category_crosstab)}
 
 _N = lambda x: f"(length(text) - length(replace(text, '{x}', '')))"
 _MANY = "length(regexp_replace(text, '[^ゝゞヽヾ〳〴〵]', '', 'g'))"
@@ -118,7 +128,14 @@ _FIND = " UNION ALL ".join([
 _REQ = "rq AS (SELECT id, unnest([('author_ja', author_ja), ('title_aozora', title_aozora), ('period', period), ('genre_main', genre_main), ('year_first', year_first)]) AS x FROM corpus_metadata_v2 WHERE id IS NOT NULL)"
 _SIZES = "sz AS (SELECT work_stem AS work, author, period AS band, author_sex AS sex, n AS tokens FROM (SELECT work_stem, count(*) AS n FROM tok GROUP BY ALL) LEFT JOIN att USING (work_stem))"
 _SKEW = lambda name, where: f"{name}v AS (SELECT x[1] AS attribute, x[2] AS value, count(*) AS n FROM (SELECT unnest([('period', period), ('genre_main', genre_main), ('author_sex', author_sex), ('register_level', register_level)]) AS x FROM att {where}) GROUP BY ALL), {name} AS (SELECT attribute, count(*) FILTER (WHERE value IS NOT NULL) AS categories, max_by(value, (n, value)) FILTER (WHERE value IS NOT NULL) AS top, round(max(n) FILTER (WHERE value IS NOT NULL) / sum(n) FILTER (WHERE value IS NOT NULL), 6) AS top_share, CAST(coalesce(sum(n) FILTER (WHERE value IS NULL), 0) AS BIGINT) AS missing FROM {name}v GROUP BY attribute)"
+_SEG = "a0 AS (SELECT concat_ws('#', work_stem, vol_no, sent) AS unit, i AS ord, surface, pos1 FROM st), ea AS (SELECT unit, surface, sum(length(surface)) OVER (PARTITION BY unit ORDER BY ord) AS \"at\" FROM a0), b0 AS (SELECT *, sum(CASE WHEN pos1 = '助詞' THEN 0 ELSE 1 END) OVER (PARTITION BY unit ORDER BY ord) AS g FROM a0), b1 AS (SELECT unit, g, string_agg(surface, '' ORDER BY ord) AS surface FROM b0 GROUP BY ALL), eb AS (SELECT unit, surface, sum(length(surface)) OVER (PARTITION BY unit ORDER BY g) AS \"at\" FROM b1), fj AS (SELECT unit, \"at\", ea.surface AS seg_a, eb.surface AS seg_b FROM ea FULL JOIN eb USING (unit, \"at\"))"
+_MED = lambda src, part: f"md AS (SELECT *, row_number() OVER ({part} ORDER BY v) AS rn, count(*) OVER ({part}) AS cn FROM {src} WHERE v IS NOT NULL)"
 SQL = {
+    "unknown_outliers": with_(TOK, ATT) + f", r AS (SELECT work_stem || '#' || vol_no AS target, work_stem, round(count(*) FILTER (WHERE {UNKNOWN}) / nullif(count(*) FILTER (WHERE NOT {PUNCT}), 0), 6) AS v FROM tok GROUP BY work_stem, vol_no), g AS (SELECT target, v, coalesce(genre_main, '-') AS grp FROM r LEFT JOIN att USING (work_stem)), " + _MED("g", "PARTITION BY grp") + ", m AS (SELECT grp, v AS med FROM md WHERE rn = cn // 2 + 1) SELECT 'WARN' AS level, 'unknown_rate_outlier' AS \"check\", target, CAST(round(v, 6) AS VARCHAR) AS detail FROM g JOIN m USING (grp) WHERE v > greatest(med * 1.5e0, med + 0.002e0)",
+    "extraction_loss": "WITH g AS (SELECT doc_id, length(regexp_replace(regexp_replace(text, '《[^》]*》', '', 'g'), '［＃[^］]*］', '', 'g')) / length(text) AS v FROM documents WHERE text <> ''), " + _MED("g", "") + " SELECT 'FATAL' AS level, 'extraction_loss' AS \"check\", CAST(doc_id AS VARCHAR) AS target, CAST(round(v, 6) AS VARCHAR) AS detail FROM g WHERE v < 0.97e0 * (SELECT v FROM md WHERE rn = cn // 2 + 1)",
+    "segmentation_agreement": with_(ST, _SEG) + ", u AS (SELECT unit, count(*) FILTER (WHERE seg_a IS NOT NULL AND seg_b IS NOT NULL) AS common, count(*) AS either FROM fj GROUP BY unit) SELECT count(*) AS units, CAST(sum(common) AS BIGINT) AS common, CAST(sum(either) AS BIGINT) AS either, round(median(round(common / either, 6)), 6) AS median FROM u",
+    "segmentation_samples": with_(ST, _SEG) + "SELECT unit, CAST(\"at\" AS BIGINT) AS \"at\", seg_a, seg_b FROM fj WHERE seg_a IS NULL OR seg_b IS NULL ORDER BY md5('42|' || unit || '|' || CAST(\"at\" AS BIGINT)), unit, \"at\" LIMIT 20",
+    "segmentation_stats": with_(TOK) + ", t AS (SELECT * FROM tok WHERE NOT " + PUNCT + "), u AS (SELECT *, lemma IS NULL OR lemma IN ('', '*') AS unk FROM t) SELECT work_stem, count(*) AS tokens, count(*) FILTER (WHERE unk) AS unknown, round(count(*) FILTER (WHERE unk) / count(*), 5) AS unknown_rate, round(avg(length(surface)), 5) AS mean_len, round(count(*) FILTER (WHERE length(surface) = 1) / count(*), 5) AS len1_rate, round(count(*) FILTER (WHERE pos1 = '名詞') / count(*), 5) AS noun_rate, round(count(*) FILTER (WHERE pos1 = '動詞') / count(*), 5) AS verb_rate, round(count(*) FILTER (WHERE pos1 = '助動詞') / count(*), 5) AS aux_rate FROM u GROUP BY work_stem",
     "quality_findings": _FIND,
     "quality_gate": f"SELECT level, \"check\", count(*) AS n FROM ({_FIND}) GROUP BY ALL",
     "meta_required": f"WITH {_REQ} SELECT 'FATAL' AS level, 'required_empty' AS check, id AS target, x[1] AS detail FROM rq WHERE x[2] IS NULL OR trim(x[2], ' ') = '' UNION SELECT 'WARN', 'to_be_decided', id, x[1] FROM rq WHERE upper(trim(x[2], ' ')) = 'TBD' OR trim(x[2], ' ') = '不明' UNION SELECT CASE WHEN try_cast(year_first AS INTEGER) IS NULL THEN 'FATAL' ELSE 'WARN' END, 'year_range', id, year_first FROM corpus_metadata_v2 WHERE id IS NOT NULL AND trim(year_first, ' ') <> '' AND (try_cast(year_first AS INTEGER) IS NULL OR try_cast(year_first AS INTEGER) < 1850 OR try_cast(year_first AS INTEGER) > 1970) UNION SELECT 'WARN', 'repeated_id', id, CAST(count(*) AS VARCHAR) FROM corpus_metadata_v2 WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1",
