@@ -77,6 +77,12 @@ def low_ratio(df: DataFrame, target: str, value: str, least: float = 0.75) -> Da
     return d.join(F.broadcast(m), "one").where(F.col(value) < least * F.col("median")).select(*finding("FATAL", "extraction_loss", F.col(target), F.round(value, 6)))
 
 
+def duplication(pairs: DataFrame, warn: float = 0.15, fatal: float = 0.40) -> DataFrame:
+    """Pairs of texts (a, b, containment) of which the shorter one stands in the other to at least ``warn``."""
+    p = pairs.where(F.col("containment") >= warn)
+    return p.select(*finding(F.when(F.col("containment") >= fatal, "FATAL").otherwise("WARN"), "duplication", F.concat_ws(" / ", "a", "b"), F.col("containment")))
+
+
 def length_skew(sizes: DataFrame, key: str, n: str, limit: float = 10.0) -> DataFrame:
     a = sizes.agg(F.max(F.struct(n, key)).alias("hi"), F.min(F.struct(n, key)).alias("lo"))
     r = F.col(f"hi.{n}") / F.nullif(F.col(f"lo.{n}"), F.lit(0))

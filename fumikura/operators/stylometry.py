@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fumikura.operators import neardup
+
 
 def z_scores(rel: DataFrame, unit: str = "work_stem", zero: str = "tiny") -> DataFrame:
     """(unit, term, z) with the population deviation of each term over the units; a term that never varies gets a
@@ -84,56 +86,25 @@ def attribution(counts: DataFrame, authors: DataFrame, questioned: str, n: int =
     return prof.join(F.broadcast(q), "term").groupBy("author").agg(F.round(F.avg(d), 5).alias("delta"), F.max_by("term", F.struct(F.round(d, 9), "term")).alias("strongest"))
 
 
-def text_classes(texts: DataFrame, key: str, shingles: Column) -> DataFrame:
-    """(key, class): texts with equal sets of shingles form a class, named by its smallest key; texts without a
-    shingle are in none."""
-    d = texts.select(key, F.array_sort(F.array_distinct(shingles)).alias("s")).where(F.size("s") > 0).select(key, F.size("s").alias("n"), F.xxhash64("s").alias("h"), F.sha1(F.array_join(F.transform("s", lambda x: x.cast("string")), ",")).alias("digest"))
-    first = d.groupBy("n", "h", "digest").agg(F.min(key).alias("class"))
-    return d.join(first, ["n", "h", "digest"]).select(key, "class")
+def _rows(texts: DataFrame, key: str, shingles) -> tuple[DataFrame, neardup.Shingler]:
+    sh = shingles if isinstance(shingles, neardup.Shingler) else neardup.of_column(shingles)
+    return texts.select(F.col(key).cast("bigint").alias("k"), sh.column.alias("v")), sh
 
 
-def similar_sets(texts: DataFrame, key: str, shingles: Column, least: float, measure: str = "containment") -> DataFrame:
+def similar_sets(texts: DataFrame, key: str, shingles: Column | neardup.Shingler, least: float, measure: str = "containment") -> DataFrame:
     """Pairs a < b of text classes whose shared shingles are at least ``least`` of the smaller set (containment) or of
     the union (jaccard); exact.  ``a_class`` and ``b_class`` are the numbers of copies, so copies aren't multiplied out.
+    Texts without a shingle are in no pair."""
+    _, p = neardup.similar(*_rows(texts, key, shingles), least, measure)
+    return p.select("a", "b", "common", F.round("share", 6).alias(measure), "a_class", "b_class")
+
 
-    Prefix filter: the shingles of a set are ordered from the rarest; a set that shares enough with another shares one
-    of its n - ceil(least n) + 1 rarest shingles, so common phrases never join and no list of a common shingle is
-    paired with itself.  Containment looks the smaller set's prefix up among all shingles of larger sets, Jaccard
-    among their prefixes.  Candidates are then counted on the whole sets.
-    """
-    from fumikura.sources.stage import stage
-
-    d = texts.select(key, F.array_sort(F.array_distinct(shingles)).alias("s")).where(F.size("s") > 0)
-    d = d.groupBy(F.size("s").alias("n"), F.xxhash64("s").alias("h"), F.sha1(F.array_join(F.transform("s", lambda x: x.cast("string")), ",")).alias("digest")).agg(F.min(key).alias("k"), F.count("*").alias("copies"), F.first("s").alias("s"))
-    d = stage(d.select("k", "n", "copies", "s"), "sets")
-    e = d.select("k", "n", F.explode("s").alias("x"))
-    df = e.groupBy("x").agg(F.count("*").alias("df"))
-    w = Window.partitionBy("k").orderBy("df", "x")  # the shingles of one text
-    e = e.join(df, "x").withColumn("r", F.row_number().over(w)).where("df > 1")
-    e = stage(e.select("k", "n", "x", "r"), "postings")
-    pre = e.where(F.col("r") <= F.col("n") - F.ceil(F.round(F.col("n") * least, 9)) + 1)
-    a = pre.select("x", F.col("k").alias("p"), F.col("n").alias("np"))
-    b = (pre if measure == "jaccard" else e).select("x", F.col("k").alias("q"), F.col("n").alias("nq"))
-    smaller = (F.col("np") < F.col("nq")) | ((F.col("np") == F.col("nq")) & (F.col("p") < F.col("q")))
-    c = a.join(b, "x").where(smaller & (F.col("np") >= F.col("nq") * least - 1e-9) if measure == "jaccard" else smaller)
-    c = c.groupBy("p", "q").agg(F.first("np").alias("np"), F.first("nq").alias("nq"))
-    sets = lambda name, n: d.select(F.col("k").alias(name), F.col("s").alias(f"s_{name}"), F.col("copies").alias(n))
-    j = c.join(sets("p", "cp"), "p").join(sets("q", "cq"), "q").select("p", "q", "np", "nq", "cp", "cq", F.size(F.array_intersect("s_p", "s_q")).cast("bigint").alias("common"))
-    of = F.col("np") + F.col("nq") - F.col("common") if measure == "jaccard" else F.col("np")
-    j = j.withColumn("share", F.col("common") / of).where(F.col("share") >= least)
-    first = F.col("p") < F.col("q")
-    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
-    return j.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "common", F.round("share", 6).alias(measure), pick("cp", "cq").alias("a_class"), pick("cq", "cp").alias("b_class"))
-
-
-def duplicate_links(texts: DataFrame, key: str, shingles: Column, least: float = 0.8) -> DataFrame:
+def duplicate_links(texts: DataFrame, key: str, shingles: Column | neardup.Shingler, least: float = 0.8) -> DataFrame:
     """One row per text that has shingles: its class, the copies in it, and to how many other classes it is linked by
     a Jaccard similarity of at least ``least``."""
-    c = text_classes(texts, key, shingles)
-    p = similar_sets(texts, key, shingles, least, "jaccard")
+    c, p = neardup.similar(*_rows(texts, key, shingles), least, "jaccard")
     links = p.select(F.col("a").alias("class")).union(p.select("b")).groupBy("class").agg(F.count("*").alias("links"))
-    size = c.groupBy("class").agg(F.count("*").alias("copies"))
-    return c.join(size, "class").join(links, "class", "left").select(key, "class", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    return c.join(links, "class", "left").select(F.col("k").alias(key), "class", "copies", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def let(value: Column, fn) -> Column:

@@ -179,6 +179,13 @@ def cap_chunks(index: DataFrame, most: int, how: str = "spread", seed: int = 42)
     raise ValueError(f"no way to cap chunks: {how}")
 
 
+def marker_hits(terms: Column, markers: list[str], longest: int = 4) -> Column:
+    """How often a marker begins at a token of an array: the shortest concatenation of up to ``longest`` tokens that is one."""
+    m = F.array(*map(F.lit, markers))
+    at = lambda i: F.exists(F.sequence(F.lit(1), F.lit(longest)), lambda k: F.array_contains(m, F.array_join(F.slice(terms, i, k), "")))
+    return F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size(terms), F.lit(1))), at))
+
+
 def marker_counts(tok: DataFrame, markers: dict[str, tuple[str, ...]], longest: int = 4, block: int = 8192) -> DataFrame:
     """work_stem, tokens and, for each list of markers, how often one begins at a token: a concatenation of up to
     ``longest`` tokens of the volume is one (a token counts once, whatever its concatenations are).
