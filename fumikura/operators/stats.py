@@ -57,15 +57,27 @@ def dispersion(counts: DataFrame, unit: str, group: str | None = None, least: in
     return c.groupBy(*by, "term").agg(F.first("freq").alias("freq"), F.count("*").alias("units"), F.round(0.5 * (F.sum(F.abs(f - s)) + 1 - F.sum(s)), 4).alias("dp"), F.round(F.max(f), 4).alias("top_share"), first.alias("top_unit"))
 
 
-def rank_average(x: str, *by: str) -> Column:
-    """Average rank, ties sharing the mean of their places."""
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(x)) + (F.count("*").over(Window.partitionBy(*by, x)) - 1) / 2
+def with_rank(df: DataFrame, x: str, *by: str, parts: int = 64) -> DataFrame:
+    """Adds below (rows with a smaller x, in the group), equal (rows with the same x) and all (rows of the group).
+
+    Ranks over all rows without one task that sees them all: values are dealt to ranges by approximate quantiles,
+    counted by range and value, and summed up over ranges first; nulls in x must be gone before."""
+    cuts = sorted(set(df.approxQuantile(x, [j / parts for j in range(1, parts)], 0.001)))
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(x))) if cuts else F.lit(0)
+    per = df.groupBy(*by, x).agg(F.count("*").alias("equal")).withColumn("_part", part)
+    whole = per.groupBy(*by, "_part").agg(F.sum("equal").alias("k"))
+    w = Window.partitionBy(*by).orderBy("_part")  # at most ``parts`` rows a group
+    whole = whole.select(*by, "_part", F.coalesce(F.sum("k").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("k").over(Window.partitionBy(*by)).alias("all"))
+    inside = Window.partitionBy(*by, "_part").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    per = per.join(F.broadcast(whole) if not by else whole, [*by, "_part"]).withColumn("below", F.col("_before") + F.coalesce(F.sum("equal").over(inside), F.lit(0)))
+    return df.join(per.select(*by, x, "below", "equal", "all"), [*by, x])
 
 
 def spearman(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
-    """Spearman's correlation: Pearson's of average ranks; null where all values are equal.  Meant for reports (pairs of works, kept terms)."""
-    r = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("rx", rank_average(x, *by)).withColumn("ry", rank_average(y, *by))
+    """Spearman's correlation: Pearson's of average ranks; null where all values are equal."""
+    r = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y))
+    rank = lambda d, c, n: with_rank(d, c, *by).withColumn(n, F.col("below") + (F.col("equal") + 1) / 2).drop("below", "equal", "all")
+    r = rank(rank(r, x, "rx"), y, "ry")
     return r.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.covar_pop("rx", "ry") / F.nullif(F.stddev_pop("rx") * F.stddev_pop("ry"), F.lit(0.0)), 6).alias("rho"))
 
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fumikura.operators import neardup
+from fumikura.plans import pairs as blocked
 
 
 def z_scores(rel: DataFrame, unit: str = "work_stem", zero: str = "tiny") -> DataFrame:
@@ -21,12 +26,10 @@ def _vectors(z: DataFrame, unit: str) -> DataFrame:
     return z.groupBy(unit).agg(F.transform(F.array_sort(F.collect_list(F.struct("term", "z"))), lambda x: x["z"]).alias("v"))
 
 
-def pairs(v: DataFrame, unit: str, distance, name: str) -> DataFrame:
-    """All pairs a < b of the units' vectors.  The pairs are the result; units are works or sources, not tokens, and
-    a unit's row is one vector of as many values as terms were asked for."""
-    a = v.select(F.col(unit).alias("a"), F.col("v").alias("va"))
-    b = v.select(F.col(unit).alias("b"), F.col("v").alias("vb"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", distance(F.col("va"), F.col("vb")).alias(name))
+def pairs(v: DataFrame, unit: str, metric: str, name: str, digits: int = 9) -> DataFrame:
+    """All pairs a < b of the units' vectors, by blocked products: the distance matrix is the result.  Units are works
+    or sources, not tokens, and a unit's row is one vector of as many values as terms were asked for."""
+    return blocked.all_pairs(v, unit, "v", metric, name, digits)
 
 
 def total(x: Column) -> Column:
@@ -37,29 +40,29 @@ def dot(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: x * y))
 
 
-def delta_distance(a: Column, b: Column) -> Column:
-    return total(F.zip_with(a, b, lambda x, y: F.abs(x - y))) / F.size(a)
-
-
-def cosine_distance(a: Column, b: Column) -> Column:
-    return 1 - dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
-
-
 def delta(rel: DataFrame, unit: str = "work_stem") -> DataFrame:
     """Burrows' Delta: mean absolute difference of z-scores."""
-    return pairs(_vectors(z_scores(rel, unit), unit), unit, delta_distance, "delta")
+    return pairs(_vectors(z_scores(rel, unit), unit), unit, "delta", "delta")
 
 
 def cosine_delta(rel: DataFrame, unit: str = "work_stem") -> DataFrame:
-    return pairs(_vectors(z_scores(rel, unit, "drop"), unit), unit, cosine_distance, "delta")
+    return pairs(_vectors(z_scores(rel, unit, "drop"), unit), unit, "cosine", "delta")
 
 
 def nearest(dist: DataFrame, value: str) -> DataFrame:
-    """(a, b, value): each unit's nearest other one, ties by name."""
+    """(a, b, value): each unit's nearest other one in a table of pairs, ties by name."""
     both = dist.select("a", "b", value).union(dist.select("b", "a", value))
     return both.groupBy("a").agg(F.min(F.struct(value, "b")).alias("m")).select("a", F.col("m.b").alias("b"), F.col(f"m.{value}").alias(value))
 
 
+def nearest_unit(z: DataFrame, metric: str = "delta", unit: str = "work_stem", digits: int = 5) -> DataFrame:
+    """(a, b, value): each unit's nearest other one by its z-scores, ties by name, without a table of pairs: a block
+    keeps the nearest one of every unit, and those are merged."""
+    v = _vectors(z, unit)
+    n = blocked.nearest(v, v, unit, "v", metric, 1, metric, digits)
+    return n.groupBy(F.col("q").alias("a")).agg(F.min(F.struct(metric, "key")).alias("m")).select("a", F.col("m.key").alias("b"), F.col(f"m.{metric}").alias(metric))
+
+
 def same_label_rate(nn: DataFrame, labels: DataFrame, unit: str, label: str, blanks: bool = False) -> DataFrame:
     """Share of units whose nearest one has the same label; blank labels are skipped, or count as equal labels."""
     lb = labels.select(F.col(unit).alias("u"), F.col(label).alias("l"))
@@ -128,26 +131,56 @@ def word_shingles(words: Column, k: int = 8, step: int = 3, whole: Column | None
 
 
 def closest_profiles(profiles: DataFrame, key: str, values: list[str]) -> DataFrame:
-    """The pair of units nearest in standardised values."""
+    """The pair of units nearest in standardised values (ties by name): the nearest other one of each, then the best."""
     m = profiles.agg(*(F.avg(v).alias(f"m_{v}") for v in values), *(F.stddev_pop(v).alias(f"s_{v}") for v in values))
-    z = profiles.crossJoin(F.broadcast(m)).select(key, F.array(*((F.col(v) - F.col(f"m_{v}")) / F.nullif(F.col(f"s_{v}"), F.lit(0.0)) for v in values)).alias("v"))
-    euclid = lambda a, b: F.sqrt(total(F.zip_with(a, b, lambda x, y: F.coalesce((x - y) * (x - y), F.lit(0.0)))))
-    return pairs(z, key, lambda a, b: F.round(euclid(a, b), 6), "dist").orderBy("dist", "a", "b").limit(1)
+    z = profiles.where(F.col(key).isNotNull()).crossJoin(F.broadcast(m)).select(key, F.array(*(F.coalesce((F.col(v) - F.col(f"m_{v}")) / F.nullif(F.col(f"s_{v}"), F.lit(0.0)), F.lit(float("nan"))) for v in values)).alias("v"))  # one row
+    n = blocked.nearest(z, z, key, "v", "euclidean", 1, "dist", 6)
+    return n.select(F.least("q", "key").alias("a"), F.greatest("q", "key").alias("b"), "dist").orderBy("dist", "a", "b").limit(1)
 
 
-def js_divergence(dist: DataFrame, unit: str, item: str, p: str) -> DataFrame:
+def js_divergence(dist: DataFrame, unit: str, item: str, p: str, size: int = 256, parts: int = 16) -> DataFrame:
     """Jensen-Shannon divergence in bits, 0 to 1, of all pairs of units, from rows of shares.
 
-    An item that only one of the two has adds half its share, so only common items are joined: the divergence is
-    1 - sum over common items of (h(p) + h(q) - h(p + q)) / 2 with h(x) = -x log2 x."""
-    d = dist.where(F.col(p) > 0).select(F.col(unit).alias("u"), F.col(item).alias("x"), F.col(p).alias("p"))
-    units = d.select("u").distinct()
-    grid = units.select(F.col("u").alias("a")).join(units.select(F.col("u").alias("b")), F.col("a") < F.col("b"))
-    h = lambda c: -c * F.log2(c)
-    common = d.withColumnsRenamed({"u": "a", "p": "pa"}).join(d.withColumnsRenamed({"u": "b", "p": "pb"}), "x").where("a < b")
-    g = common.groupBy("a", "b").agg(F.sum((h(F.col("pa")) + h(F.col("pb")) - h(F.col("pa") + F.col("pb"))) / 2).alias("less"))
-    raw = 1.0 + F.coalesce("less", F.lit(0.0)) * -1
-    return grid.join(g, ["a", "b"], "left").select("a", "b", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 6).alias("jsd"))
+    An item that only one of the two has adds half its share, so only common items count: the divergence is
+    1 - sum over common items of (h(p) + h(q) - h(p + q)) / 2 with h(x) = -x log2 x.  Items are dealt to parts and
+    units to blocks; a task adds up one part's items over two blocks in a matrix, so an item that all units have costs
+    no rows: what is shuffled is one matrix a part and pair of blocks."""
+    d = dist.where((F.col(p) > 0) & F.col(unit).isNotNull()).select(F.col(unit).alias("u"), F.xxhash64(F.col(item).cast("string")).alias("x"), F.col(p).cast("double").alias("p"))
+    kt = d.schema["u"].dataType.simpleString()
+    blocks = max(1, -(-d.select("u").distinct().count() // size))
+    g = d.groupBy(F.pmod(F.xxhash64("u"), F.lit(blocks)).cast("int").alias("blk"), F.pmod("x", F.lit(parts)).cast("int").alias("part")).agg(F.collect_list(F.struct("u", "x", "p")).alias("rows"))
+    left = g.select("part", F.col("blk").alias("lb"), F.col("rows").alias("lrows"), F.explode(F.sequence("blk", F.lit(blocks - 1))).alias("blk"))
+    j = left.join(g, ["part", "blk"]).select("lb", "blk", "lrows", "rows")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def matrix(rows: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            s = rows.flatten()
+            names, u = np.unique(np.array(s.field("u").to_pylist(), object), return_inverse=True)
+            x, q = s.field("x").to_numpy(), s.field("p").to_numpy()
+            o = np.argsort(x, kind="stable")
+            return names, u[o], x[o], q[o]
+
+        def h(z: np.ndarray) -> np.ndarray:
+            return -z * np.log2(z)
+
+        for b in batches:
+            for i in range(b.num_rows):
+                same = b.column("lb")[i].as_py() == b.column("blk")[i].as_py()
+                (na, ua, xa, pa_), (nb, ub, xb, pb) = matrix(b.column("lrows").slice(i, 1)), matrix(b.column("rows").slice(i, 1))
+                less = np.zeros((len(na), len(nb)))
+                items, first = np.unique(xa, return_index=True)
+                for k, (x, lo) in enumerate(zip(items, first)):
+                    hi = first[k + 1] if k + 1 < len(first) else len(xa)
+                    c, e = np.searchsorted(xb, x, "left"), np.searchsorted(xb, x, "right")
+                    if e > c:
+                        pp, qq = pa_[lo:hi, None], pb[None, c:e]
+                        less[np.ix_(ua[lo:hi], ub[c:e])] += (h(pp) + h(qq) - h(pp + qq)) / 2
+                r, t = (np.triu_indices(len(na), 1) if same else tuple(z.ravel() for z in np.indices(less.shape)))
+                swap = na[r] > nb[t]
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(swap, nb[t], na[r]), b.column("lrows").type.value_type.field("u").type), pa.array(np.where(swap, na[r], nb[t]), b.column("lrows").type.value_type.field("u").type), pa.array(less[r, t])], names=["a", "b", "less"])
+
+    s = j.mapInArrow(run, f"a {kt}, b {kt}, less double").groupBy("a", "b").agg(F.sum("less").alias("less"))
+    return s.select("a", "b", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - F.col("less"))), 6).alias("jsd"))
 
 
 def pca_scores(z: DataFrame, unit: str = "work_stem", k: int = 2) -> DataFrame:
@@ -167,8 +200,6 @@ def pca_scores(z: DataFrame, unit: str = "work_stem", k: int = 2) -> DataFrame:
 def ward_clusters(dist: DataFrame, value: str, limit: int = 500) -> DataFrame:
     """Merge steps of Ward's method (step, left, right, height, size) over at most ``limit`` units: a dendrogram is
     drawn from a small distance matrix on the driver; more units are an error, not a sample."""
-    import numpy as np
-
     rows = dist.select("a", "b", value).limit(limit * (limit - 1) // 2 + 1).collect()
     names = sorted({r[0] for r in rows} | {r[1] for r in rows})
     if len(names) > limit:

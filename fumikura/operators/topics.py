@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fumikura.operators.stylometry import cosine_distance, delta_distance, pairs
+from fumikura.operators.stats import with_rank
+from fumikura.operators.stylometry import pairs
 
 
 def fit_lda(chunks: DataFrame, k: int = 10, seed: int = 1, max_iter: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -91,8 +92,8 @@ def relatedness(theta: DataFrame, phi: DataFrame, top: int = 500) -> DataFrame:
     full = t.select("topic").crossJoin(F.broadcast(best)).join(rel, ["topic", "term"], "left").na.fill({"rel": 0.0})
     m = full.groupBy("term").agg(F.avg("rel").alias("mu"), F.stddev_samp("rel").alias("sd"))
     z = full.join(F.broadcast(m), "term").select("topic", "term", F.col("rel"), ((F.col("rel") - F.col("mu")) / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0)).alias("z"))
-    cos = pairs(vectors(z, "topic", "term", "rel"), "topic", lambda a, b: F.round(cosine_distance(a, b), 5), "cosine")
-    dlt = pairs(vectors(z, "topic", "term", "z"), "topic", lambda a, b: F.round(delta_distance(a, b), 5), "delta")
+    cos = pairs(vectors(z, "topic", "term", "rel"), "topic", "cosine", "cosine", 5)
+    dlt = pairs(vectors(z, "topic", "term", "z"), "topic", "delta", "delta", 5)
     lg = F.ln(F.col("p") + 1e-12)
     c = theta.withColumn("c", lg).join(theta.groupBy("chunk").agg(F.avg(lg).alias("g")), "chunk").select("chunk", "topic", (F.col("c") - F.col("g")).alias("c"))
     cc = c.alias("x").join(c.alias("y"), "chunk").where("x.topic < y.topic").groupBy(F.col("x.topic").alias("a"), F.col("y.topic").alias("b"))
@@ -121,7 +122,8 @@ def similarity_graph(sim: DataFrame, value: str, k: int = 2, keep: float = 1.0)
     w = Window.partitionBy("a").orderBy(F.desc(value), "b")
     top = both.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
     edges = top.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    ranked = sim.withColumn("weight", F.round(F.cume_dist().over(Window.orderBy(value)), 6))  # pairs of topics
+    last = with_rank(sim.where(F.col(value).isNotNull()), value)
+    ranked = last.withColumn("weight", F.round((F.col("below") + F.col("equal")) / F.col("all"), 6))
     return ranked.join(edges, ["a", "b"]).where(F.col("weight") >= 1 - keep).select("a", "b", "weight")
 
 
@@ -131,24 +133,28 @@ def bipartite(theta_work: DataFrame, k: int = 3, least: float = 0.05) -> DataFra
     return theta_work.withColumn("r", F.row_number().over(w)).where((F.col("r") <= k) & (F.col("topic_in_work") >= least)).select("work", "topic", F.col("topic_in_work").alias("share"))
 
 
-def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node, community): weighted label propagation with ties to the smaller label, communities numbered by size.
-    Each round joins edges with labels; lineage is cut by a written table, so it scales with the edges."""
+def communities(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """(node, community, size): weighted label propagation with ties to the smaller label, until no node
+    has a label with more weight around it than its own; a random half of the nodes may move in a round, so pairs don't
+    swap their labels for ever.  Communities are numbered by size.  Labels that still change after ``rounds`` rounds are an error.  Each round joins
+    edges with labels; lineage is cut by a written table, so it scales with the edges."""
     from fumikura.sources.stage import stage
 
     edges = stage(edges.select("a", "b", "weight"), "edges")
     e = edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").union(edges.select("b", "a", "weight"))
     lab = stage(e.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")), "labels")
-    for _ in range(rounds):
-        votes = e.join(lab, e["dst"] == lab["node"]).groupBy("src", "label").agg(F.sum("weight").alias("w"))
-        # a node also votes for its own label, so pairs don't swap theirs for ever
-        own = lab.select(F.col("node").alias("src"), "label", F.lit(0.5).alias("w"))
-        best = votes.union(own).groupBy("src", "label").agg(F.sum("w").alias("w")).groupBy("src").agg(F.max_by("label", F.struct(F.round("w", 9), -F.col("label"))).alias("label"))
-        new = stage(best.withColumnRenamed("src", "node"), "labels")
-        if new.join(lab.withColumnRenamed("label", "old"), "node").where("label <> old").isEmpty():
-            lab = new
+    for k in range(rounds):
+        votes = e.join(lab, e["dst"] == lab["node"]).groupBy("src", "label").agg(F.round(F.sum("weight"), 9).alias("w"))
+        own = lab.select(F.col("node").alias("src"), F.col("label").alias("mine"))
+        g = votes.join(own, "src").groupBy("src", "mine").agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("best"), F.max("w").alias("top"), F.coalesce(F.max(F.when(F.col("label") == F.col("mine"), F.col("w"))), F.lit(0.0)).alias("held"))
+        better = F.col("top") > F.col("held")
+        moves = F.pmod(F.xxhash64("src", F.lit(k)), F.lit(2)) == 0
+        new = stage(g.select(F.col("src").alias("node"), F.when(better & moves, F.col("best")).otherwise(F.col("mine")).alias("label"), better.alias("better")), "labels")
+        lab = new.select("node", "label")
+        if new.where("better").isEmpty():
             break
-        lab = new
+    else:
+        raise ValueError(f"labels still change after {rounds} rounds")
     size = lab.groupBy("label").agg(F.count("*").alias("n"))
     no = size.withColumn("community", F.row_number().over(Window.orderBy(F.desc("n"), "label")) - 1)  # one row per community
     return lab.join(F.broadcast(no), "label").select("node", "community", F.col("n").alias("size"))
@@ -187,3 +193,12 @@ def fingerprint(phi: DataFrame) -> DataFrame:
     h = F.md5(F.concat_ws("|", "topic", "term", "n"))
     quarter = lambda k: F.conv(F.substring(h, 8 * k + 1, 8), 16, 10).cast("decimal(38,0)")
     return phi.agg(F.concat_ws("-", *(F.sum(quarter(k)).cast("string") for k in range(4))).alias("fingerprint"), F.count("*").alias("rows"))
+
+
+def modularity(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """Weighted modularity of communities (node, community): the share of weight inside them less what chance gives."""
+    c = found.select("node", "community")
+    e = edges.join(c.withColumnsRenamed({"node": "a", "community": "ca"}), "a").join(c.withColumnsRenamed({"node": "b", "community": "cb"}), "b")
+    ends = e.select(F.col("ca").alias("c"), "weight").union(e.select("cb", "weight")).groupBy("c").agg(F.sum("weight").alias("k"))
+    m = e.agg(F.sum("weight").alias("m"), F.sum(F.when(F.col("ca") == F.col("cb"), F.col("weight")).otherwise(0.0)).alias("inside"))
+    return ends.agg(F.sum(F.col("k") * F.col("k")).alias("kk"), F.count("*").alias("communities")).crossJoin(m).select("communities", F.round(F.col("inside") / F.col("m") - F.col("kk") / (4 * F.col("m") * F.col("m")), 6).alias("modularity"))  # one row each

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fumikura.functions.keys import draw_order
 from fumikura.operators.stylometry import dot
+from fumikura.plans import pairs as blocked
 
 
 def cooccurrence(tok: DataFrame, window: int = 5, top: int = 3000, term: str = "lemma_key") -> DataFrame:
@@ -60,53 +58,12 @@ def unit(vec: Column) -> Column:
     return F.transform(vec, lambda x: x / F.when(n > 0, n))
 
 
-def neighbours(v: DataFrame, key: str, queries: Column, k: int = 10, vec: str = "vec", block: int = 2048) -> DataFrame:
-    """Exact k nearest rows by cosine (ties by key) for the rows that ``queries`` selects, against all rows.
-
-    Queries come in blocks of ``block`` rows; a block's matrix is multiplied with each partition's rows, each partition
-    keeps its k best of every query, and those are merged: nothing larger than a block is ever broadcast.
-    """
-    spark = v.sparkSession
-    base = v.where(F.col(vec).isNotNull()).select(F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("vec"))
-    kt = base.schema["key"].dataType.simpleString()
-    q = v.where(queries & F.col(vec).isNotNull()).select(F.col(key).alias("key"), F.col(vec).cast("array<double>").alias("vec"))
-
-    def scan(part: list) -> DataFrame:
-        keys = np.array([r[0] for r in part])
-        m = np.array([r[1] for r in part], float)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        held = spark.sparkContext.broadcast((keys, m))
-
-        def best(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ks, qm = held.value
-            for pdf in it:
-                if not len(pdf):
-                    continue
-                x = np.stack(pdf["vec"].to_numpy())
-                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                sim = np.round(qm @ x.T, 9)
-                other = pdf["key"].to_numpy()
-                sim[ks[:, None] == other[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(other, sim.shape), -sim))[:, :k]
-                rows = np.repeat(np.arange(len(ks)), order.shape[1])
-                out = pd.DataFrame({"q": ks[rows], "key": other[order.ravel()], "sim": sim[rows, order.ravel()]})
-                yield out[np.isfinite(out["sim"])]
-
-        return base.mapInPandas(best, f"q {kt}, key {kt}, sim double")
-
-    parts, held = [], []
-    for r in q.toLocalIterator():
-        held.append((r[0], r[1]))
-        if len(held) == block:
-            parts.append(scan(held))
-            held = []
-    if held:
-        parts.append(scan(held))
-    if not parts:
-        return spark.createDataFrame([], f"q {kt}, key {kt}, sim double, rank int")
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.union(p)
+def neighbours(v: DataFrame, key: str, queries: Column, k: int = 10, vec: str = "vec", block: int = 4096) -> DataFrame:
+    """Exact k nearest rows by cosine (ties by key) for the rows that ``queries`` selects, against all rows, in blocks
+    of both: a pair of blocks keeps its k best of every query, and those are merged."""
+    base = v.where(F.col(vec).isNotNull()).select(F.col(key).alias("key"), F.col(vec).alias("vec"))
+    q = v.where(queries & F.col(vec).isNotNull()).select(F.col(key).alias("key"), F.col(vec).alias("vec"))
+    every = blocked.nearest(q, base, "key", "vec", "cosine", k, "dist", size=block).select("q", "key", F.round(1 - F.col("dist"), 9).alias("sim"))
     w = Window.partitionBy("q").orderBy(F.desc("sim"), "key")
     return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -167,34 +124,28 @@ def drift(slices: dict[str, DataFrame]) -> DataFrame:
     return j.select("term", F.round(1 - dot(F.col("v0"), F.col(f"v{len(names) - 1}")), 6).alias("drift_first_last"), F.round(F.aggregate("steps", F.lit(0.0), lambda a, x: a + x["d"]) / F.size("steps"), 6).alias("drift_mean_step"), F.round(F.array_max("steps")["d"], 6).alias("drift_max_step"), F.array_max("steps")["at"].alias("max_step_at"))
 
 
-def word_vectors(sentences: DataFrame, dims: int = 50, window: int = 3, min_count: int = 20, seed: int = 1, epochs: int = 1) -> DataFrame:
+def word_vectors(sentences: DataFrame, dims: int = 50, window: int = 3, min_count: int = 20, seed: int = 1, epochs: int = 1, partitions: int = 1) -> DataFrame:
     """(term, vec) by MLlib's skip-gram; the reference estimator is another (negative sampling), so results are
-    compared by properties."""
+    compared by properties.  ``partitions`` models are trained side by side and averaged each epoch: more than one is
+    needed beyond what one task can pass over, and asks for about as many more epochs."""
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
 
-    m = Word2Vec(vectorSize=dims, windowSize=window, minCount=min_count, seed=seed, maxIter=epochs, inputCol="words", outputCol="v").fit(sentences)
+    m = Word2Vec(vectorSize=dims, windowSize=window, minCount=min_count, seed=seed, maxIter=epochs, numPartitions=partitions, inputCol="words", outputCol="v").fit(sentences)
     return m.getVectors().select(F.col("word").alias("term"), vector_to_array("vector").alias("vec"))
 
 
 def fold_by_group(v: DataFrame, group: str, k: int = 5) -> DataFrame:
-    """A fold of each row such that a group is in one fold: groups by size, each put where fewest rows are.  Groups
-    are authors: their sizes (one row each) are folded in one pass."""
-    sizes = v.groupBy(group).agg(F.count("*").alias("n"))
-
-    def greedy(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = pd.concat(list(it), ignore_index=True)
-        held = held.sort_values(["n", group], ascending=[False, True], kind="stable")
-        load = np.zeros(k, int)
-        out = []
-        for g, n in zip(held[group], held["n"]):
-            f = int(np.argmin(load))
-            load[f] += n
-            out.append((g, f))
-        yield pd.DataFrame(out, columns=[group, "fold"])
-
-    f = sizes.coalesce(1).mapInPandas(greedy, f"{group} {v.schema[group].dataType.simpleString()}, fold int")
-    return v.join(f, group)
+    """A fold of each row such that a group is in one fold: groups in the order of their size, dealt to the folds
+    there and back.  The order comes from counts of sizes first, then of hash ranges, so no task sees all groups."""
+    sizes = v.groupBy(group).agg(F.count("*").alias("n")).withColumn("h", draw_order(0, group)).withColumn("part", F.substring("h", 1, 2))
+    per = sizes.groupBy("n", "part").agg(F.count("*").alias("c"))
+    of_n = per.groupBy("n").agg(F.sum("c").alias("c"))
+    before_n = of_n.select("n", (F.sum("c").over(Window.orderBy(F.desc("n"))) - F.col("c")).alias("b1"))  # a row for each size that occurs
+    before = per.select("n", "part", (F.sum("c").over(Window.partitionBy("n").orderBy("part")) - F.col("c")).alias("b2"))
+    r = sizes.join(before, ["n", "part"]).join(before_n, "n")
+    r = r.withColumn("r", (F.col("b1") + F.col("b2") + F.row_number().over(Window.partitionBy("n", "part").orderBy("h", group)) - 1) % (2 * k))
+    return v.join(r.select(group, F.when(F.col("r") < k, F.col("r")).otherwise(2 * k - 1 - F.col("r")).cast("int").alias("fold")), group)
 
 
 def grouped_accuracy(v: DataFrame, label: str, group: str, k: int = 5, vec: str = "vec") -> DataFrame:
@@ -204,8 +155,11 @@ def grouped_accuracy(v: DataFrame, label: str, group: str, k: int = 5, vec: str
     from pyspark.ml.feature import StandardScaler, StringIndexer
     from pyspark.ml.functions import array_to_vector
 
+    from fumikura.sources.stage import stage
+
     d = fold_by_group(v.where(F.col(label).isNotNull() & F.col(group).isNotNull()), group, k).withColumn("x", array_to_vector(F.col(vec).cast("array<double>")))
-    d = StringIndexer(inputCol=label, outputCol="y", stringOrderType="alphabetAsc").fit(d).transform(d).persist()
+    d = StringIndexer(inputCol=label, outputCol="y", stringOrderType="alphabetAsc").fit(d).transform(d)
+    d = stage(d.select("y", "x", "fold"), "folds")  # read by every fold
     pipe = Pipeline(stages=[StandardScaler(withMean=True, inputCol="x", outputCol="z"), LogisticRegression(featuresCol="z", labelCol="y", maxIter=50, regParam=0.01)])
     out = None
     for f in range(k):

@@ -44,7 +44,7 @@ def closest_pairs(s, d):
 
 
 def delta_nn(s, d):
-    return st.nearest(delta_pairs(s, d), "delta")
+    return st.nearest_unit(st.z_scores(_rel(s, d)))
 
 
 def delta_nn_accuracy(s, d):

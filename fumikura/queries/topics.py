@@ -30,7 +30,7 @@ def _tables(s, d):
     c = t.groupBy("chunk", "topic").agg(F.count("*").alias("n"))
     topics = s.range(K).select(F.col("id").cast("int").alias("topic"))
     theta = n.crossJoin(F.broadcast(topics)).join(c, ["chunk", "topic"], "left").select("chunk", "topic", (F.coalesce("n", F.lit(0)) / F.col("all_n")).alias("p"))
-    return ch, theta, phi
+    return ch, stage(theta, "theta"), stage(phi, "phi")
 
 
 def _att(s, d):
@@ -84,6 +84,13 @@ def topic_communities(s, d):
     return tp.communities(topic_graph(s, d))
 
 
+def topic_modularity(s, d):
+    """Of topics put together by their number modulo three, and of the communities found: the second is no smaller."""
+    e = stage(topic_graph(s, d), "graph")
+    third = e.select(F.col("a").alias("node")).union(e.select("b")).distinct().withColumn("community", F.col("node") % 3)
+    return tp.modularity(e, third)
+
+
 def topic_profiles(s, d):
     _, theta, phi = _tables(s, d)
     return tp.profiles(theta, _att(s, d), "period", phi)
@@ -116,7 +123,7 @@ def lda_fit(s, d):
     return theta.groupBy("topic").agg(F.round(F.avg("p"), 4).alias("mean"), F.count("*").alias("chunks"))
 
 
-QUERIES = {f.__name__: f for f in (topic_means, topic_by_period, topic_by_genre, topic_lift, topic_entropy, relevance, topic_relatedness, topic_work_shares, topic_graph, topic_bipartite, topic_communities, topic_profiles, topic_representatives, topic_coherence, topic_fingerprint, doc_topics_read, lda_fit)}
+QUERIES = {f.__name__: f for f in (topic_means, topic_by_period, topic_by_genre, topic_lift, topic_entropy, relevance, topic_relatedness, topic_work_shares, topic_graph, topic_bipartite, topic_communities, topic_modularity, topic_profiles, topic_representatives, topic_coherence, topic_fingerprint, doc_topics_read, lda_fit)}
 
 _T = f"""ct AS (SELECT work_stem, lemma_key AS term, row_number() OVER (PARTITION BY work_stem ORDER BY vol_no, i) - 1 AS rk FROM tok WHERE {CONTENT} AND lemma_key <> ''),
 c0 AS (SELECT work_stem, work_stem || '#' || CAST(rk // 200 AS VARCHAR) AS chunk, term, count(*) OVER (PARTITION BY work_stem, rk // 200) AS k FROM ct),
@@ -131,6 +138,8 @@ zz AS (SELECT topic, term, rel, (rel - avg(rel) OVER (PARTITION BY term)) / (CAS
 r1 AS (SELECT x.topic AS a, y.topic AS b, round(1 - sum(x.rel * y.rel) / (sqrt(sum(x.rel * x.rel)) * sqrt(sum(y.rel * y.rel))), 5) AS cosine, round(avg(abs(x.z - y.z)), 5) AS delta FROM zz x JOIN zz y USING (term) WHERE x.topic < y.topic GROUP BY ALL),
 cl AS (SELECT chunk, topic, ln(p + 1e-12) - avg(ln(p + 1e-12)) OVER (PARTITION BY chunk) AS c FROM th), r2 AS (SELECT x.topic AS a, y.topic AS b, round(covar_pop(x.c, y.c) / nullif(stddev_pop(x.c) * stddev_pop(y.c), 0), 5) AS clr_corr FROM cl x JOIN cl y USING (chunk) WHERE x.topic < y.topic GROUP BY ALL), rel AS (SELECT * FROM r1 JOIN r2 USING (a, b))"""
 _WS = "ws AS (SELECT work_stem AS work, topic, sum(p) AS s FROM th GROUP BY ALL), sw AS (SELECT work, topic, round(s / nullif(sum(s) OVER (PARTITION BY work), 0), 6) AS topic_in_work, round(s / nullif(sum(s) OVER (PARTITION BY topic), 0), 6) AS work_in_topic, s / nullif(sum(s) OVER (PARTITION BY topic), 0) > 0.5e0 AS concentrated FROM ws)"
+_GCTE = ", b AS (SELECT a, b, clr_corr AS v FROM rel UNION ALL SELECT b, a, clr_corr FROM rel), t AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY v DESC, b) AS r FROM b), e AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM t WHERE r <= 2), q AS (SELECT a, b, round(cume_dist() OVER (ORDER BY clr_corr), 6) AS weight FROM rel)"
+_GRAPH = " SELECT * FROM q JOIN e USING (a, b)"
 SQL = {
     "topic_means": _B + "SELECT topic, round(avg(p), 6) AS mean, count(*) AS chunks FROM th GROUP BY topic",
     "topic_by_period": _B + "SELECT period, topic, round(avg(p), 6) AS mean, count(*) AS chunks FROM ta WHERE period <> '' GROUP BY ALL",
@@ -140,11 +149,12 @@ SQL = {
     "relevance": with_(TOK, ATT, _T, _RV) + "SELECT topic, term, n, relevance, rank, round(sum(p) OVER (PARTITION BY topic), 6) AS kept_mass FROM rk WHERE rank <= 10",
     "topic_relatedness": with_(TOK, ATT, _T, _REL) + "SELECT * FROM rel",
     "topic_work_shares": with_(TOK, ATT, _T, _WS) + "SELECT * FROM sw",
-    "topic_graph": with_(TOK, ATT, _T, _REL) + ", b AS (SELECT a, b, clr_corr AS v FROM rel UNION ALL SELECT b, a, clr_corr FROM rel), t AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY v DESC, b) AS r FROM b), e AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM t WHERE r <= 2), q AS (SELECT a, b, round(cume_dist() OVER (ORDER BY clr_corr), 6) AS weight FROM rel) SELECT * FROM q JOIN e USING (a, b)",
+    "topic_graph": with_(TOK, ATT, _T, _REL) + _GCTE + _GRAPH,
+    "topic_modularity": with_(TOK, ATT, _T, _REL) + _GCTE + ", gg AS (SELECT * FROM (" + _GRAPH + ")), ed AS (SELECT a % 3 AS c, weight FROM gg UNION ALL SELECT b % 3, weight FROM gg), kk AS (SELECT c, sum(weight) AS k FROM ed GROUP BY c), mm AS (SELECT sum(weight) AS m, sum(CASE WHEN a % 3 = b % 3 THEN weight ELSE 0 END) AS i FROM gg) SELECT (SELECT count(*) FROM kk) AS communities, round(i / m - (SELECT sum(k * k) FROM kk) / (4 * m * m), 6) AS modularity FROM mm",
     "topic_bipartite": with_(TOK, ATT, _T, _WS) + ", r AS (SELECT *, row_number() OVER (PARTITION BY work ORDER BY topic_in_work DESC, topic) AS r FROM sw) SELECT work, topic, topic_in_work AS share FROM r WHERE r <= 3 AND topic_in_work >= 0.05e0",
     "topic_profiles": with_(TOK, ATT, _T, _RV) + ", g AS (SELECT topic, period, avg(p) AS m FROM ta WHERE period IS NOT NULL GROUP BY ALL), q AS (SELECT topic, max_by(period, (round(m, 9), period)) AS peak, round(max(m) / avg(m), 4) AS peak_ratio, round(stddev_pop(m), 6) AS variation FROM g GROUP BY topic), w AS (SELECT topic, string_agg(term, '・' ORDER BY rank) AS words FROM rk WHERE rank <= 2 GROUP BY topic) SELECT *, coalesce(words, '') || CASE WHEN peak_ratio >= 1.3e0 THEN ' [' || peak || ']' ELSE '' END AS label FROM q LEFT JOIN w USING (topic)",
     "topic_representatives": _B + ", r AS (SELECT topic, chunk, p, row_number() OVER (PARTITION BY topic ORDER BY round(p, 9) DESC, chunk) AS rank FROM th) SELECT topic, rank, chunk, round(p, 6) AS p FROM r WHERE rank <= 5",
     "topic_coherence": _B + ", t AS (SELECT topic, term, row_number() OVER (PARTITION BY topic ORDER BY n DESC, term) AS r FROM phi), t5 AS (SELECT * FROM t WHERE r <= 5), d AS (SELECT DISTINCT chunk, term FROM c1 WHERE term IN (SELECT term FROM t5)), df AS (SELECT term, count(*) AS df FROM d GROUP BY ALL), co AS (SELECT x.term AS t1, y.term AS t2, count(*) AS co FROM d x JOIN d y USING (chunk) WHERE x.term <> y.term GROUP BY ALL) SELECT p.topic, round(sum(ln((coalesce(co, 0) + 1) / df)), 4) AS coherence FROM t5 p JOIN t5 q ON p.topic = q.topic AND p.r > q.r LEFT JOIN co ON co.t1 = p.term AND co.t2 = q.term JOIN df ON df.term = q.term GROUP BY p.topic",
-    "topic_fingerprint": _B + "SELECT CAST(sum(CAST(('0x' || substr(md5(topic || '|' || term || '|' || n), 1, 10)) AS BIGINT) % 1000003) % 1000003 AS BIGINT) AS fingerprint, count(*) AS rows FROM phi",
+    "topic_fingerprint": _B + "SELECT concat_ws('-', " + ", ".join(f"CAST(sum(CAST(('0x' || substr(md5(topic || '|' || term || '|' || n), {8 * k + 1}, 8)) AS BIGINT)) AS VARCHAR)" for k in range(4)) + ") AS fingerprint, count(*) AS rows FROM phi",
     "doc_topics_read": _B + "SELECT topic, 2 * count(*) AS rows, round(avg(p), 6) AS mean FROM th GROUP BY topic",
 }

@@ -96,7 +96,7 @@ def perm_control(s, d):
 
 QUERIES = {f.__name__: f for f in (cooc, ppmi, ppmi_svd_norms, embed_nn, embed_within_between, embed_nn_accuracy, embed_centroids, embed_centering, work_vectors, drift_table, w2v_neighbours, group_cv, perm_control)}
 
-_CO = "vc AS (SELECT lemma_key FROM tok WHERE lemma_key <> '' GROUP BY lemma_key ORDER BY count(*) DESC, lemma_key LIMIT 200), tv AS (SELECT work_stem, vol_no, i, lemma_key AS term FROM tok WHERE lemma_key IN (SELECT lemma_key FROM vc)), co AS (SELECT x.term AS a, y.term AS b, count(*) AS n FROM tv x JOIN tv y ON x.work_stem = y.work_stem AND x.vol_no = y.vol_no AND y.i BETWEEN x.i - 5 AND x.i + 5 AND x.i <> y.i WHERE x.term <> y.term GROUP BY ALL)"
+_CO = "vc AS (SELECT lemma_key FROM tok WHERE lemma_key <> '' GROUP BY lemma_key ORDER BY count(*) DESC, lemma_key LIMIT 3000), tv AS (SELECT work_stem, vol_no, i, lemma_key AS term FROM tok WHERE lemma_key IN (SELECT lemma_key FROM vc)), co AS (SELECT x.term AS a, y.term AS b, count(*) AS n FROM tv x JOIN tv y ON x.work_stem = y.work_stem AND x.vol_no = y.vol_no AND y.i BETWEEN x.i - 5 AND x.i + 5 AND x.i <> y.i WHERE x.term <> y.term GROUP BY ALL)"
 _V = "v0 AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec, CAST(label AS INTEGER) AS label, CAST(vec_id % 4 AS INTEGER) AS author FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL), v1 AS (SELECT vec_id, label, author, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) AS u FROM v0)"
 _GAP = lambda lb, src="v1": f"SELECT '{lb}' AS attribute, round(avg(c) FILTER (WHERE same), 6) AS within, round(avg(c) FILTER (WHERE NOT same), 6) AS between, round(avg(c) FILTER (WHERE same) - avg(c) FILTER (WHERE NOT same), 6) AS gap FROM (SELECT list_dot_product(x.u, y.u) AS c, x.{lb} = y.{lb} AS same FROM {src} x JOIN {src} y ON x.vec_id < y.vec_id WHERE x.{lb} IS NOT NULL AND y.{lb} IS NOT NULL)"
 _NNQ = "nq AS (SELECT x.vec_id AS q, y.vec_id AS key, round(list_dot_product(x.u, y.u), 9) AS sim, row_number() OVER (PARTITION BY x.vec_id ORDER BY round(list_dot_product(x.u, y.u), 9) DESC, y.vec_id) AS rank FROM v1 x JOIN v1 y ON x.vec_id <> y.vec_id WHERE x.vec_id % 20 = 0)"
