@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from fumikura.functions import keys, marks, text
+from fumikura.functions import keys, marks, structure, text
 from fumikura.operators import resolve
 from fumikura.operators import tokens as tk
 from fumikura.queries.base import PUNCT, ST, TOK, UNKNOWN, sql_category, sql_narrow, sql_strip, tok, with_
@@ -230,12 +232,74 @@ def html_text(s, d):
     return _docs(s, d).select("doc_id", F.length(marks.html_text("text")).alias("chars"))
 
 
+def _pages(s, d):
+    """Every document as a page: lines with breaks, notes as spans, glosses as ruby, a division too many closed."""
+    t = F.translate(F.col("text"), "<>&", "")
+    t = F.regexp_replace(F.regexp_replace(t, "([一-鿿々]+)《([^《》\\n]*)》", "<ruby>$1<rt>$2</rt></ruby>"), "(［＃[^］\\n]*］)", '<span class="notes">$1</span>')
+    page = F.concat(F.lit('<html><body><div class="header">x</div><div class="main_text">'), F.regexp_replace(t, "\\n", "<br />\n"), F.lit('<div>y</div></div>z</div><div class="bibliographical_information">底本：w</div></body></html>'))
+    return _docs(s, d).select("doc_id", "text", page.alias("page"))
+
+
+def page_fragments(s, d):
+    f = _pages(s, d).select("doc_id", structure.surplus_of("page").alias("surplus"), structure.fragments_of("page").alias("f"))
+    n = lambda k: F.size(F.filter("f", lambda x: x["kind"] == k)).alias(k)
+    return f.select("doc_id", "surplus", n("ruby"), n("note"))
+
+
+def text_streams(s, d):
+    """Characters of each stream; narration and speech are the whole text less its notes, but for the marks' lines."""
+    t = structure.streams(_docs(s, d))
+    p = t.withColumn("text", F.regexp_replace("text", "\\n", "")).groupBy("doc_id").pivot("stream", list(structure.STREAMS)).agg(F.sum(F.length("text")))
+    return p.select("doc_id", "full", (F.col("narration") + F.col("speech")).alias("told_and_said"), (F.col("speech") <= F.col("full")).alias("speech_within"), (F.col("embedded") <= F.col("full")).alias("embedded_within"))
+
+
+def framed_texts(s, d):
+    """Documents with a letter of ten paragraphs put in: what is inserted is set against the frame."""
+    letter = "\n".join(f"「私は{k}度、書いた。自分でも読んだ。" for k in range(10)) + "」"
+    t = _docs(s, d).where("text not like '%「%' and text not like '%」%' and text not like '%見出し%'").select("doc_id", F.concat("text", F.lit("\n" + letter)).alias("text"))
+    return structure.framing(structure.streams(t, narration_without_inserted=True), least=100)
+
+
+def quote_parts(s, d):
+    r = _docs(s, d).select("doc_id", F.explode(structure.rendered_of("text")).alias("x"))
+    return r.groupBy("x.kind", "x.part").agg(F.count("*").alias("parts"), F.count_distinct("doc_id").alias("docs"))
+
+
+def quote_events(s, d):
+    e = _docs(s, d).select("doc_id", F.explode(structure.scan_events(F.split("text", "\n"))).alias("x"))
+    return e.groupBy("x.kind").agg(F.count("*").alias("events"), F.count_distinct("doc_id").alias("docs"))
+
+
+def quote_patterns(s, d):
+    e = _docs(s, d).select(F.explode(F.split("text", "\n")).alias("line"))
+    return e.agg(*(F.count_if(c).alias(k) for k, c in structure.approximate(F.col("line")).items()))
+
+
+def glyph_definitions(s, d):
+    rows = [("a", "standard", "㋤"), ("a", "PUA", "U+E001"), ("b", "pua", "U+E002"), ("c", "standard", " "), ("d", "PUA", "x"), ("", "standard", "y"), ("e", "Standard", "〼")]
+    return structure.glyph_map(s.createDataFrame(rows, "glyph_id string, type string, value string"))
+
+
+@F.pandas_udf(T.BinaryType())
+def _encoded(text: pd.Series, way: pd.Series) -> pd.Series:
+    def one(t, k):
+        name, codec = (("utf-8", "utf-8"), ("Shift_JIS", "cp932"), ("euc-jp", "euc_jp"))[k]
+        try:
+            return f"<!--{'x' * 3000}--><meta charset='{name}'>{t}".encode(codec)
+        except UnicodeEncodeError:
+            return f"<meta charset=utf-8>{t}".encode()
+
+    return pd.Series([one(t, k) for t, k in zip(text, way)])
+
+
 def decoded_pages(s, d):
-    raw = F.concat(F.encode(F.lit("<meta charset=utf-8>"), "UTF-8"), F.encode(F.col("text"), "UTF-8"))
-    return _docs(s, d).select("doc_id", (F.length(marks.decode_page(raw)) - 20).alias("chars"))
+    """Every document in one of three encodings, declared as late as it may be, comes back as it was."""
+    t = _docs(s, d).where("text not like '%\\\\%' and text not like '%~%'")
+    t = t.select("doc_id", "text", marks.decode_page(_encoded("text", F.pmod("doc_id", F.lit(3)).cast("int"))).alias("x"))
+    return t.select("doc_id", F.endswith(F.col("x"), F.col("text")).alias("same"))
 
 
-QUERIES = {f.__name__: f for f in (first_media, display_forms, token_guard, katakana_keys, title_keys, year_ranges, ndc_genres, year_bands, style_classes, style_confusion, work_labels, note_classes, glosses, char_profile, sentence_profile, tidy_lengths, paragraph_rows, speech_marks, speech_share, stream_sizes, colophons, unknown_classes, unknown_pos, katakana_groups, forced_splits, key_variant_join, unmatched_report, resolve_rank, match_misses, merged_volumes, filled_blanks, iteration_marks, quote_scan, html_text, decoded_pages)}
+QUERIES = {f.__name__: f for f in (page_fragments, text_streams, framed_texts, quote_parts, quote_events, quote_patterns, glyph_definitions, first_media, display_forms, token_guard, katakana_keys, title_keys, year_ranges, ndc_genres, year_bands, style_classes, style_confusion, work_labels, note_classes, glosses, char_profile, sentence_profile, tidy_lengths, paragraph_rows, speech_marks, speech_share, stream_sizes, colophons, unknown_classes, unknown_pos, katakana_groups, forced_splits, key_variant_join, unmatched_report, resolve_rank, match_misses, merged_volumes, filled_blanks, iteration_marks, quote_scan, html_text, decoded_pages)}
 
 _DOC = "dc AS (SELECT * FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)"
 _AK = lambda c: f"regexp_replace({c}, '[\\s\\x{{3000}}・･]', '', 'g')"
@@ -278,6 +342,12 @@ SQL = {
     "first_media": r"""WITH m AS (SELECT DISTINCT id, first_medium, title_aozora AS t, year_first AS y, ('0x' || substring(md5(id), 1, 2))::INTEGER % 6 AS n FROM corpus_metadata_v2 WHERE id IS NOT NULL), l AS (SELECT id, first_medium AS stated, CASE n WHEN 0 THEN '「' || t || '」 ' || y WHEN 1 THEN t || '書院、' || y WHEN 2 THEN '東京日日、' || y WHEN 3 THEN '第三巻第二号 ' || y WHEN 4 THEN t || ' 1910年6月14日' ELSE '不詳' END AS line FROM m),
 k AS (SELECT id, stated, line, unnest([stated, line]) AS x, unnest([1, 2]) AS which FROM l), c AS (SELECT *, trim(coalesce(x, ''), ' ') AS z FROM k), r AS (SELECT id, stated, line, which, CASE WHEN regexp_matches(z, '新聞|日日|日々|朝日|読売|報知|時事|萬朝報|万朝報') THEN 'newspaper' WHEN regexp_matches(z, '[号號]|附録') THEN 'magazine' WHEN regexp_matches(z, '(書店|書院|書房|社|館|堂|刊)[、,]?\s*\d{4}') THEN 'book' WHEN regexp_matches(z, '^「[^」]+」\s*\d{4}') THEN 'magazine' WHEN regexp_matches(z, '\d{4}[^\d]*\d{1,2}月\d{1,2}日') THEN 'book' ELSE '' END AS m FROM c)
 SELECT DISTINCT a.id, a.stated, a.m AS of_stated, b.m AS of_line FROM r a JOIN r b ON a.id = b.id AND a.stated IS NOT DISTINCT FROM b.stated AND a.line IS NOT DISTINCT FROM b.line AND a.which = 1 AND b.which = 2""",
+    "decoded_pages": with_(_DOC) + r"SELECT doc_id, true AS same FROM dc WHERE NOT contains(text, '\\') AND NOT contains(text, '~')".replace("\\\\", "\\"),
+    "page_fragments": with_(_DOC) + ", t AS (SELECT doc_id, translate(text, '<>&', '') AS t FROM dc), r AS (SELECT doc_id, t, regexp_replace(t, '[一-鿿々]+《[^《》\\n]*》', '', 'g') AS u FROM t) SELECT doc_id, 1 AS surplus, CAST(len(regexp_extract_all(t, '[一-鿿々]+《[^《》\\n]*》')) AS INTEGER) AS ruby, CAST(len(regexp_extract_all(t, '［＃[^］\\n]*］')) AS INTEGER) AS note FROM r",
+    "text_streams": with_(_DOC) + ", t AS (SELECT doc_id, CAST(length(replace(regexp_replace(text, '［＃[^］\\n]*］', '', 'g'), chr(10), '')) AS BIGINT) AS n FROM dc) SELECT doc_id, n AS \"full\", n AS told_and_said, true AS speech_within, true AS embedded_within FROM t",
+    "framed_texts": with_(_DOC) + ", t AS (SELECT doc_id, replace(regexp_replace(text, '［＃[^］\\n]*］', '', 'g'), chr(10), '') AS x FROM dc WHERE text NOT LIKE '%「%' AND text NOT LIKE '%」%' AND text NOT LIKE '%見出し%') SELECT doc_id, CAST(181 AS INTEGER) AS inserted_chars, CAST(length(x) AS INTEGER) AS narration_chars, round(181 / (181 + length(x)), 3) AS inserted_share, round(10 / 181 * 1e4, 1) AS i_inserted, round((length(x) - length(replace(x, '私', ''))) / greatest(length(x), 1) * 1e4, 1) AS i_narration FROM t",
+    "quote_patterns": with_(_DOC) + ", l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM dc) SELECT count(*) FILTER (WHERE regexp_matches(line, '「[^「」]*$')) AS \"A\", count(*) FILTER (WHERE regexp_matches(line, '^[^「」]*」')) AS \"B\", count(*) FILTER (WHERE regexp_matches(line, '「[^「」]*「')) AS \"C\", count(*) FILTER (WHERE regexp_matches(line, '」[^「」]*」')) AS \"D\", count(*) FILTER (WHERE regexp_matches(line, '「[、。）]')) AS \"E\" FROM l",
+    "glyph_definitions": "SELECT * FROM (VALUES ('a', '㋤'), ('b', chr(57346)), ('e', '〼')) t(glyph_id, ch)",
     "display_forms": with_(TOK) + "SELECT DISTINCT lemma, regexp_replace(lemma, '-[A-Za-z][A-Za-z .''-]*$', '') AS shown FROM tok WHERE lemma <> ''",
     "token_guard": with_(_DOC) + f", t AS (SELECT doc_id, length({_BODY}) AS c, len(list_filter(regexp_split_to_array(text, '{_WH}+'), lambda x: x <> '')) AS n FROM dc) SELECT doc_id, CASE WHEN n > 0 THEN round(c / n, 4) END AS mean_length, coalesce(n > 0 AND c / n > 8, false) AS refused FROM t",
     "style_confusion": "WITH m AS (SELECT DISTINCT id, try_cast(bungo_per10k AS DOUBLE) AS b, try_cast(kogo_per10k AS DOUBLE) AS k FROM corpus_metadata_v2 WHERE id IS NOT NULL), c AS (SELECT id, CASE WHEN b IS NULL OR k IS NULL THEN NULL WHEN b >= 80 AND round(coalesce(b / nullif(b + k, 0), 0), 3) >= 0.2e0 THEN 'A' WHEN round(coalesce(b / nullif(b + k, 0), 0), 3) <= 0.1e0 THEN 'C' ELSE 'B' END AS style, b, k FROM m), t AS (SELECT DISTINCT id, substring(" + sql_strip(sql_narrow("style_class")) + ", 1, 1) AS stated FROM corpus_metadata_v2 WHERE id IS NOT NULL) SELECT stated, style, count(*) AS works FROM c JOIN t USING (id) GROUP BY ALL",

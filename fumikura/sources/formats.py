@@ -103,8 +103,11 @@ def resolve_glyphs(notes: DataFrame, supplement: DataFrame, note: str = "note")
     plane-row-cell, then U+hex; unresolved ones get the geta mark.  Distinct notes are resolved once."""
     spark = notes.sparkSession
     d = notes.select(note).where(F.col(note).isNotNull()).distinct()
-    sup = F.broadcast(supplement.limit(100_001))  # an editor's list; more is not one
-    s = d.join(sup, F.col(note).contains(F.col("key"))).groupBy(note).agg(F.max_by("ch", F.struct(F.length("key"), "key")).alias("s"))
+    # candidates by the pairs of letters that note and key share, so the list may be of any size
+    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda p: F.substring(c, p, F.lit(2)))
+    keys = supplement.where("key <> ''").select("key", "ch", F.substring("key", 1, 2).alias("gram"))
+    parts = d.select(note, F.explode(F.array_distinct(F.concat(grams(F.col(note)), F.split(note, "")))).alias("gram"))
+    s = parts.join(keys, "gram").where(F.col(note).contains(F.col("key"))).groupBy(note).agg(F.max_by("ch", F.struct(F.length("key"), "key")).alias("s"))
     at = [F.regexp_extract(note, "([12])-([0-9]{1,2})-([0-9]{1,2})", k).try_cast("int").alias(n) for k, n in ((1, "plane"), (2, "row"), (3, "cell"))]
     m = d.select(note, *at).join(F.broadcast(menkuten_table(spark).withColumnRenamed("ch", "m")), ["plane", "row", "cell"], "left").select(note, "m")
     u = F.regexp_extract(note, "U\\+([0-9A-Fa-f]{4,5})", 1)
