@@ -295,7 +295,7 @@ class _Walk(HTMLParser):
             self._add("break", "\n")
         if tag == "img" and ("gaiji" in name or "※" in (a.get("alt") or "")):
             alt = a.get("alt") or ""
-            bare = re.sub("^※?[（(]?|[、,].*$", "", alt)
+            bare = re.sub("[※（）()]|[、,].*$", "", alt)
             self._add("glyph", glyph_of(alt) or (bare if len(bare) == 1 else None) or glyph_of(a.get("src") or "") or LOST, alt)
         if tag in _VOID:
             return

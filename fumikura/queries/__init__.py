@@ -10,7 +10,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("corpus", "concordance", "stylometry", "vectors", "topics", "quality", "texts", "streams")
+MODULES = ("corpus", "concordance", "stylometry", "vectors", "topics", "quality", "texts", "metadata", "streams")
 
 
 def _all(what: str) -> dict:
