@@ -7,7 +7,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fumikura.operators.stats import with_rank
-from fumikura.operators.stylometry import pairs
+from fumikura.operators.stylometry import js_divergence, pairs
+
+
+def without_stopwords(chunks: DataFrame, stop: DataFrame) -> DataFrame:
+    """(chunk, terms) without the terms of a list (term); chunks that keep none stay, with no term.  The list is joined
+    to the distinct terms, so it may be of any size."""
+    e = chunks.select("chunk", F.posexplode_outer("terms").alias("p", "term"))
+    kept = e.join(stop.select("term").distinct(), "term", "left_anti")
+    g = kept.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("p", "term")))), lambda x: x["term"]).alias("terms"))
+    return chunks.select("chunk").join(g, "chunk", "left").select("chunk", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
+
+
+def training_record(stop: DataFrame, **parameters) -> dict:
+    """What a model was trained with: the parameters, and the stop list's size and digest (whatever its order)."""
+    h = F.sha1("term")
+    quarter = lambda k: F.conv(F.substring(h, 8 * k + 1, 8), 16, 10).cast("decimal(38,0)")
+    row = stop.select("term").distinct().agg(F.count("*").alias("n"), *(F.coalesce(F.sum(quarter(k)), F.lit(0)).cast("string").alias(f"d{k}") for k in range(5))).first()
+    return {**parameters, "stop_words": row["n"], "stop_digest": "-".join(row[f"d{k}"] for k in range(5))}
 
 
 def fit_lda(chunks: DataFrame, k: int = 10, seed: int = 1, max_iter: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -46,6 +63,20 @@ def read_word_topics(lines: DataFrame, value: str = "value") -> DataFrame:
     return d.select(F.substring_index("tc", ":", 1).cast("int").alias("topic"), "term", F.substring_index("tc", ":", -1).cast("bigint").alias("n"))
 
 
+def read_topic_keys(lines: DataFrame, value: str = "value") -> DataFrame:
+    """(topic, alpha, words) from lines of topic, weight and its words, separated by tabs; other lines are left out."""
+    p = F.split(F.col(value), "\t")
+    d = lines.where(F.size(p) >= 3).select(F.get(p, F.lit(0)).try_cast("int").alias("topic"), F.get(p, F.lit(1)).try_cast("double").alias("alpha"), F.filter(F.split(F.get(p, F.lit(2)), " "), lambda w: w != "").alias("words"))
+    return d.where("topic is not null")
+
+
+def read_diagnostics(xml: DataFrame, names: tuple[str, ...] = ("coherence", "exclusivity", "effective_words"), value: str = "value") -> DataFrame:
+    """(topic, one column a name) from the attributes of the topic elements of diagnostics documents."""
+    tag = xml.select(F.explode(F.regexp_extract_all(value, F.lit("<topic\\b([^>]*)>"), F.lit(1))).alias("a"))
+    cell = lambda n: F.nullif(F.regexp_extract("a", f"\\b{n}=[\"']([^\"']*)[\"']", 1), F.lit(""))
+    return tag.select(cell("id").try_cast("int").alias("topic"), *(cell(n.replace("_", "[_-]")).try_cast("double").alias(n) for n in names)).where("topic is not null")
+
+
 def mean_theta(theta: DataFrame, attributes: DataFrame | None = None, by: str | None = None) -> DataFrame:
     """Mean share per topic, or per attribute value and topic (blank values left out), with the chunks it rests on."""
     if by is None:
@@ -84,8 +115,8 @@ def vectors(table: DataFrame, unit: str, item: str, value: str) -> DataFrame:
 
 
 def relatedness(theta: DataFrame, phi: DataFrame, top: int = 500) -> DataFrame:
-    """Pairs of topics: cosine distance of term shares, Delta over the ``top`` terms (z over topics, sample
-    deviation), and correlation of centred log shares over chunks."""
+    """Pairs of topics: cosine distance of term shares, Delta and Cosine Delta over the ``top`` terms (z over topics,
+    sample deviation), Jensen-Shannon divergence over all terms, correlation of centred log shares over chunks."""
     t = phi.groupBy("topic").agg(F.sum("n").alias("nt"))
     best = phi.groupBy("term").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "term").limit(top).select("term")
     rel = phi.join(F.broadcast(best), "term").join(F.broadcast(t), "topic").select("topic", "term", (F.col("n") / F.col("nt")).alias("rel"))
@@ -98,7 +129,9 @@ def relatedness(theta: DataFrame, phi: DataFrame, top: int = 500) -> DataFrame:
     c = theta.withColumn("c", lg).join(theta.groupBy("chunk").agg(F.avg(lg).alias("g")), "chunk").select("chunk", "topic", (F.col("c") - F.col("g")).alias("c"))
     cc = c.alias("x").join(c.alias("y"), "chunk").where("x.topic < y.topic").groupBy(F.col("x.topic").alias("a"), F.col("y.topic").alias("b"))
     cc = cc.agg(F.round(F.covar_pop("x.c", "y.c") / F.nullif(F.stddev_pop("x.c") * F.stddev_pop("y.c"), F.lit(0.0)), 5).alias("clr_corr"))
-    return cos.join(dlt, ["a", "b"]).join(cc, ["a", "b"])
+    cdl = pairs(vectors(z, "topic", "term", "z"), "topic", "cosine", "cosine_delta", 5)
+    jsd = js_divergence(phi.join(F.broadcast(t), "topic").select("topic", "term", (F.col("n") / F.col("nt")).alias("p")), "topic", "term", "p")
+    return cos.join(dlt, ["a", "b"]).join(cdl, ["a", "b"]).join(jsd, ["a", "b"]).join(cc, ["a", "b"])
 
 
 def shares_of_works(theta: DataFrame, work: Column) -> DataFrame:
@@ -110,6 +143,15 @@ def shares_of_works(theta: DataFrame, work: Column) -> DataFrame:
     return j.select("work", "topic", F.round(F.col("s") / F.nullif(F.col("sw"), F.lit(0.0)), 6).alias("topic_in_work"), F.round(share, 6).alias("work_in_topic"), (share > 0.5).alias("concentrated"))
 
 
+def author_mass(theta: DataFrame, authors: DataFrame) -> DataFrame:
+    """Share of each topic that each author's chunks hold, and whether it is more than half; ``authors`` (chunk, author),
+    chunks without one are left out."""
+    g = theta.join(authors.where("author is not null"), "chunk").groupBy("topic", "author").agg(F.sum("p").alias("s"))
+    t = g.groupBy("topic").agg(F.sum("s").alias("st"))
+    share = F.col("s") / F.nullif(F.col("st"), F.lit(0.0))
+    return g.join(F.broadcast(t), "topic").select("topic", "author", F.round(share, 6).alias("share"), (share > 0.5).alias("concentrated"))  # a row a topic
+
+
 def entropy(theta: DataFrame) -> DataFrame:
     """Entropy of each chunk's shares in nats."""
     return theta.groupBy("chunk").agg(F.round(-F.sum(F.col("p") * F.ln(F.col("p") + 1e-12)), 6).alias("entropy"))
@@ -175,6 +217,45 @@ def representative(theta: DataFrame, k: int = 5) -> DataFrame:
     return theta.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("topic", "rank", "chunk", F.round("p", 6).alias("p"))
 
 
+def term_profile(phi: DataFrame, k: int = 10) -> DataFrame:
+    """Per topic: exclusivity (mean over its k most frequent terms of the topic's part of the term's shares in all
+    topics), effective words (1 / sum of squared shares) and the divergence from the corpus (sum p ln p / q)."""
+    t = phi.groupBy("topic").agg(F.sum("n").alias("nt"))
+    p = phi.join(F.broadcast(t), "topic").select("topic", "term", "n", (F.col("n") / F.col("nt")).alias("p"))  # a row a topic
+    total = t.agg(F.sum("nt").alias("total"))
+    w = p.groupBy("term").agg(F.sum("p").alias("all_p"), F.sum("n").alias("nw"))
+    r = Window.partitionBy("topic").orderBy(F.desc("n"), "term")
+    j = p.join(w, "term").crossJoin(F.broadcast(total)).withColumn("r", F.row_number().over(r))  # one row
+    q = F.col("nw") / F.col("total")
+    return j.groupBy("topic").agg(F.round(F.avg(F.when(F.col("r") <= k, F.col("p") / F.col("all_p"))), 6).alias("exclusivity"), F.round(1 / F.sum(F.col("p") * F.col("p")), 4).alias("effective_words"), F.round(F.sum(F.col("p") * F.ln(F.col("p") / q)), 6).alias("corpus_dist"))
+
+
+def sweep(chunks: DataFrame, ks: list[int], seed: int = 1, max_iter: int = 10, top: int = 10) -> DataFrame:
+    """k, coherence, exclusivity: means over the topics of a model for each number of topics.  Weights of the fitted
+    models take the place of counts."""
+    out = None
+    for k in ks:
+        _, phi = fit_lda(chunks, k, seed, max_iter)
+        phi = phi.withColumnRenamed("weight", "n")
+        m = coherence(phi, chunks, top).agg(F.round(F.avg("coherence"), 4).alias("coherence")).crossJoin(term_profile(phi, top).agg(F.round(F.avg("exclusivity"), 4).alias("exclusivity")))  # one row each
+        m = m.select(F.lit(k).alias("k"), "coherence", "exclusivity")
+        out = m if out is None else out.union(m)
+    return out
+
+
+def chosen_terms(phi: DataFrame, lexicon: DataFrame, least: int = 1, pos: list[str] | None = None, max_docs: float = 1.0, max_work_share: float = 1.0, max_dp: float = 1.0) -> DataFrame:
+    """Rows of phi whose term passes the filters: frequency in the corpus, part of speech, share of the works that have
+    it, share of its largest work, dispersion.  Filters are strict, a term the lexicon lacks is left out."""
+    works = lexicon.agg(F.max("docs").alias("most"))
+    lx = lexicon.crossJoin(F.broadcast(works)).where((F.col("count") >= least) & (F.col("docs") / F.col("most") <= max_docs) & (F.col("top_work_share") <= max_work_share) & (F.col("dp") <= max_dp))  # one row
+    if pos:
+        fits = F.lit(False)
+        for x in pos:
+            fits = fits | (F.col("pos") == x) | F.startswith(F.col("pos"), F.lit(f"{x}-"))
+        lx = lx.where(fits)
+    return phi.join(lx.select("term"), "term", "left_semi")
+
+
 def coherence(phi: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     """UMass coherence of each topic's k most frequent terms over chunk co-occurrence."""
     w = Window.partitionBy("topic").orderBy(F.desc("n"), "term")

@@ -135,6 +135,80 @@ def word_vectors(sentences: DataFrame, dims: int = 50, window: int = 3, min_coun
     return m.getVectors().select(F.col("word").alias("term"), vector_to_array("vector").alias("vec"))
 
 
+def balanced(units: DataFrame, by: str, key: str, seed: int = 42, per_author: int | None = None, author: str = "author") -> DataFrame:
+    """Rows of as many units in every slice as the smallest has, by hash; first at most ``per_author`` of an author in
+    a slice (rows without an author count as one).  Ranks inside a slice come from counts of hash ranges."""
+    u = units.withColumn("_h", draw_order(seed, key))
+    if per_author is not None:
+        u = u.withColumn("_r", F.row_number().over(Window.partitionBy(by, author).orderBy("_h", key))).where(F.col("_r") <= per_author).drop("_r")
+    least = u.groupBy(by).agg(F.count("*").alias("n")).agg(F.min("n").alias("least"))
+    u = u.withColumn("_part", F.substring("_h", 1, 2))
+    per = u.groupBy(by, "_part").agg(F.count("*").alias("c"))
+    before = per.select(by, "_part", (F.sum("c").over(Window.partitionBy(by).orderBy("_part")) - F.col("c")).alias("_b"))  # 256 rows a slice
+    r = u.join(before, [by, "_part"]).withColumn("_r", F.col("_b") + F.row_number().over(Window.partitionBy(by, "_part").orderBy("_h", key)))
+    return r.crossJoin(F.broadcast(least)).where(F.col("_r") <= F.col("least")).drop("_h", "_part", "_b", "_r", "least")  # one row
+
+
+def drift_over_runs(runs: list[DataFrame]) -> DataFrame:
+    """Per term that every run has: mean, sample deviation, coefficient of variation, least and largest drift from the
+    first to the last slice, and the step that is most often the largest (ties by name)."""
+    every = None
+    for k, r in enumerate(runs):
+        x = r.select("term", "drift_first_last", "max_step_at", F.lit(k).alias("run"))
+        every = x if every is None else every.union(x)
+    d = F.col("drift_first_last")
+    g = every.groupBy("term").agg(F.count("*").alias("runs"), F.avg(d).alias("m"), F.stddev_samp(d).alias("sd"), F.min(d).alias("drift_min"), F.max(d).alias("drift_max"), F.mode("max_step_at", True).alias("max_step_at")).where(F.col("runs") == len(runs))
+    return g.select("term", "runs", F.round("m", 6).alias("drift_mean"), F.round("sd", 6).alias("drift_sd"), F.round(F.col("sd") / F.nullif(F.col("m"), F.lit(0.0)), 6).alias("drift_cv"), "drift_min", "drift_max", "max_step_at")
+
+
+def neighbour_stability(runs: list[DataFrame]) -> DataFrame:
+    """Per query: the mean Jaccard similarity of its neighbours (q, key) over all pairs of runs; runs are few."""
+    sets = [r.groupBy("q").agg(F.collect_set("key").alias(f"s{k}")) for k, r in enumerate(runs)]
+    j = sets[0]
+    for x in sets[1:]:
+        j = j.join(x, "q")
+    both = [F.size(F.array_intersect(f"s{a}", f"s{b}")) / F.size(F.array_union(f"s{a}", f"s{b}")) for a in range(len(runs)) for b in range(a + 1, len(runs))]
+    return j.select("q", F.round(sum(both[1:], both[0]) / len(both), 6).alias("jaccard"))
+
+
+def quartiles(drifts: DataFrame, value: str, label: str) -> DataFrame:
+    """Rows, quartiles and the largest value of a drift table, under a label."""
+    p = lambda q: F.round(F.percentile(value, q), 6)
+    return drifts.agg(F.count("*").alias("terms"), p(0.25).alias("q1"), p(0.5).alias("median"), p(0.75).alias("q3"), F.round(F.max(value), 6).alias("most")).select(F.lit(label).alias("labels"), "*")
+
+
+def chunk_vectors(chunks: DataFrame, words: DataFrame) -> DataFrame:
+    """(chunk, vec): the mean of the vectors of a chunk's known words, which stands for a paragraph-vector model here;
+    chunks without a known word have none."""
+    e = chunks.select("chunk", F.explode("terms").alias("term")).join(words, "term").select("chunk", F.posexplode("vec").alias("d", "x"))
+    g = e.groupBy("chunk", "d").agg(F.avg("x").alias("x"))
+    return g.groupBy("chunk").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda y: y["x"]).alias("vec"))
+
+
+def cover(terms: DataFrame, known: DataFrame, least: float = 0.6) -> DataFrame:
+    """How many of the terms have a row in ``known`` (term), their share, and whether it is enough to go by."""
+    g = terms.select("term").distinct().join(known.select("term").distinct().withColumn("k", F.lit(1)), "term", "left").agg(F.count("*").alias("terms"), F.count("k").alias("known"))
+    share = F.col("known") / F.nullif(F.col("terms"), F.lit(0))
+    return g.select("terms", "known", F.round(share, 6).alias("share"), (share >= least).alias("enough"))
+
+
+def fold_stratified(v: DataFrame, key: str, label: str, k: int = 5, seed: int = 0) -> DataFrame:
+    """A fold of each labelled row such that every label is spread over all folds: rows of a label in the order of a
+    hash, ranks from counts of hash ranges, dealt in turn."""
+    d = v.where(F.col(label).isNotNull()).withColumn("_h", draw_order(seed, key)).withColumn("_part", F.substring("_h", 1, 2))
+    per = d.groupBy(label, "_part").agg(F.count("*").alias("c"))
+    before = per.select(label, "_part", (F.sum("c").over(Window.partitionBy(label).orderBy("_part")) - F.col("c")).alias("_b"))  # 256 rows a label
+    r = d.join(before, [label, "_part"]).withColumn("fold", ((F.col("_b") + F.row_number().over(Window.partitionBy(label, "_part").orderBy("_h", key)) - 1) % k).cast("int"))
+    return r.drop("_h", "_part", "_b")
+
+
+def preservation(a: DataFrame, b: DataFrame, key: str, queries: Column, k: int = 5) -> DataFrame:
+    """Of two spaces of the same rows: the mean share of the queries' k nearest rows in ``a`` that are so in ``b``."""
+    x, y = (neighbours(v, key, queries, k).select("q", "key") for v in (a, b))
+    j = x.join(y.withColumn("kept", F.lit(1)), ["q", "key"], "left").groupBy("q").agg((F.count("kept") / F.count("*")).alias("p"))
+    return j.agg(F.count("*").alias("units"), F.round(F.avg("p"), 6).alias("preserved"))
+
+
 def fold_by_group(v: DataFrame, group: str, k: int = 5) -> DataFrame:
     """A fold of each row such that a group is in one fold: groups in the order of their size, dealt to the folds
     there and back.  The order comes from counts of sizes first, then of hash ranges, so no task sees all groups."""
@@ -148,8 +222,9 @@ def fold_by_group(v: DataFrame, group: str, k: int = 5) -> DataFrame:
     return v.join(r.select(group, F.when(F.col("r") < k, F.col("r")).otherwise(2 * k - 1 - F.col("r")).cast("int").alias("fold")), group)
 
 
-def grouped_accuracy(v: DataFrame, label: str, group: str, k: int = 5, vec: str = "vec") -> DataFrame:
-    """Accuracy of a multinomial logistic classifier over folds by group, and of the majority label."""
+def grouped_accuracy(v: DataFrame, label: str, group: str, k: int = 5, vec: str = "vec", stratified: str | None = None) -> DataFrame:
+    """Accuracy of a multinomial logistic classifier over folds by group, or over folds stratified by label if
+    ``stratified`` names the rows' key, and of the majority label."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, StringIndexer
@@ -157,7 +232,8 @@ def grouped_accuracy(v: DataFrame, label: str, group: str, k: int = 5, vec: str
 
     from fumikura.sources.stage import stage
 
-    d = fold_by_group(v.where(F.col(label).isNotNull() & F.col(group).isNotNull()), group, k).withColumn("x", array_to_vector(F.col(vec).cast("array<double>")))
+    rows = v.where(F.col(label).isNotNull() & F.col(group).isNotNull())
+    d = (fold_stratified(rows, stratified, label, k) if stratified else fold_by_group(rows, group, k)).withColumn("x", array_to_vector(F.col(vec).cast("array<double>")))
     d = StringIndexer(inputCol=label, outputCol="y", stringOrderType="alphabetAsc").fit(d).transform(d)
     d = stage(d.select("y", "x", "fold"), "folds")  # read by every fold
     pipe = Pipeline(stages=[StandardScaler(withMean=True, inputCol="x", outputCol="z"), LogisticRegression(featuresCol="z", labelCol="y", maxIter=50, regParam=0.01)])

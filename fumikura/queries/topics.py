@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fumikura.operators import stats
 from fumikura.operators import tokens as tk
 from fumikura.operators import topics as tp
 from fumikura.queries.base import ATT, CONTENT, TOK, attributes, tok, with_
@@ -64,7 +65,7 @@ def relevance(s, d):
 
 def topic_relatedness(s, d):
     _, theta, phi = _tables(s, d)
-    return tp.relatedness(theta, phi, 200)
+    return tp.relatedness(theta, phi, 500)
 
 
 def topic_work_shares(s, d):
@@ -123,7 +124,51 @@ def lda_fit(s, d):
     return theta.groupBy("topic").agg(F.round(F.avg("p"), 4).alias("mean"), F.count("*").alias("chunks"))
 
 
-QUERIES = {f.__name__: f for f in (topic_means, topic_by_period, topic_by_genre, topic_lift, topic_entropy, relevance, topic_relatedness, topic_work_shares, topic_graph, topic_bipartite, topic_communities, topic_modularity, topic_profiles, topic_representatives, topic_coherence, topic_fingerprint, doc_topics_read, lda_fit)}
+def topic_terms(s, d):
+    return tp.term_profile(_tables(s, d)[2])
+
+
+def topic_authors(s, d):
+    return tp.author_mass(_tables(s, d)[1], _att(s, d).select("chunk", "author"))
+
+
+def topic_filtered(s, d):
+    """Relevant terms of the topics among nouns and verbs that no work holds for itself."""
+    lex = stats.lexicon(tok(s, d, "lemma_key", "pos1", "pos2", "pos3"), attributes(s, d).select("work_stem", "period", "author"))
+    return tp.relevance(tp.chosen_terms(_tables(s, d)[2], lex, 5, ["名詞", "動詞"], 0.9, 0.8, 0.95), 0.6, 5)
+
+
+def stopped_chunks(s, d):
+    """Chunks without the most frequent fifty terms."""
+    c = _chunks(s, d).select("chunk", "terms")
+    stop = tk.mfw(tok(s, d, "lemma_key"), 50).select("term")
+    return tp.without_stopwords(c, stop).select("chunk", F.size("terms").alias("left"))
+
+
+def topic_keys_read(s, d):
+    """Lines of topic, weight and words made of the relevant terms, read again."""
+    r = tp.relevance(_tables(s, d)[2], 1.0, 5).groupBy("topic").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]), " ").alias("w"))
+    k = tp.read_topic_keys(r.select(F.concat_ws("\t", "topic", F.lit("0.5"), "w").alias("value")))
+    return k.select("topic", "alpha", F.size("words").alias("words"))
+
+
+def lda_sweep(s, d):
+    """Models of the stopped chunks for three numbers of topics; compared by properties in the tests."""
+    c = stage(tp.without_stopwords(_chunks(s, d).select("chunk", "terms"), tk.mfw(tok(s, d, "lemma_key"), 50).select("term")), "stopped")
+    return tp.sweep(c, [3, 5, 8], max_iter=5)
+
+
+def lda_chain(s, d):
+    """From a fitted model to what is made of it: topics with their terms, their peak period and their largest author."""
+    c = stage(_chunks(s, d).select("chunk", "terms"), "chunks")
+    theta, phi = tp.fit_lda(c, 5)
+    theta, phi = stage(theta, "theta"), stage(phi.withColumnRenamed("weight", "n"), "phi")
+    p = tp.profiles(theta, _att(s, d), "period", phi).select("topic", "peak", "peak_ratio", "words")
+    a = tp.author_mass(theta, _att(s, d).select("chunk", "author")).groupBy("topic").agg(F.max("share").alias("top_author_share"))
+    return p.join(a, "topic").join(tp.term_profile(phi), "topic")
+
+
+QUERIES = {f.__name__: f for f in (topic_terms, topic_authors, topic_filtered, stopped_chunks, topic_keys_read, lda_sweep, lda_chain, topic_means, topic_by_period, topic_by_genre, topic_lift, topic_entropy, relevance, topic_relatedness, topic_work_shares, topic_graph, topic_bipartite, topic_communities, topic_modularity, topic_profiles, topic_representatives, topic_coherence, topic_fingerprint, doc_topics_read, lda_fit)}
 
 _T = f"""ct AS (SELECT work_stem, lemma_key AS term, row_number() OVER (PARTITION BY work_stem ORDER BY vol_no, i) - 1 AS rk FROM tok WHERE {CONTENT} AND lemma_key <> ''),
 c0 AS (SELECT work_stem, work_stem || '#' || CAST(rk // 200 AS VARCHAR) AS chunk, term, count(*) OVER (PARTITION BY work_stem, rk // 200) AS k FROM ct),
@@ -133,7 +178,7 @@ th AS (SELECT cn.chunk, work_stem, CAST(t.topic AS INTEGER) AS topic, coalesce(n
 ta AS (SELECT th.*, period, genre_main FROM th LEFT JOIN att USING (work_stem))"""
 _B = with_(TOK, ATT, _T)
 _RV = "rv AS (SELECT topic, term, n, n / nt AS p, round(0.6e0 * ln(n / nt) + 0.4e0 * ln((n / nt) / (nw / total)), 6) AS relevance FROM phi JOIN (SELECT topic, sum(n) AS nt FROM phi GROUP BY ALL) USING (topic) JOIN (SELECT term, sum(n) AS nw FROM phi GROUP BY ALL) USING (term), (SELECT sum(n) AS total FROM phi) WHERE n >= 3), rk AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY relevance DESC, term) AS rank FROM rv)"
-_REL = """bt AS (SELECT term FROM phi GROUP BY term ORDER BY sum(n) DESC, term LIMIT 200), nt AS (SELECT topic, sum(n) AS nt FROM phi GROUP BY ALL), fl AS (SELECT nt.topic, bt.term, coalesce(n / nt, 0) AS rel FROM nt CROSS JOIN bt LEFT JOIN phi ON phi.topic = nt.topic AND phi.term = bt.term),
+_REL = """bt AS (SELECT term FROM phi GROUP BY term ORDER BY sum(n) DESC, term LIMIT 500), nt AS (SELECT topic, sum(n) AS nt FROM phi GROUP BY ALL), fl AS (SELECT nt.topic, bt.term, coalesce(n / nt, 0) AS rel FROM nt CROSS JOIN bt LEFT JOIN phi ON phi.topic = nt.topic AND phi.term = bt.term),
 zz AS (SELECT topic, term, rel, (rel - avg(rel) OVER (PARTITION BY term)) / (CASE WHEN stddev_samp(rel) OVER (PARTITION BY term) > 0 THEN stddev_samp(rel) OVER (PARTITION BY term) ELSE 1 END) AS z FROM fl),
 r1 AS (SELECT x.topic AS a, y.topic AS b, round(1 - sum(x.rel * y.rel) / (sqrt(sum(x.rel * x.rel)) * sqrt(sum(y.rel * y.rel))), 5) AS cosine, round(avg(abs(x.z - y.z)), 5) AS delta FROM zz x JOIN zz y USING (term) WHERE x.topic < y.topic GROUP BY ALL),
 cl AS (SELECT chunk, topic, ln(p + 1e-12) - avg(ln(p + 1e-12)) OVER (PARTITION BY chunk) AS c FROM th), r2 AS (SELECT x.topic AS a, y.topic AS b, round(covar_pop(x.c, y.c) / nullif(stddev_pop(x.c) * stddev_pop(y.c), 0), 5) AS clr_corr FROM cl x JOIN cl y USING (chunk) WHERE x.topic < y.topic GROUP BY ALL), rel AS (SELECT * FROM r1 JOIN r2 USING (a, b))"""
@@ -147,7 +192,11 @@ SQL = {
     "topic_lift": _B + ", g AS (SELECT period, topic, avg(p) AS m FROM ta WHERE period IS NOT NULL GROUP BY ALL), o AS (SELECT topic, avg(p) AS o FROM th GROUP BY ALL), l AS (SELECT period, topic, round(m / nullif(o, 0), 6) AS lift FROM g JOIN o USING (topic)), r AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY lift DESC NULLS LAST, topic) AS rank FROM l) SELECT * FROM r WHERE rank <= 3",
     "topic_entropy": _B + ", e AS (SELECT chunk, any_value(period) AS period, round(-sum(p * ln(p + 1e-12)), 6) AS entropy FROM ta GROUP BY chunk) SELECT period, count(*) AS chunks, round(avg(entropy), 5) AS mean, round(stddev_pop(entropy), 5) AS sd FROM e GROUP BY period",
     "relevance": with_(TOK, ATT, _T, _RV) + "SELECT topic, term, n, relevance, rank, round(sum(p) OVER (PARTITION BY topic), 6) AS kept_mass FROM rk WHERE rank <= 10",
-    "topic_relatedness": with_(TOK, ATT, _T, _REL) + "SELECT * FROM rel",
+    "topic_relatedness": with_(TOK, ATT, _T, _REL) + ", pj AS (SELECT topic, term, n / nt AS p FROM phi JOIN nt USING (topic)), cm AS (SELECT x.topic AS a, y.topic AS b, sum((-x.p * log2(x.p) - y.p * log2(y.p) + (x.p + y.p) * log2(x.p + y.p)) / 2) AS less FROM pj x JOIN pj y USING (term) WHERE x.topic < y.topic GROUP BY ALL), cd AS (SELECT x.topic AS a, y.topic AS b, round(1 - sum(x.z * y.z) / (sqrt(sum(x.z * x.z)) * sqrt(sum(y.z * y.z))), 5) AS cosine_delta FROM zz x JOIN zz y USING (term) WHERE x.topic < y.topic GROUP BY ALL) SELECT rel.a, rel.b, cosine, delta, cosine_delta, round(greatest(0.0e0, least(1.0e0, 1.0e0 - coalesce(less, 0.0e0))), 6) AS jsd, clr_corr FROM rel JOIN cd USING (a, b) LEFT JOIN cm USING (a, b)",
+    "topic_terms": _B + ", nt AS (SELECT topic, sum(n) AS nt FROM phi GROUP BY ALL), pj AS (SELECT topic, term, n, n / nt AS p FROM phi JOIN nt USING (topic)), w AS (SELECT *, sum(p) OVER (PARTITION BY term) AS ap, sum(n) OVER (PARTITION BY term) / sum(n) OVER () AS q, row_number() OVER (PARTITION BY topic ORDER BY n DESC, term) AS r FROM pj) SELECT topic, round(avg(p / ap) FILTER (WHERE r <= 10), 6) AS exclusivity, round(1 / sum(p * p), 4) AS effective_words, round(sum(p * ln(p / q)), 6) AS corpus_dist FROM w GROUP BY topic",
+    "topic_authors": _B + ", g AS (SELECT topic, author, sum(p) AS s FROM th JOIN att USING (work_stem) WHERE author IS NOT NULL GROUP BY ALL) SELECT topic, author, round(s / sum(s) OVER (PARTITION BY topic), 6) AS share, s / sum(s) OVER (PARTITION BY topic) > 0.5e0 AS concentrated FROM g",
+    "stopped_chunks": _B + ", sw AS (SELECT lemma_key FROM tok WHERE lemma_key <> '' GROUP BY lemma_key ORDER BY count(*) DESC, lemma_key LIMIT 50) SELECT chunk, CAST(count(*) FILTER (WHERE term NOT IN (SELECT lemma_key FROM sw)) AS INTEGER) AS \"left\" FROM c1 GROUP BY chunk",
+    "topic_keys_read": "SELECT CAST(unnest(range(8)) AS INTEGER) AS topic, 0.5e0 AS alpha, 5 AS words",
     "topic_work_shares": with_(TOK, ATT, _T, _WS) + "SELECT * FROM sw",
     "topic_graph": with_(TOK, ATT, _T, _REL) + _GCTE + _GRAPH,
     "topic_modularity": with_(TOK, ATT, _T, _REL) + _GCTE + ", gg AS (SELECT * FROM (" + _GRAPH + ")), ed AS (SELECT a % 3 AS c, weight FROM gg UNION ALL SELECT b % 3, weight FROM gg), kk AS (SELECT c, sum(weight) AS k FROM ed GROUP BY c), mm AS (SELECT sum(weight) AS m, sum(CASE WHEN a % 3 = b % 3 THEN weight ELSE 0 END) AS i FROM gg) SELECT (SELECT count(*) FROM kk) AS communities, round(i / m - (SELECT sum(k * k) FROM kk) / (4 * m * m), 6) AS modularity FROM mm",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fumikura.operators import tokens as tk
 from fumikura.operators import vectors as ve
-from fumikura.queries.base import TOK, attributes, tok, with_
+from fumikura.queries.base import ATT, CONTENT, TOK, attributes, tok, with_
 from fumikura.sources.corpus import table
 from fumikura.sources.stage import stage
 
@@ -65,22 +65,83 @@ def work_vectors(s, d):
     return e.groupBy("work_stem").agg(F.round(F.sqrt(F.sum(F.col("x") * F.col("x"))), 4).alias("norm"), F.count("*").alias("dims"))
 
 
-def _slice_vectors(s, d):
-    p = attributes(s, d).select("work_stem", F.when(F.col("period") <= "4", "early").otherwise("late").alias("slice")).where("period is not null")
-    t = tok(s, d, "lemma_key", sentences=True).where("lemma_key <> ''").join(p, "work_stem")
-    g = t.groupBy("slice", "work_stem", "vol_no", "sent").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "lemma_key"))), lambda x: x["lemma_key"]).alias("words"))
-    return {n: ve.word_vectors(g.where(F.col("slice") == n).select("words").orderBy("words"), 16, 3, 5) for n in ("early", "late")}
+def _slices(s, d):
+    """Sentences of early and late works, as many works of both; a sentence is cut at every 1,000 positions."""
+    p = attributes(s, d).select("work_stem", "author", F.when(F.col("period") <= "4", "early").otherwise("late").alias("slice")).where("period is not null")
+    p = ve.balanced(p, "slice", "work_stem", per_author=20)
+    t = tok(s, d, "lemma_key", sentences=True).where("lemma_key <> ''").join(p, "work_stem").withColumn("cut", F.floor(F.col("i") / 1000))
+    g = t.groupBy("slice", "work_stem", "vol_no", "sent", "cut").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "lemma_key"))), lambda x: x["lemma_key"]).alias("words"))
+    return stage(g, "sentences")
+
+
+def _slice_vectors(s, d, seed=1, slices=None):
+    g = _slices(s, d) if slices is None else slices
+    return {n: stage(ve.word_vectors(g.where(F.col("slice") == n).select("words"), 16, 3, 5, seed), "vectors") for n in ("early", "late")}
+
+
+def _drift(v):
+    return ve.drift({"early": ve.rotate(v["early"], ve.procrustes(v["late"], v["early"])), "late": v["late"]})
 
 
 def drift_table(s, d):
-    v = _slice_vectors(s, d)
-    v["early"] = ve.rotate(v["early"], ve.procrustes(v["late"], v["early"]))
-    return ve.drift(v)
+    return _drift(_slice_vectors(s, d))
+
+
+def drift_runs(s, d):
+    """Drift over three seeds."""
+    g = _slices(s, d)
+    return ve.drift_over_runs([_drift(_slice_vectors(s, d, k, g)) for k in (1, 2, 3)])
+
+
+def drift_control(s, d):
+    """Drift between slices against drift between works dealt to two slices by chance."""
+    g = _slices(s, d)
+    w = g.select("work_stem", "slice").distinct()
+    perm = g.drop("slice").join(ve.permute(w, "work_stem", "slice"), "work_stem")
+    return ve.quartiles(_drift(_slice_vectors(s, d, 1, g)), "drift_first_last", "real").union(ve.quartiles(_drift(_slice_vectors(s, d, 1, stage(perm, "permuted"))), "drift_first_last", "permuted"))
+
+
+def slice_sizes(s, d):
+    """Works in each slice after the balance."""
+    p = attributes(s, d).where("period is not null").select("work_stem", "author", F.when(F.col("period") <= "4", "early").otherwise("late").alias("slice"))
+    return ve.balanced(p, "slice", "work_stem", per_author=20).select("slice", "work_stem")
+
+
+PROBES = ("男", "見る", "雨", "の")
 
 
 def w2v_neighbours(s, d):
+    return ve.neighbours(_slice_vectors(s, d)["late"], "term", F.col("term").isin(*PROBES), 5)
+
+
+def neighbour_stability(s, d):
+    g = _slices(s, d)
+    return ve.neighbour_stability([ve.neighbours(_slice_vectors(s, d, k, g)["late"], "term", F.col("term").isin(*PROBES), 10).select("q", "key") for k in (1, 2, 3)])
+
+
+def w2v_cover(s, d):
+    """How many terms of the model the tokens give a part of speech for."""
     v = _slice_vectors(s, d)["late"]
-    return ve.neighbours(v, "term", F.col("term").isin("男", "見る", "雨", "の"), 5)
+    return ve.cover(v, tok(s, d, "lemma_key", "pos1").where("pos1 <> ''").select(F.col("lemma_key").alias("term")))
+
+
+def chunk_means(s, d):
+    """Chunk vectors of given term vectors (two numbers made of the term), so that SQL can make them too."""
+    c = tk.chunks(tok(s, d, "lemma_key", "pos1", "pos2"), 200).select(F.concat_ws("#", "work_stem", "chunk_no").alias("chunk"), "terms")
+    h = lambda k: F.conv(F.substring(F.md5("term"), k, 2), 16, 10).cast("double")
+    w = c.select(F.explode("terms").alias("term")).distinct().select("term", F.array(h(1), h(3)).alias("vec"))
+    v = ve.chunk_vectors(c, w)
+    return v.select("chunk", F.round(F.col("vec")[0], 6).alias("x"), F.round(F.col("vec")[1], 6).alias("y"))
+
+
+def projection_quality(s, d):
+    """How many of the nearest rows stay so when only the first half of the dimensions is kept."""
+    v = _vecs(s, d)
+    return ve.preservation(v, v.withColumn("vec", F.expr("slice(vec, 1, cast(size(vec) / 2 as int))")), "vec_id", F.col("vec_id") % 20 == 0, 5)
+
+
+def stratified_cv(s, d):
+    return ve.grouped_accuracy(_vecs(s, d), "label", "author", stratified="vec_id")
 
 
 def group_cv(s, d):
@@ -94,7 +155,7 @@ def perm_control(s, d):
     return real.withColumn("labels", F.lit("real")).union(ctrl.withColumn("labels", F.lit("permuted")))
 
 
-QUERIES = {f.__name__: f for f in (cooc, ppmi, ppmi_svd_norms, embed_nn, embed_within_between, embed_nn_accuracy, embed_centroids, embed_centering, work_vectors, drift_table, w2v_neighbours, group_cv, perm_control)}
+QUERIES = {f.__name__: f for f in (cooc, ppmi, ppmi_svd_norms, embed_nn, embed_within_between, embed_nn_accuracy, embed_centroids, embed_centering, work_vectors, drift_table, drift_runs, drift_control, slice_sizes, w2v_neighbours, neighbour_stability, w2v_cover, chunk_means, projection_quality, stratified_cv, group_cv, perm_control)}
 
 _CO = "vc AS (SELECT lemma_key FROM tok WHERE lemma_key <> '' GROUP BY lemma_key ORDER BY count(*) DESC, lemma_key LIMIT 3000), tv AS (SELECT work_stem, vol_no, i, lemma_key AS term FROM tok WHERE lemma_key IN (SELECT lemma_key FROM vc)), co AS (SELECT x.term AS a, y.term AS b, count(*) AS n FROM tv x JOIN tv y ON x.work_stem = y.work_stem AND x.vol_no = y.vol_no AND y.i BETWEEN x.i - 5 AND x.i + 5 AND x.i <> y.i WHERE x.term <> y.term GROUP BY ALL)"
 _V = "v0 AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec, CAST(label AS INTEGER) AS label, CAST(vec_id % 4 AS INTEGER) AS author FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL), v1 AS (SELECT vec_id, label, author, list_transform(vec, lambda x: x / sqrt(list_dot_product(vec, vec))) AS u FROM v0)"
@@ -108,6 +169,9 @@ SQL = {
     "embed_within_between": with_(_V) + _GAP("label") + " UNION ALL " + _GAP("author"),
     "embed_nn_accuracy": with_(_V, _NNQ) + "SELECT count(*) AS units, round(count(*) FILTER (WHERE a.label IS NOT DISTINCT FROM b.label) / count(*), 6) AS rate FROM nq JOIN v0 a ON a.vec_id = q JOIN v0 b ON b.vec_id = key WHERE rank = 1",
     "perm_control": with_(_V, "rk AS (SELECT vec_id, u, label, row_number() OVER (ORDER BY md5('0|' || vec_id), vec_id) AS ra, row_number() OVER (ORDER BY md5('42|' || vec_id), vec_id) AS rb FROM v1 WHERE label IS NOT NULL), pm AS (SELECT a.vec_id, a.u, b.label FROM rk a JOIN rk b ON a.ra = b.rb)") + "SELECT *, 'real' AS labels FROM (" + _GAP("label") + ") UNION ALL SELECT *, 'permuted' FROM (" + _GAP("label", "pm") + ")",
+    "slice_sizes": with_(ATT) + ", p AS (SELECT work_stem, CASE WHEN period <= '4' THEN 'early' ELSE 'late' END AS slice, author, md5('42|' || work_stem) AS h FROM att WHERE period IS NOT NULL), q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY slice, author ORDER BY h, work_stem) AS ra FROM p) WHERE ra <= 20), n AS (SELECT min(k) AS least FROM (SELECT count(*) AS k FROM q GROUP BY slice)) SELECT slice, work_stem FROM (SELECT *, row_number() OVER (PARTITION BY slice ORDER BY h, work_stem) AS r FROM q), n WHERE r <= least",
+    "chunk_means": with_(TOK, f"ct AS (SELECT work_stem, lemma_key AS term, row_number() OVER (PARTITION BY work_stem ORDER BY vol_no, i) - 1 AS rk FROM tok WHERE {CONTENT} AND lemma_key <> ''), c0 AS (SELECT work_stem || '#' || CAST(rk // 200 AS VARCHAR) AS chunk, term, count(*) OVER (PARTITION BY work_stem, rk // 200) AS k FROM ct)") + "SELECT chunk, round(avg(('0x' || substr(md5(term), 1, 2))::INTEGER), 6) AS x, round(avg(('0x' || substr(md5(term), 3, 2))::INTEGER), 6) AS y FROM c0 WHERE k >= 100 GROUP BY chunk",
+    "projection_quality": with_(_V, _NNQ) + ", v2 AS (SELECT vec_id, list_transform(vec[1:len(vec) // 2], lambda x: x / sqrt(list_dot_product(vec[1:len(vec) // 2], vec[1:len(vec) // 2]))) AS u FROM v0), n2 AS (SELECT x.vec_id AS q, y.vec_id AS key, row_number() OVER (PARTITION BY x.vec_id ORDER BY round(list_dot_product(x.u, y.u), 9) DESC, y.vec_id) AS rank FROM v2 x JOIN v2 y ON x.vec_id <> y.vec_id WHERE x.vec_id % 20 = 0), j AS (SELECT nq.q, count(n2.key) / count(*) AS p FROM nq LEFT JOIN n2 ON n2.q = nq.q AND n2.key = nq.key AND n2.rank <= 5 WHERE nq.rank <= 5 GROUP BY nq.q) SELECT count(*) AS units, round(avg(p), 6) AS preserved FROM j",
     "embed_centroids": with_(_V) + ", e AS (SELECT label, unnest(vec) AS x, generate_subscripts(vec, 1) - 1 AS d FROM v0) SELECT label, CAST(d AS INTEGER) AS d, round(avg(x), 6) AS x FROM e GROUP BY ALL",
     "embed_centering": with_(_V, _CEN) + ", a AS (" + _GAP("label") + "), b AS (" + _GAP("label", "v2") + ") SELECT a.attribute, a.gap AS gap_before, b.gap AS gap_after, round(b.gap / nullif(a.gap, 0), 4) AS retention FROM a JOIN b USING (attribute)",
 }
