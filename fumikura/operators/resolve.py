@@ -31,27 +31,39 @@ def unmatched(joined: DataFrame, key: str = "work_stem") -> DataFrame:
     return joined.agg(n.alias("works"), miss.alias("unmatched"), F.round(miss / F.nullif(n, F.lit(0)), 6).alias("share"))
 
 
-def match_titles(wanted: DataFrame, index: DataFrame) -> DataFrame:
-    """Wanted (wid, author, title) to index rows (id, author, title): by author and title key, else by author and base
-    title; of several the smallest id, with the number of candidates; unmatched rows stay with a null id."""
-    side = lambda d, k: d.select(k, text.author_key(F.col("author")).alias("ak"), text.title_key(F.col("title")).alias("tk"), text.base_title(F.col("title")).alias("bt"))
-    w, x = side(wanted, "wid"), side(index, "id")
-    exact = w.join(x.select("id", "ak", "tk"), ["ak", "tk"]).select("wid", "id", F.lit(1).alias("rank"))
-    base = w.join(x.select("id", "ak", "bt"), ["ak", "bt"]).where("bt <> ''").select("wid", "id", F.lit(2).alias("rank"))
-    g = exact.union(base).groupBy("wid", "rank").agg(F.count("*").alias("candidates"), F.min("id").alias("id"))
-    g = g.groupBy("wid").agg(F.min_by(F.struct("id", "candidates", "rank"), "rank").alias("m")).select("wid", "m.*")
+def match_titles(wanted: DataFrame, index: DataFrame, prefer: str | None = None) -> DataFrame:
+    """Wanted (wid, author, title[, work_id]) to index rows (id, author, title[, subtitle, work_id, orthography]): by
+    author and key of the title or of title and subtitle (rank 1), else by author and base title (2), else by the work's
+    id without leading zeros (3); of several one in the ``prefer``red orthography, then the smallest id, with the number
+    of candidates; unmatched rows stay with a null id."""
+    ak, tk, bt = text.author_key(F.col("author")).alias("ak"), text.title_key(F.col("title")).alias("tk"), text.base_title(F.col("title")).alias("bt")
+    liked = F.when(F.col("orthography") == prefer, 0).otherwise(1) if prefer and "orthography" in index.columns else F.lit(0)
+    no = lambda d: F.regexp_replace(F.trim(F.col("work_id").cast("string")), "^0+(?=.)", "").alias("no") if "work_id" in d.columns else F.lit(None).cast("string").alias("no")
+    w, x = wanted.select("wid", ak, tk, bt, no(wanted)), index.select("id", ak, tk, bt, no(index), liked.alias("liked"))
+    titles = x.select("id", "ak", "tk", "liked")
+    if "subtitle" in index.columns:
+        titles = titles.union(index.where("subtitle <> ''").select("id", ak, text.title_key(F.concat("title", "subtitle")), liked)).distinct()
+    found = w.join(titles, ["ak", "tk"]).select("wid", "id", "liked", F.lit(1).alias("rank"))
+    found = found.union(w.join(x.select("id", "ak", "bt", "liked"), ["ak", "bt"]).where("bt <> ''").select("wid", "id", "liked", F.lit(2)))
+    if "work_id" in wanted.columns and "work_id" in index.columns:
+        found = found.union(w.join(x.select("id", "no", "liked"), "no").where("no <> ''").select("wid", "id", "liked", F.lit(3)))
+    g = found.groupBy("wid", "rank").agg(F.count("*").alias("candidates"), F.min(F.struct("liked", "id")).alias("x"))
+    g = g.groupBy("wid").agg(F.min_by(F.struct("x.id", "candidates", "rank"), "rank").alias("m")).select("wid", "m.*")
     return wanted.select("wid").join(g, "wid", "left")
 
 
 def diagnose_misses(wanted: DataFrame, index: DataFrame, k: int = 5) -> DataFrame:
-    """Why a wanted row has no match: the author isn't in the index, or the title differs; then the k nearest titles
-    of the author by edit distance."""
+    """Why a wanted row has no match: the title is in the index under another author, the author has other titles, or
+    the author isn't there; with the k nearest titles of the author by edit distance, or the other authors (k at most, by
+    name)."""
     miss = match_titles(wanted, index).where("id is null").select("wid").join(wanted, "wid")
-    m = miss.select("wid", "title", text.author_key(F.col("author")).alias("ak"))
+    m = miss.select("wid", "title", text.author_key(F.col("author")).alias("ak"), text.title_key(F.col("title")).alias("tk"))
     x = index.select(text.author_key(F.col("author")).alias("ak"), F.col("title").alias("other")).distinct()
-    j = m.join(x, "ak", "left").withColumn("d", F.levenshtein(F.col("title"), F.col("other")))
-    j = j.withColumn("rank", F.row_number().over(Window.partitionBy("wid").orderBy("d", "other"))).where(F.col("rank") <= k)
-    return j.select("wid", F.when(F.col("other").isNull(), "author_not_found").otherwise("title_mismatch").alias("reason"), "rank", "other", "d")
+    first = lambda d, *o: d.withColumn("rank", F.row_number().over(Window.partitionBy("wid").orderBy(*o))).where(F.col("rank") <= k)
+    same = m.where("tk <> ''").join(index.select(text.title_key(F.col("title")).alias("tk"), F.col("author").alias("other")).distinct(), "tk").where("other is not null")
+    differs = first(same, "other").select("wid", F.lit("author_differs").alias("reason"), "rank", "other", F.lit(0).alias("d"))
+    j = first(m.join(same.select("wid").distinct(), "wid", "left_anti").join(x, "ak", "left").withColumn("d", F.levenshtein(F.col("title"), F.col("other"))), "d", "other")
+    return differs.union(j.select("wid", F.when(F.col("other").isNull(), "author_not_found").otherwise("title_mismatch").alias("reason"), "rank", "other", "d"))
 
 
 def merge_volumes(parts: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from fumikura.functions import keys, marks, structure, text
+from fumikura.functions import keys, marks, structure, text, udfs
 from fumikura.operators import resolve
 from fumikura.operators import tokens as tk
 from fumikura.queries.base import PUNCT, ST, TOK, UNKNOWN, sql_category, sql_narrow, sql_strip, tok, with_
@@ -200,6 +200,7 @@ def resolve_rank(s, d):
 
 
 def match_misses(s, d):
+    """Every title with a word added: none is found, each gets its diagnosis."""
     m = table(s, d, "corpus_metadata_v2").where("id is not null").groupBy("id").agg(F.min("author_ja").alias("author"), F.min("title_aozora").alias("title"))
     c = m.select(F.col("id").alias("wid"), "author", F.concat(F.col("title"), F.lit("補遺")).alias("title"))
     return resolve.diagnose_misses(c, m)
@@ -218,8 +219,10 @@ def filled_blanks(s, d):
 
 
 def iteration_marks(s, d):
-    t = _docs(s, d).select("doc_id", marks.iteration_marks("text").alias("t"), F.col("text"))
-    return t.select("doc_id", (F.col("t") != F.col("text")).alias("changed"), F.length("t").alias("chars"))
+    """Only texts that have a mark go through Python."""
+    t, has = _docs(s, d).select("doc_id", "text"), F.col("text").rlike("[ゝゞヽヾ〳〴]|／[＼″]")
+    out = t.where(has).withColumn("t", marks.iteration_marks("text")).union(t.where(~has).withColumn("t", F.col("text")))
+    return out.select("doc_id", (F.col("t") != F.col("text")).alias("changed"), F.length("t").alias("chars"))
 
 
 def quote_scan(s, d):
@@ -299,7 +302,14 @@ def decoded_pages(s, d):
     return t.select("doc_id", F.endswith(F.col("x"), F.col("text")).alias("same"))
 
 
-QUERIES = {f.__name__: f for f in (page_fragments, text_streams, framed_texts, quote_parts, quote_events, quote_patterns, glyph_definitions, first_media, display_forms, token_guard, katakana_keys, title_keys, year_ranges, ndc_genres, year_bands, style_classes, style_confusion, work_labels, note_classes, glosses, char_profile, sentence_profile, tidy_lengths, paragraph_rows, speech_marks, speech_share, stream_sizes, colophons, unknown_classes, unknown_pos, katakana_groups, forced_splits, key_variant_join, unmatched_report, resolve_rank, match_misses, merged_volumes, filled_blanks, iteration_marks, quote_scan, html_text, decoded_pages)}
+def ngram_counts(s, d):
+    """The two functions called from SQL: pairs of words of all documents, the fifty most frequent."""
+    udfs.register(s)
+    _docs(s, d).select("doc_id", "text").createOrReplaceTempView("_texts")
+    return s.sql("SELECT g.ngram, count(*) AS n FROM (SELECT tokenize(text) AS w FROM _texts) t, LATERAL ngrams(t.w, 2) g GROUP BY g.ngram ORDER BY n DESC, g.ngram LIMIT 50")
+
+
+QUERIES = {f.__name__: f for f in (ngram_counts, page_fragments, text_streams, framed_texts, quote_parts, quote_events, quote_patterns, glyph_definitions, first_media, display_forms, token_guard, katakana_keys, title_keys, year_ranges, ndc_genres, year_bands, style_classes, style_confusion, work_labels, note_classes, glosses, char_profile, sentence_profile, tidy_lengths, paragraph_rows, speech_marks, speech_share, stream_sizes, colophons, unknown_classes, unknown_pos, katakana_groups, forced_splits, key_variant_join, unmatched_report, resolve_rank, match_misses, merged_volumes, filled_blanks, iteration_marks, quote_scan, html_text, decoded_pages)}
 
 _DOC = "dc AS (SELECT * FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)"
 _AK = lambda c: f"regexp_replace({c}, '[\\s\\x{{3000}}・･]', '', 'g')"
@@ -348,6 +358,7 @@ SELECT DISTINCT a.id, a.stated, a.m AS of_stated, b.m AS of_line FROM r a JOIN r
     "framed_texts": with_(_DOC) + ", t AS (SELECT doc_id, replace(regexp_replace(text, '［＃[^］\\n]*］', '', 'g'), chr(10), '') AS x FROM dc WHERE text NOT LIKE '%「%' AND text NOT LIKE '%」%' AND text NOT LIKE '%見出し%') SELECT doc_id, CAST(181 AS INTEGER) AS inserted_chars, CAST(length(x) AS INTEGER) AS narration_chars, round(181 / (181 + length(x)), 3) AS inserted_share, round(10 / 181 * 1e4, 1) AS i_inserted, round((length(x) - length(replace(x, '私', ''))) / greatest(length(x), 1) * 1e4, 1) AS i_narration FROM t",
     "quote_patterns": with_(_DOC) + ", l AS (SELECT unnest(string_split(text, chr(10))) AS line FROM dc) SELECT count(*) FILTER (WHERE regexp_matches(line, '「[^「」]*$')) AS \"A\", count(*) FILTER (WHERE regexp_matches(line, '^[^「」]*」')) AS \"B\", count(*) FILTER (WHERE regexp_matches(line, '「[^「」]*「')) AS \"C\", count(*) FILTER (WHERE regexp_matches(line, '」[^「」]*」')) AS \"D\", count(*) FILTER (WHERE regexp_matches(line, '「[、。）]')) AS \"E\" FROM l",
     "glyph_definitions": "SELECT * FROM (VALUES ('a', '㋤'), ('b', chr(57346)), ('e', '〼')) t(glyph_id, ch)",
+    "ngram_counts": with_(_DOC) + r", w AS (SELECT regexp_extract_all(regexp_replace(lower(text), '([\p{Han}\p{Hiragana}\p{Katakana}ー])', ' \1 ', 'g'), '[\p{L}\p{N}]+') AS w FROM dc), g AS (SELECT unnest(list_transform(range(1, len(w)), lambda p: w[p] || ' ' || w[p + 1])) AS ngram FROM w) SELECT ngram, count(*) AS n FROM g GROUP BY ngram ORDER BY n DESC, ngram LIMIT 50",
     "display_forms": with_(TOK) + "SELECT DISTINCT lemma, regexp_replace(lemma, '-[A-Za-z][A-Za-z .''-]*$', '') AS shown FROM tok WHERE lemma <> ''",
     "token_guard": with_(_DOC) + f", t AS (SELECT doc_id, length({_BODY}) AS c, len(list_filter(regexp_split_to_array(text, '{_WH}+'), lambda x: x <> '')) AS n FROM dc) SELECT doc_id, CASE WHEN n > 0 THEN round(c / n, 4) END AS mean_length, coalesce(n > 0 AND c / n > 8, false) AS refused FROM t",
     "style_confusion": "WITH m AS (SELECT DISTINCT id, try_cast(bungo_per10k AS DOUBLE) AS b, try_cast(kogo_per10k AS DOUBLE) AS k FROM corpus_metadata_v2 WHERE id IS NOT NULL), c AS (SELECT id, CASE WHEN b IS NULL OR k IS NULL THEN NULL WHEN b >= 80 AND round(coalesce(b / nullif(b + k, 0), 0), 3) >= 0.2e0 THEN 'A' WHEN round(coalesce(b / nullif(b + k, 0), 0), 3) <= 0.1e0 THEN 'C' ELSE 'B' END AS style, b, k FROM m), t AS (SELECT DISTINCT id, substring(" + sql_strip(sql_narrow("style_class")) + ", 1, 1) AS stated FROM corpus_metadata_v2 WHERE id IS NOT NULL) SELECT stated, style, count(*) AS works FROM c JOIN t USING (id) GROUP BY ALL",
