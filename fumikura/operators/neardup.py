@@ -1,9 +1,9 @@
 """Texts with similar sets of shingles, exactly, by a prefix filter.
 
 A shingler turns a batch of rows into shingle hashes in NumPy.  Two passes read the texts: the first gives each set a
-digest (equal sets are one class) and counts shingles in a table of 2^20 buckets; the second orders every class's set
+digest (equal sets are one class) and counts shingles in a table of 2^18 buckets; the second orders every class's set
 by (bucket count, hash), so from the rarest, and keeps its prefix: sets that share enough share a shingle of their
-prefixes.  Prefixes are joined; the sizes of the sets and the place of the shingle in them rule most pairs out.  What
+prefixes.  Prefixes are joined; the sizes of the sets and the number of shared prefix shingles rule most pairs out.  What
 is left is counted on the whole sets, which are made again for these texts only: sets are never written.
 """
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from fumikura.plans.blocks import by_bytes
 from fumikura.sources.stage import stage
 
-BUCKET_BITS = 20
+BUCKET_BITS = 18
 PART_BYTES = 4_000_000
 _state: dict = {}
 
@@ -135,11 +135,21 @@ def of_column(shingles: Column) -> Shingler:
     return Shingler(F.coalesce(hashed, F.array().cast("array<bigint>")), extract)
 
 
+def _order(h: np.ndarray, row: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """Order by row, weight and hash.  Rows and weights of 16 bits are sorted by radix."""
+    if len(row) and row[-1] > 65_535:
+        return np.lexsort((h, row) if weight is None else (h, weight, row))
+    o = np.argsort(h)
+    if weight is not None:
+        o = o[np.argsort(weight[o], kind="stable")]
+    return o[np.argsort(row.astype(np.uint16)[o], kind="stable")]
+
+
 def _sets(column: pa.Array, extract: Callable) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles, row by row, sorted; and how many each row has."""
     h, n = extract(column)
     row = np.repeat(np.arange(len(n)), n)
-    o = np.lexsort((h, row))
+    o = _order(h, row)
     h, row = h[o], row[o]
     first = np.ones(len(h), bool)
     first[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
@@ -164,7 +174,7 @@ def _column(t: pa.Table) -> pa.Array:
 
 def classes(rows: DataFrame, s: Shingler) -> tuple[DataFrame, np.ndarray]:
     """(k, n, class, copies) of rows (k, v) that have shingles: equal sets are a class, named by its smallest key; and
-    the bucket counts.  Both come from one pass; the buckets, 2^20 at most, are summed on the driver."""
+    the bucket counts.  Both come from one pass; the buckets, 2^18 at most, are summed on the driver."""
 
     extract = s.extract
 
@@ -199,36 +209,38 @@ def similar(rows: DataFrame, s: Shingler, least: float, measure: str = "jaccard"
     cls, counts = classes(rows, s)
     cls = stage(cls, "classes")
     heads = cls.where("k = class").select("k", "copies")
-    held = spark.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))  # 4 MB
+    # frequencies to a thousandth of a doubling, in 16 bits: 512 kB
+    scale = np.round(np.log2(counts + 1) * 1000).astype(np.int64)
+    held = spark.sparkContext.broadcast(np.minimum(scale, 65_535).astype(np.uint16))
     jaccard, extract = measure == "jaccard", s.extract
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _parts(batches):
             h, n = _sets(_column(t), extract)
             row = np.repeat(np.arange(len(n)), n)
-            o = np.lexsort((h, held.value[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)], row))
+            o = _order(h, row, held.value[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)])
             h = h[o]
             pos = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
             size = n[row]
             head = pos < size - np.ceil(np.round(size * least, 9)).astype(np.int64) + 1
             keep = head if jaccard else np.ones(len(h), bool)
-            k = t.column("k").to_numpy()
-            for a in range(0, int(keep.sum()), 100_000):
-                z = np.flatnonzero(keep)[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(h[z].view(np.int64)), pa.array(k[row[z]]), pa.array(size[z].astype(np.int32)), pa.array(pos[z].astype(np.int32)), pa.array(head[z])], names=["x", "k", "n", "pos", "head"])
+            k, every = t.column("k").to_numpy(), np.flatnonzero(keep)
+            for a in range(0, len(every), 100_000):
+                z = every[a : a + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(h[z].view(np.int64)), pa.array(k[row[z]]), pa.array(size[z].astype(np.int32)), pa.array(head[z])], names=["x", "k", "n", "head"])
 
     mine = rows.join(heads.select("k"), "k", "left_semi")
-    e = stage(mine.mapInArrow(prefixes, "x long, k long, n int, pos int, head boolean"), "prefixes")
-    # a shingle that one set has alone pairs with nothing
-    e = e.join(e.groupBy("x").agg(F.min("k").alias("k0"), F.max("k").alias("k1")).where("k0 < k1").select("x"), "x", "left_semi")
-    a = e.where("head").select("x", F.col("k").alias("p"), F.col("n").alias("np"), F.col("pos").alias("i"))
-    b = e.select("x", F.col("k").alias("q"), F.col("n").alias("nq"), F.col("pos").alias("j"))
+    e = stage(mine.mapInArrow(prefixes, "x long, k long, n int, head boolean"), "prefixes")
+    a = (e if jaccard else e.where("head")).select("x", F.col("k").alias("p"), F.col("n").alias("np"))
+    b = e.select("x", F.col("k").alias("q"), F.col("n").alias("nq"))
     smaller = (F.col("np") < F.col("nq")) | ((F.col("np") == F.col("nq")) & (F.col("p") < F.col("q")))
-    c = a.join(b, "x").where(smaller)
+    c = a.join(b, "x").where(smaller & (F.col("np") >= F.col("nq") * least - 1e-9) if jaccard else smaller)
+    c = c.groupBy("p", "q", "np", "nq").agg(F.count("*").alias("c"))
     if jaccard:
+        # shingles shared behind the prefix that ends first are fewer than ceil(least n) of its set, so the prefixes share the rest
         need = F.ceil(F.round((F.col("np") + F.col("nq")) * (least / (1 + least)), 6))
-        c = c.where((F.col("np") >= F.col("nq") * least - 1e-9) & (F.least(F.col("np") - F.col("i"), F.col("nq") - F.col("j")) >= need))
-    c = stage(c.select("p", "q", "np", "nq").distinct(), "candidates")
+        c = c.where(F.col("c") >= need - F.ceil(F.round(F.col("nq") * least, 9)) + 1)
+    c = stage(c.drop("c"), "candidates")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _parts(batches):
