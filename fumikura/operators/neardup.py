@@ -218,28 +218,35 @@ def similar(rows: DataFrame, s: Shingler, least: float, measure: str = "jaccard"
         for t in _parts(batches):
             h, n = _sets(_column(t), extract)
             row = np.repeat(np.arange(len(n)), n)
-            o = _order(h, row, held.value[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)])
-            h = h[o]
+            weight = held.value[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+            o = _order(h, row, weight)
+            h, weight = h[o], weight[o].astype(np.int32)
             pos = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
             size = n[row]
-            head = pos < size - np.ceil(np.round(size * least, 9)).astype(np.int64) + 1
+            end = size - np.ceil(np.round(size * least, 9)).astype(np.int64)  # where the prefix ends
+            head = pos <= end
             keep = head if jaccard else np.ones(len(h), bool)
             k, every = t.column("k").to_numpy(), np.flatnonzero(keep)
             for a in range(0, len(every), 100_000):
                 z = every[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(h[z].view(np.int64)), pa.array(k[row[z]]), pa.array(size[z].astype(np.int32)), pa.array(head[z])], names=["x", "k", "n", "head"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[z].view(np.int64)), pa.array(k[row[z]]), pa.array(size[z].astype(np.int32)), pa.array(head[z]), pa.array(weight[z], mask=(pos != end)[z])], names=["x", "k", "n", "head", "last"])
 
     mine = rows.join(heads.select("k"), "k", "left_semi")
-    e = stage(mine.mapInArrow(prefixes, "x long, k long, n int, head boolean"), "prefixes")
+    e = stage(mine.mapInArrow(prefixes, "x long, k long, n int, head boolean, last int"), "prefixes")
     a = (e if jaccard else e.where("head")).select("x", F.col("k").alias("p"), F.col("n").alias("np"))
     b = e.select("x", F.col("k").alias("q"), F.col("n").alias("nq"))
     smaller = (F.col("np") < F.col("nq")) | ((F.col("np") == F.col("nq")) & (F.col("p") < F.col("q")))
     c = a.join(b, "x").where(smaller & (F.col("np") >= F.col("nq") * least - 1e-9) if jaccard else smaller)
     c = c.groupBy("p", "q", "np", "nq").agg(F.count("*").alias("c"))
     if jaccard:
-        # shingles shared behind the prefix that ends first are fewer than ceil(least n) of its set, so the prefixes share the rest
+        # shingles shared behind the prefix that ends first are fewer than ceil(least n) of its set, so the prefixes share
+        # the rest; hashes compare as unsigned numbers
         need = F.ceil(F.round((F.col("np") + F.col("nq")) * (least / (1 + least)), 6))
-        c = c.where(F.col("c") >= need - F.ceil(F.round(F.col("nq") * least, 9)) + 1)
+        behind = lambda n: F.ceil(F.round(F.col(n) * least, 9)) - 1
+        c = c.where(F.col("c") >= need - behind("nq"))
+        ends = e.where("last is not null").select("k", F.struct("last", F.col("x").bitwiseXOR(F.lit(-(2**63))).alias("x")).alias("end"))
+        end = lambda n: ends.select(F.col("k").alias(n), F.col("end").alias(f"end_{n}"))
+        c = c.join(end("p"), "p").join(end("q"), "q").where(F.col("c") >= need - F.when(F.col("end_p") <= F.col("end_q"), behind("np")).otherwise(behind("nq"))).drop("end_p", "end_q")
     c = stage(c.drop("c"), "candidates")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
