@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from fumikura.operators import neardup
 from fumikura.plans import pairs as blocked
+from fumikura.sources.stage import stage
 
 
 def z_scores(rel: DataFrame, unit: str = "work_stem", zero: str = "tiny") -> DataFrame:
@@ -29,7 +30,7 @@ def _vectors(z: DataFrame, unit: str) -> DataFrame:
 def pairs(v: DataFrame, unit: str, metric: str, name: str, digits: int = 9) -> DataFrame:
     """All pairs a < b of the units' vectors, by blocked products: the distance matrix is the result.  Units are works
     or sources, not tokens, and a unit's row is one vector of as many values as terms were asked for."""
-    return blocked.all_pairs(v, unit, "v", metric, name, digits)
+    return blocked.all_pairs(stage(v, "vectors"), unit, "v", metric, name, digits)
 
 
 def total(x: Column) -> Column:
@@ -58,7 +59,7 @@ def nearest(dist: DataFrame, value: str) -> DataFrame:
 def nearest_unit(z: DataFrame, metric: str = "delta", unit: str = "work_stem", digits: int = 5) -> DataFrame:
     """(a, b, value): each unit's nearest other one by its z-scores, ties by name, without a table of pairs: a block
     keeps the nearest one of every unit, and those are merged."""
-    v = _vectors(z, unit)
+    v = stage(_vectors(z, unit), "vectors")
     n = blocked.nearest(v, v, unit, "v", metric, 1, metric, digits)
     return n.groupBy(F.col("q").alias("a")).agg(F.min(F.struct(metric, "key")).alias("m")).select("a", F.col("m.key").alias("b"), F.col(f"m.{metric}").alias(metric))
 

@@ -134,7 +134,9 @@ def mfw(tok: DataFrame, n: int = 300, where: Column | None = None) -> DataFrame:
 
 def relative_frequencies(tok: DataFrame, n: int = 300, unit: str = "work_stem") -> DataFrame:
     """Long matrix of units x most frequent terms, zeros included: the grid has units times n rows by definition."""
-    c = counts(tok, unit)
+    from fumikura.sources.stage import stage
+
+    c = stage(counts(tok, unit), "counts")  # read three times
     size = c.groupBy(unit).agg(F.sum("n").alias("total"))
     top = c.groupBy("term").agg(F.sum("n").alias("all_n")).orderBy(F.desc("all_n"), "term").limit(n)
     grid = size.crossJoin(F.broadcast(top.select("term")))  # n terms
