@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+REPORT_ROWS = 100_000
 MORPHEMES = ("i", "surface", "lemma_key", "lemma", "orthbase", "lform", "pos1", "pos2", "pos3", "pos4", "ctype", "cform", "goshu")
 
 
@@ -67,7 +68,10 @@ def read_provenance(spark: SparkSession, path: str) -> dict:
 
 
 def export_csv(df: DataFrame, path: str, provenance: dict) -> None:
-    """One CSV folder of a report (a page or a top-k) with the provenance in its own columns of the first row."""
+    """One CSV folder of a report (a page or a top-k) with the provenance in its own columns of the first row.  More than
+    ``REPORT_ROWS`` rows are no report but an error; tables are written by ``write_table``."""
+    if df.limit(REPORT_ROWS + 1).count() > REPORT_ROWS:
+        raise ValueError(f"more than {REPORT_ROWS} rows for a report")
     note = json.dumps(provenance, ensure_ascii=False)
     w = Window.orderBy(F.monotonically_increasing_id())
     out = df.coalesce(1).withColumn("_n", F.row_number().over(w)).withColumn("provenance", F.when(F.col("_n") == 1, note)).drop("_n")

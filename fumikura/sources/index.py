@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -104,21 +105,18 @@ _OPEN: dict[tuple[str, str], Index] = {}
 
 
 def of_tables(spark: SparkSession, sf_dir: str) -> Index:
-    """The index of a folder of tables: opened if the shared folder has one of the same files (by name, length and
-    time of change), else built there."""
+    """The session's index of a folder of tables: built by the first query that asks for it (and again if its files or
+    the tables' have changed since), in a place of its own in the shared folder, and removed when the session ends."""
     from fumikura.sources.corpus import attributes, table
 
     sig = _signature(spark, f"{sf_dir}/tsv.parquet", f"{sf_dir}/corpus_metadata_v2.parquet")
     key = (spark.sparkContext.applicationId, sig)
-    if key not in _OPEN:
-        path = f"{shared_dir(spark)}/index-{sig}"
-        try:
-            _OPEN[key] = open_index(spark, path)
-        except FileNotFoundError:
-            keep(spark, path, f"{path}.provenance.json")
-            known = _exists(spark, f"{sf_dir}/corpus_metadata_v2.parquet")
-            works = attributes(table(spark, sf_dir, "corpus_metadata_v2")) if known else spark.createDataFrame([], NO_WORKS)
-            _OPEN[key] = build(table(spark, sf_dir, "tsv"), works, path, {"source": sf_dir, "signature": sig})
+    if key not in _OPEN or not _exists(spark, f"{_OPEN[key].path}.provenance.json"):
+        path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        keep(spark, path, f"{path}.provenance.json")
+        known = _exists(spark, f"{sf_dir}/corpus_metadata_v2.parquet")
+        works = attributes(table(spark, sf_dir, "corpus_metadata_v2")) if known else spark.createDataFrame([], NO_WORKS)
+        _OPEN[key] = build(table(spark, sf_dir, "tsv"), works, path, {"source": sf_dir, "signature": sig})
     return _OPEN[key]
 
 

@@ -158,3 +158,25 @@ def test_titles_by_subtitle_id_and_orthography(spark):
     assert got == {"a": ("2", 2, 1), "b": ("2", 2, 1), "c": ("3", 1, 3), "d": (None, None, None), "e": (None, None, None), "f": (None, None, None)}
     why = {r["wid"]: (r["reason"], r["other"]) for r in resolve.diagnose_misses(w.drop("work_id"), x).where("rank = 1").collect()}
     assert why == {"c": ("author_not_found", None), "d": ("author_differs", "乙"), "e": ("title_mismatch", "川"), "f": ("author_not_found", None)}
+
+
+def test_index_is_built_again_when_it_is_gone(spark, tmp_path):
+    import shutil
+
+    corpus(spark, {("000001_000001", 1): [[("山", "山", N), ("を", "を", P)]]}).write.parquet(f"{tmp_path}/tsv.parquet")
+    x = index.of_tables(spark, str(tmp_path))
+    assert index.of_tables(spark, str(tmp_path)) is x and x.tokens.count() == 2 and x.provenance["tokens"] == 2
+    assert index.open_index(spark, x.path).forms.count() == 2
+    path = x.path.removeprefix("file://")
+    shutil.rmtree(path)
+    __import__("os").remove(f"{path}.provenance.json")
+    y = index.of_tables(spark, str(tmp_path))
+    assert y is not x and y.tokens.count() == 2
+    with pytest.raises(FileNotFoundError):
+        index.open_index(spark, f"{tmp_path}/none")
+
+
+def test_empty_index(spark, tmp_path):
+    e = corpus(spark, {}).limit(0)
+    x = index.build(e, spark.createDataFrame([], index.NO_WORKS), f"{tmp_path}/ix")
+    assert x.tokens.count() == x.forms.count() == x.sizes.count() == 0 and x.provenance["tokens"] == 0
