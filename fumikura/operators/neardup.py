@@ -3,7 +3,8 @@
 A shingler turns a batch of rows into shingle hashes in NumPy.  Two passes read the texts: the first gives each set a
 digest (equal sets are one class) and counts shingles in a table of 2^18 buckets; the second orders every class's set
 by (bucket count, hash), so from the rarest, and keeps its prefix: sets that share enough share a shingle of their
-prefixes.  Prefixes are joined; the sizes of the sets and the number of shared prefix shingles rule most pairs out.  What
+prefixes.  Prefixes are joined; the sizes of the sets, the number of shared prefix shingles and the counts of shingles by
+cells of the hash (an upper bound of what two sets share) rule most pairs out.  What
 is left is counted on the whole sets, which are made again for these texts only: sets are never written.
 """
 
@@ -22,6 +23,9 @@ from fumikura.sources.stage import stage
 
 BUCKET_BITS = 18
 PART_BYTES = 4_000_000
+#: Cells of a text's shingles by the first bits of the hash: texts share no more than the smaller count of each cell.
+CELL_BITS = 9
+CELLS = 1 << CELL_BITS
 _state: dict = {}
 
 
@@ -255,8 +259,31 @@ def similar(rows: DataFrame, s: Shingler, least: float, measure: str = "jaccard"
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(h.view(np.int64)))
             yield from pa.table({"k": t.column("k"), "s": lists}).to_batches(max_chunksize=2_000)
 
-    wanted = c.select(F.col("p").alias("k")).union(c.select("q")).distinct()
-    d = stage(rows.join(wanted, "k", "left_semi").mapInArrow(whole, "k long, s array<bigint>"), "sets")
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _parts(batches):
+            h, n = _sets(_column(t), extract)
+            at = np.repeat(np.arange(len(n)), n) * CELLS + (h >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+            cells = np.bincount(at, minlength=len(n) * CELLS).reshape(-1, CELLS)
+            fits = cells.max(axis=1, initial=0) < 65_536
+            packed = [x.astype("<u2").tobytes() if ok else None for x, ok in zip(cells, fits)]
+            yield from pa.table({"k": t.column("k"), "cells": pa.array(packed, pa.binary())}).to_batches(max_chunksize=2_000)
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blank = b"\xff" * (2 * CELLS)  # a text too large for 16 bits is no bound
+        for b in batches:
+            for a in range(0, b.num_rows, 5_000):
+                z = b.slice(a, 5_000)
+                p, q = (np.frombuffer(b"".join(x or blank for x in z.column(f"cells_{n}").to_pylist()), "<u2").reshape(-1, CELLS) for n in "pq")
+                most = np.minimum(p, q).sum(axis=1, dtype=np.int64)
+                sp, sq = z.column("np").to_numpy().astype(np.int64), z.column("nq").to_numpy().astype(np.int64)
+                need = np.ceil(np.round((sp + sq) * (least / (1 + least)), 6)) if jaccard else np.ceil(np.round(sp * least, 6))
+                yield z.filter(pa.array(most >= need)).select(["p", "q", "np", "nq"])
+
+    chosen = lambda c: rows.join(c.select(F.col("p").alias("k")).union(c.select("q")).distinct(), "k", "left_semi")
+    hist = stage(chosen(c).mapInArrow(counted, "k long, cells binary"), "cells")
+    cells = lambda n: hist.select(F.col("k").alias(n), F.col("cells").alias(f"cells_{n}"))
+    c = stage(c.join(cells("p"), "p").join(cells("q"), "q").select("p", "q", "np", "nq", "cells_p", "cells_q").mapInArrow(bounded, "p long, q long, np int, nq int"), "bounded")
+    d = stage(chosen(c).mapInArrow(whole, "k long, s array<bigint>"), "sets")
     side = lambda n: d.select(F.col("k").alias(n), F.col("s").alias(f"s_{n}"))
     j = c.join(side("p"), "p").join(side("q"), "q").select("p", "q", "np", "nq", F.size(F.array_intersect("s_p", "s_q")).cast("bigint").alias("common"))
     of = F.col("np") + F.col("nq") - F.col("common") if jaccard else F.col("np")
