@@ -52,12 +52,13 @@ def period_terms(counts: DataFrame, metadata: DataFrame) -> DataFrame:
 
 def found(tsv: DataFrame, metadata: DataFrame) -> DataFrame:
     """Rows of the scored tables: terms held by at most two works and occurring six times in the work; terms of one
-    period only, twelve times in at least four works (a document-frequency cutoff over works).  A row counts by its
-    score, which every term of a record has."""
+    period only, twelve times in at least four works (a document-frequency cutoff over works).  Counts alone decide
+    which rows these are; such a term's score may be zero or negative.  The rows of each record are in the order of
+    the score, highest first (ties by term)."""
     counts = stage(work_terms(tsv), "terms")  # read by six aggregates and joins
-    w = distinctive(counts, "work_stem").where("tf >= 6 and df <= 2 and score is not null").select(F.lit("work").alias("unit"), F.col("work_stem").alias("rec"), "term")
-    p = distinctive(period_terms(counts, metadata), "period").where("tf >= 12 and works >= 4 and df = 1 and score is not null").select(F.lit("period").alias("unit"), F.col("period").alias("rec"), "term")
-    return w.unionByName(p)
+    w = distinctive(counts, "work_stem").where("tf >= 6 and df <= 2").select(F.lit("work").alias("unit"), F.col("work_stem").alias("rec"), "term", "score")
+    p = distinctive(period_terms(counts, metadata), "period").where("tf >= 12 and works >= 4 and df = 1").select(F.lit("period").alias("unit"), F.col("period").alias("rec"), "term", "score")
+    return w.unionByName(p).orderBy("unit", "rec", F.desc("score"), "term").select("unit", "rec", "term")
 
 
 def top_terms(tsv: DataFrame, metadata: DataFrame, k: int = 20) -> DataFrame:

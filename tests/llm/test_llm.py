@@ -122,6 +122,19 @@ def test_found_terms(spark):
     assert got == [("period", "2", "時"), ("work", "000000_000001", "稀"), ("work", "000001_000001", "稀")]
 
 
+def test_found_terms_follow_their_scores(spark, monkeypatch):
+    a, b, c = (f"00000{j}_000001" for j in range(3))
+    t = tsv(spark, {(a, 1): [["乙"] * 6 + ["丙"] * 9 + ["甲"] * 7 + ["共"] * 6 + ["普"] * 100], (b, 1): [["共"] * 60 + ["普"] * 5], (c, 1): [["普"] * 3]})
+    m = meta(spark, [("I0", "0", "1", "t", None)])
+    rows = lambda: [tuple(r) for r in terms.found(t, m).collect()]
+    score = {(r["work_stem"], r["term"]): r["score"] for r in terms.distinctive(terms.work_terms(t), "work_stem").collect()}
+    assert score[a, "丙"] > score[a, "甲"] > score[a, "乙"] > 0 > score[a, "共"]  # a negative score is no reason to leave a row out
+    assert rows() == [("work", a, x) for x in "丙甲乙共"] + [("work", b, "共")]
+    real = terms.distinctive
+    monkeypatch.setattr(terms, "distinctive", lambda *x, **k: (d := real(*x, **k)).withColumn("score", -d["score"]))
+    assert rows() == [("work", a, x) for x in "共乙甲丙"] + [("work", b, "共")]
+
+
 # 3
 
 
