@@ -1,6 +1,7 @@
 """Facts on small invented corpora: searches, measures, dispersion, distances, marks, keys."""
 
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -14,6 +15,7 @@ from fumikura.operators import quality, resolve, stats, stylometry, tokens, topi
 from fumikura.queries import stylometry as queries_stylometry
 from fumikura.queries import texts as queries_texts
 from fumikura.queries import vectors as queries_vectors
+from fumikura.sources import stage
 
 
 def corpus(spark, volumes):
@@ -338,3 +340,14 @@ def test_every_id_is_diagnosed(spark, tmp_path):
     got = queries_texts.match_misses(spark, str(tmp_path)).collect()
     assert {r["wid"] for r in got if r["reason"] == "title_mismatch"} == {"A8", "A9", "A10", "A11", "A12"}
     assert all(r["other"] == "作品" + r["wid"][1:] and r["d"] == 2 for r in got if r["rank"] == 1)
+
+
+def test_containment_moves_no_postings(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    d = documents(spark, tmp_path, ["".join(map(chr, rng.integers(0x4E00, 0x9000, 6_000))) for _ in range(60)])
+    first = len(stage._WRITTEN)
+    found = queries_stylometry.duplication_findings(spark, d)
+    assert "Exchange" not in found._jdf.queryExecution().toString()
+    written = sum(p.stat().st_size for _, path in stage._WRITTEN[first:] for p in Path(path.removeprefix("file://")).rglob("*.parquet"))
+    assert written < 12 * 60 * (1_000 + 500) + 100_000  # a hash and the number of its set
+    assert {(r["level"], r["target"]) for r in found.collect()} == {("FATAL", f"{i} / {i + 1_000_000_000}") for i in range(60)}
