@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fumikura.functions import keys, marks, text
 from fumikura.operators import concordance as kw
-from fumikura.operators import quality, resolve, stats, stylometry, tokens, topics, vectors
+from fumikura.operators import neardup, quality, resolve, stats, stylometry, tokens, topics, vectors
 from fumikura.queries import stylometry as queries_stylometry
 from fumikura.queries import texts as queries_texts
 from fumikura.queries import vectors as queries_vectors
@@ -351,3 +351,24 @@ def test_containment_moves_no_postings(spark, tmp_path):
     written = sum(p.stat().st_size for _, path in stage._WRITTEN[first:] for p in Path(path.removeprefix("file://")).rglob("*.parquet"))
     assert written < 12 * 60 * (1_000 + 500) + 100_000  # a hash and the number of its set
     assert {(r["level"], r["target"]) for r in found.collect()} == {("FATAL", f"{i} / {i + 1_000_000_000}") for i in range(60)}
+
+
+def test_short_texts_contain_one_shingle_without_joins(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    x = ["".join(map(chr, rng.integers(0x4E00, 0x9000, 114))) for _ in range(40)]
+    d = documents(spark, tmp_path, [t + x[0][:12] for t in x])  # 20 shingles, of which 0 has one twice
+    found = queries_stylometry.shingle_containment(spark, d)
+    assert "Exchange" not in found._jdf.queryExecution().toString()
+    assert {(r["a"], r["b"], r["common"], r["containment"]) for r in found.collect()} == {(a, b, 1, 0.05 if a else 0.052632) for a in range(40) for b in range(a + 1, 40)}
+
+
+@pytest.mark.parametrize("least", [0.05, 0.3, 0.7])
+def test_containment_over_many_units(spark, least):
+    """Units of 60 shingles, blocks of three: every pair of units is met once; a few shingles are in most sets."""
+    rng = np.random.default_rng(9)
+    sets = [sorted({*rng.integers(0, 60, rng.integers(1, 40)).tolist(), *(range(4) if i % 3 else ())}) for i in range(90)]
+    sets[70:] = sets[:20]
+    d = spark.createDataFrame(list(enumerate(sets)), "id long, s array<long>").repartition(7)
+    _, found = neardup.contained(*stylometry._rows(d, "id", F.col("s")), least, unit=60, block=180)
+    want = {(a, b, c, 1 + (a < 20), 1 + (b < 20)) for a in range(70) for b in range(a + 1, 70) if (c := len({*sets[a]} & {*sets[b]})) and c / min(len(sets[a]), len(sets[b])) >= least}
+    assert sorted((r["a"], r["b"], r["common"], r["a_class"], r["b_class"]) for r in found.collect()) == sorted(want)
